@@ -81,17 +81,23 @@ def readable(df: DataFrame) -> DataFrame:
     return good.withColumn("text", text).drop("content")
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    return df.orderBy(depth.desc(), "dir", "file_name")
+
+
 def concat_corpus(df: DataFrame) -> DataFrame:
     """Every book followed by one line break, deepest directories first, in a total order."""
-    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
-    ended = df.withColumn("text", F.concat("text", F.lit("\n")))
-    return ended.orderBy(depth.desc(), "dir", "file_name")
+    return _in_order(df.withColumn("text", F.concat("text", F.lit("\n"))))
 
 
 def write_corpus(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write the joined corpus; its part files follow the order. One file only on request."""
-    texts = concat_corpus(df).select("text")
-    (texts.coalesce(1) if single_file else texts).write.text(path, lineSep="")
+    """Write the joined corpus; its part files follow the order. One file only on request.
+
+    The sink itself ends every book with the line break.
+    """
+    texts = _in_order(df).select("text")
+    (texts.coalesce(1) if single_file else texts).write.text(path, lineSep="\n")
 
 
 def write_books(df: DataFrame, root: str, by_dir: bool = False) -> None:
