@@ -19,6 +19,7 @@ again over all words.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -87,10 +88,19 @@ def _text(value: str) -> str:
 
 
 def _merged(symbols: str, rules: list[tuple[str, str]]) -> str:
-    """SQL for the symbols after the rules, applied in order."""
-    for pair, symbol in rules:
-        symbols = f"replace({symbols}, {_text(pair)}, {_text(symbol)})"
-    return symbols
+    """SQL for the symbols after the rules, applied in order.
+
+    The rules are one constant, so the generated code is the same in every round and is reused.
+    """
+    constant = json.dumps([{"p": pair, "s": symbol} for pair, symbol in rules], ensure_ascii=False)
+    table = f"from_json({_text(constant)}, 'array<struct<p:string,s:string>>')"
+    return f"aggregate({table}, {symbols}, (s, r) -> replace(s, r.p, r.s))"
+
+
+def _touched(symbols: str, rules: list[tuple[str, str]]) -> str:
+    """SQL for whether any rule applies to the symbols."""
+    pairs = "\n".join(pair for pair, _ in rules)
+    return f"exists(split({_text(pairs)}, '\\n'), p -> contains({symbols}, p))"
 
 
 def pair_counts(symbol_table: DataFrame) -> DataFrame:
@@ -137,8 +147,7 @@ def learn_merges(symbol_table: DataFrame, n_pieces: int, min_count: int = 2) ->
             break
         rules = [(pair, symbols.add(pair)) for pair in chosen]
         current = table.selectExpr(f"{_merged('symbols', pending)} as symbols", "n")
-        touched = " or ".join(f"contains(symbols, {_text(pair)})" for pair in chosen)
-        changed = current.where(touched).selectExpr(
+        changed = current.where(_touched("symbols", rules)).selectExpr(
             "symbols", f"{_merged('symbols', rules)} as after", "n")
         lost = f"transform({_neighbours('symbols')}, p -> struct(p as pair, -n as n))"
         won = f"transform({_neighbours('after')}, p -> struct(p as pair, n as n))"

@@ -52,7 +52,7 @@ def planned_steps(df: DataFrame, epochs: float, batch_rows: int, replicas: int =
 def metrics_row(**parts: DataFrame) -> DataFrame:
     """One row of named metrics out of one-value frames (each a global aggregate)."""
     rows = [
-        part.select(F.lit(name).alias("metric"), F.col(part.columns[0]).cast("double").alias("value"))
+        part.toDF("value").select(F.lit(name).alias("metric"), F.col("value").cast("double"))
         for name, part in parts.items()
     ]
     return reduce(DataFrame.union, rows).groupBy().pivot("metric", list(parts)).agg(F.first("value"))

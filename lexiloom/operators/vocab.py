@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import CHARACTER_COVERAGE, HEAD_LINES, SPECIALS, WORD_MARK
 from ..functions.text import words
+from ..storage import write_table
 from .index import with_row_index
 
 VOCAB_SCHEMA = "id INT, piece STRING, score FLOAT, origin STRING"
@@ -39,7 +40,7 @@ def alphabet(counts: DataFrame, coverage: float = CHARACTER_COVERAGE) -> DataFra
 
 
 def word_vocab(counts: DataFrame) -> DataFrame:
-    """Words as a vocabulary, the most frequent first."""
+    """Words as a vocabulary, the most frequent first. Give the counts as a written table."""
     ranked = with_row_index(counts, [-F.col("n"), "word"], "id")
     return ranked.select(F.col("id").cast("int").alias("id"), F.col("word").alias("piece"),
                          (-F.col("id")).cast("float").alias("score"),
@@ -51,7 +52,8 @@ def merge_vocab(base: DataFrame, new: DataFrame) -> DataFrame:
     first_id = base.agg(F.max("id")).first()[0]
     first_id = 0 if first_id is None else first_id + 1
     missing = new.select("id", "piece").join(base.select("piece"), "piece", "left_anti")
-    numbered = with_row_index(missing, ["id"], "_n")
+    # Numbering reads its input several times; the join runs once.
+    numbered = with_row_index(write_table(missing, "new-pieces")[0], ["id"], "_n")
     added = numbered.select(
         (F.col("_n") + first_id).cast("int").alias("id"), "piece",
         F.lit(0.0).cast("float").alias("score"), F.lit("new").alias("origin"))

@@ -11,7 +11,7 @@ from ..operators import batch, dialogue, encode, index, pack, sampling, sets, st
 from ..operators.bpe import pair_counts as count_pairs, symbol_words, train_bpe as learn
 from ..operators.layout import spread
 from ..sources import books, cache, json_records, lines, sinks
-from ..storage import new_path
+from ..storage import new_path, write_table
 from . import pretraining, tuning
 
 MERGED_DOCUMENTS = 40
@@ -280,13 +280,15 @@ def pair_counts(spark, sf_dir):
 
 
 def train_bpe(spark, sf_dir):
-    return trained(spark, sf_dir, "documents").select(
+    learnt = learn(documents(spark, sf_dir), n_merged=MERGED_DOCUMENTS)
+    return learnt.select(
         F.col("id").cast("bigint").alias("id"), "piece", F.col("score").cast("bigint").alias("score"))
 
 
 def word_vocabs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    base = vocab.word_vocab(vocab.word_counts(table(spark, sf_dir, "benchmark")))
-    return base, vocab.word_vocab(vocab.word_counts(documents(spark, sf_dir)))
+    base = vocab.word_counts(table(spark, sf_dir, "benchmark"))
+    new = vocab.word_counts(documents(spark, sf_dir))
+    return tuple(vocab.word_vocab(write_table(c, "words")[0]) for c in (base, new))
 
 
 def merge_vocab(spark, sf_dir):

@@ -10,24 +10,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 ENCODINGS = ("utf-8", "gb18030")
 
 
-def scan_books(spark: SparkSession, root: str, suffix: str = ".txt") -> DataFrame:
+def _empty_files(files: DataFrame) -> DataFrame:
+    """Files of zero bytes: Spark lists them but leaves them out of a scan."""
+    uri = F.url_decode(F.regexp_replace("uri", "\\+", "%2B"))
+    listed = files.sparkSession.createDataFrame([(u,) for u in files.inputFiles()], "uri string")
+    paths = listed.select(F.regexp_replace(uri, "^file:/+", "file:/").alias("path"))
+    missing = paths.join(files.select("path"), "path", "left_anti")
+    return missing.withColumn("content", F.lit("").cast("binary"))
+
+
+def scan_books(spark: SparkSession, root: str, suffix: str = ".txt",
+               keep_empty: bool = True) -> DataFrame:
     """Files below ``root`` whose names end in ``suffix`` (case-sensitive), with relative paths.
 
-    Names that begin with a dot or an underscore are hidden to Spark's file listing.
+    Names that begin with a dot or an underscore are hidden to Spark's file listing. Empty files are
+    added from that listing, which the driver holds in any case; ``keep_empty=False`` spares it the
+    second copy on trees of very many files.
     """
     root = root.rstrip("/")
     if "/" not in root[:1] and ":" not in root:
         raise ValueError("give the root as an absolute path or URI")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*{suffix}").load(root)
+        .option("pathGlobFilter", f"*{suffix}").load(root).select("path", "content")
     )
-    inside = F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})")
-    rel = files.select("path", inside.alias("rel_path"), "content")
-    name = F.substring_index("rel_path", "/", -1)
+    if keep_empty:
+        files = files.unionByName(_empty_files(files))
+    start = F.locate(f"{root}/", F.col("path")) + len(root) + 1
+    rel = files.withColumn("rel_path", F.substring("path", start, F.length("path")))
     return rel.select(
         "path", F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), "rel_path",
-        name.alias("file_name"), "content")
+        F.substring_index("rel_path", "/", -1).alias("file_name"), "content")
 
 
 def _lenient(encodings: tuple[str, ...]):
