@@ -1,28 +1,32 @@
 """Learning a byte-pair vocabulary as a Spark job over the table of distinct words.
 
-Inside the job every symbol is one code point: characters stand for themselves and the k-th merge
-is the code point ``_FIRST_MERGED + k``. Merging a pair is then a literal ``replace`` and a word's
-pairs are its neighbouring code points, so no Python runs on the data.
-
-Pairs rank by (count desc, newer symbol asc, left, right). A round merges the longest prefix of the
-ranking that gives the same result as one merge at a time:
-
-* no symbol occurs in two pairs of the prefix, since a merge changes only pairs that share a symbol
-  with it, and a pair it creates counts at most what an older pair with that symbol did and loses
-  ties to all older pairs;
-* the prefix ends after a pair of two equal symbols and after a pair whose string already is a
-  symbol, the two cases in which that bound does not hold.
-
-Pair counts are kept as a table and changed by the words a round touches, instead of being counted
-again over all words.
+Inside the job every symbol is one code point: characters stand for themselves and the k-th merged
+piece is the code point ``_FIRST_MERGED + k``. Merging a pair is then a literal ``replace`` and a
+word's pairs are its neighbouring code points. Counting, ranking and cutting are plain expressions;
+only the rules of a round are applied by a small Arrow function.
+
+Pairs rank by (count desc, newer symbol asc, left, right). A round makes many merges with the same
+result as one at a time. Take the ``k`` best pairs as candidates and cut every word wherever two
+neighbours are not a candidate. What is left are short runs; the distinct ones with their counts
+are few and come to the driver, which merges in them pair by pair:
+
+* whenever two symbols P and Q are neighbours, the last old symbol in P and the first in Q are an
+  old pair at that place, so P Q counts at most what that old pair did at the start of the round;
+* so a pair that ranks above the first pair that is not a candidate has all its places inside the
+  runs, and its count there is exact. The round ends when no such pair is left;
+* it also ends after a pair whose text already is a symbol, since that adds places to old pairs.
+
+If there are too many distinct runs, fewer candidates are taken; a single one needs no runs at all.
 """
 
 from __future__ import annotations
 
-import json
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import CHARACTER_COVERAGE, SPECIALS, VOCAB_SIZE, WORD_MARK
@@ -32,8 +36,10 @@ from .vocab import VOCAB_SCHEMA, alphabet, word_counts
 _FIRST_MERGED = 0xF0000
 _LAST_MERGED = 0x10FFFD
 _UNKNOWN = " "
-_CANDIDATES = 64
-_ROUNDS_PER_TABLE = 10
+_FIRST_CANDIDATES = 64
+_MAX_CANDIDATES = 1024
+_MAX_RUNS = 50_000
+MIN_COUNT = 2
 
 
 @dataclass
@@ -87,20 +93,30 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _merged(symbols: str, rules: list[tuple[str, str]]) -> str:
-    """SQL for the symbols after the rules, applied in order.
+def merge_word(word: str, rules: dict[str, tuple[int, str]]) -> str:
+    """One word after the rules (pair -> position, symbol), the earliest that applies first.
 
-    The rules are one constant, so the generated code is the same in every round and is reused.
+    No rule makes a pair of an earlier one, so this is the same as applying all of them in order,
+    but takes time by the length of the word only.
     """
-    constant = json.dumps([{"p": pair, "s": symbol} for pair, symbol in rules], ensure_ascii=False)
-    table = f"from_json({_text(constant)}, 'array<struct<p:string,s:string>>')"
-    return f"aggregate({table}, {symbols}, (s, r) -> replace(s, r.p, r.s))"
+    while True:
+        found = [rules[p] + (p,) for p in map("".join, zip(word, word[1:])) if p in rules]
+        if not found:
+            return word
+        _, symbol, pair = min(found)
+        word = word.replace(pair, symbol)
+
+
+def merged_words(table: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """The table after a round: a narrow pass over Arrow batches."""
+    shared = {pair: (i, symbol) for i, (pair, symbol) in enumerate(rules)}
 
+    def batches(words: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in words:
+            yield pa.array([merge_word(w, shared) for w in batch.to_pylist()], pa.string())
 
-def _touched(symbols: str, rules: list[tuple[str, str]]) -> str:
-    """SQL for whether any rule applies to the symbols."""
-    pairs = "\n".join(pair for pair, _ in rules)
-    return f"exists(split({_text(pairs)}, '\\n'), p -> contains({symbols}, p))"
+    batches.__annotations__ = {"words": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return table.select(F.arrow_udf(batches, "string")("symbols").alias("symbols"), "n")
 
 
 def pair_counts(symbol_table: DataFrame) -> DataFrame:
@@ -108,69 +124,106 @@ def pair_counts(symbol_table: DataFrame) -> DataFrame:
     return exploded.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def _rank(pair: str, n: int) -> tuple:
+    return -n, max(pair), pair[0], pair[1]
+
+
 def ranked(pairs: DataFrame) -> DataFrame:
     left, right = F.substring("pair", 1, 1), F.substring("pair", 2, 1)
     return pairs.orderBy(F.desc("n"), F.greatest(left, right), left, right)
 
 
-def safe_prefix(candidates: list[str], symbols: Symbols, room: int) -> list[str]:
-    """The leading pairs that may be merged in one round."""
-    chosen: list[str] = []
-    used: set[str] = set()
-    made: set[str] = set()
-    for pair in candidates:
-        if used & set(pair) or len(made) >= room:
+def candidate_runs(symbol_table: DataFrame, candidates: list[str]) -> DataFrame:
+    """Distinct stretches of words in which all neighbours are candidates, with their counts."""
+    listed = ", ".join(_text(pair) for pair in candidates)
+    parts = "split(symbols, '')"
+    cut = (f"zip_with({parts}, slice({parts}, 2, size({parts})), "
+           f"(a, b) -> if(concat(a, b) in ({listed}), a, concat(a, '{_UNKNOWN}')))")
+    runs = f"filter(split(array_join({cut}, ''), '{_UNKNOWN}'), r -> length(r) > 1)"
+    stretches = symbol_table.selectExpr(f"explode({runs}) as run", "n")
+    return stretches.groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def merge_in_runs(runs: list[tuple[str, int]], bound: tuple, symbols: Symbols,
+                  n_pieces: int) -> list[tuple[str, str]]:
+    """Merge pair by pair while the best pair ranks above ``bound``; returns the rules made."""
+    texts = [run for run, _ in runs]
+    counts: Counter[str] = Counter()
+    places: defaultdict[str, set[int]] = defaultdict(set)
+
+    def count(i: int, sign: int) -> set[str]:
+        pairs = [left + right for left, right in zip(texts[i], texts[i][1:])]
+        for pair in pairs:
+            counts[pair] += sign * runs[i][1]
+            places[pair].add(i)
+        return set(pairs)
+
+    for i in range(len(runs)):
+        count(i, 1)
+    queue = [_rank(pair, n) for pair, n in counts.items()]
+    heapify(queue)
+    rules = []
+    while queue and len(symbols.symbol_of) < n_pieces:
+        best = heappop(queue)
+        pair = best[2] + best[3]
+        if counts[pair] != -best[0]:
+            continue  # an older count of this pair
+        if counts[pair] < MIN_COUNT or not best < bound:
             break
-        text = symbols.text(pair[0]) + symbols.text(pair[1])
-        chosen.append(pair)
-        if pair[0] == pair[1] or symbols.known(pair) or text in made:
+        known = symbols.known(pair)
+        rules.append((pair, symbols.add(pair)))
+        if known:
             break
-        used |= set(pair)
-        made.add(text)
-    return chosen
-
-
-def learn_merges(symbol_table: DataFrame, n_pieces: int, min_count: int = 2) -> Symbols:
-    """Merge until there are ``n_pieces`` merged pieces or no pair occurs ``min_count`` times."""
+        changed = set()
+        for i in places.pop(pair):
+            changed |= count(i, -1)
+            texts[i] = texts[i].replace(*rules[-1])
+            changed |= count(i, 1)
+        for p in changed:
+            heappush(queue, _rank(p, counts[p]))
+    return rules
+
+
+def _round(table: DataFrame, pairs: DataFrame, symbols: Symbols, n_pieces: int,
+           k: int) -> tuple[list[tuple[str, str]], int]:
+    """Rules of one round, and the number of candidates to begin the next with."""
+    top = [(r.pair, r.n) for r in ranked(pairs.where(F.col("n") >= MIN_COUNT)).limit(k + 1).collect()]
+    while top:
+        candidates = top[:k]
+        if len(candidates) == 1:
+            pair = candidates[0][0]
+            return [(pair, symbols.add(pair))], 2
+        found = candidate_runs(table, [p for p, _ in candidates]).limit(_MAX_RUNS + 1).collect()
+        if len(found) <= _MAX_RUNS:
+            bound = _rank(*top[k]) if len(top) > k else (0,)
+            rules = merge_in_runs([(r.run, r.n) for r in found], bound, symbols, n_pieces)
+            return rules, min(2 * k, _MAX_CANDIDATES)
+        k = max(k // 4, 1)
+    return [], k
+
+
+def learn_merges(symbol_table: DataFrame, n_pieces: int) -> Symbols:
+    """Merge until there are ``n_pieces`` merged pieces or no pair occurs twice.
+
+    Words and pair counts are written anew after each round, so no round depends on the plan or the
+    cached blocks of another.
+    """
     spark = symbol_table.sparkSession
     symbols = Symbols()
-    table, table_path = write_table(symbol_table, "bpe-words")
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    # Merging is heavy on CPU and light on bytes: keep the words in as many files as there are tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, table_path = write_table(symbol_table.repartition(tasks), "bpe-words")
     pairs, pairs_path = write_table(pair_counts(table), "bpe-pairs")
-    live = [table]
-    pending: list[tuple[str, str]] = []
-    rounds = 0
+    k = _FIRST_CANDIDATES
     while len(symbols.symbol_of) < n_pieces:
-        top = ranked(pairs.where(F.col("n") >= min_count)).limit(_CANDIDATES).collect()
-        chosen = safe_prefix([r.pair for r in top], symbols, n_pieces - len(symbols.symbol_of))
-        if not chosen:
+        rules, k = _round(table, pairs, symbols, n_pieces, k)
+        if not rules:
             break
-        rules = [(pair, symbols.add(pair)) for pair in chosen]
-        current = table.selectExpr(f"{_merged('symbols', pending)} as symbols", "n")
-        changed = current.where(_touched("symbols", rules)).selectExpr(
-            "symbols", f"{_merged('symbols', rules)} as after", "n")
-        lost = f"transform({_neighbours('symbols')}, p -> struct(p as pair, -n as n))"
-        won = f"transform({_neighbours('after')}, p -> struct(p as pair, n as n))"
-        delta = changed.selectExpr(f"inline(concat({lost}, {won}))")
-        updated = pairs.unionByName(delta).groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
-        pending += rules
-        rounds += 1
-        if rounds % _ROUNDS_PER_TABLE == 0:
-            old_paths = (table_path, pairs_path)
-            new_table, table_path = write_table(
-                table.selectExpr(f"{_merged('symbols', pending)} as symbols", "n"), "bpe-words")
-            pairs, pairs_path = write_table(updated, "bpe-pairs")
-            for frame in live:
-                frame.unpersist()
-            for path in old_paths:
-                drop_table(spark, path)
-            table, pending = new_table.persist(StorageLevel.MEMORY_AND_DISK), []
-            live = [table]
-        else:
-            pairs = updated.persist(StorageLevel.MEMORY_AND_DISK)
-            live.append(pairs)
-    for frame in live:
-        frame.unpersist()
+        old_paths = table_path, pairs_path
+        table, table_path = write_table(merged_words(table, rules), "bpe-words")
+        pairs, pairs_path = write_table(pair_counts(table), "bpe-pairs")
+        for path in old_paths:
+            drop_table(spark, path)
     for path in (table_path, pairs_path):
         drop_table(spark, path)
     return symbols

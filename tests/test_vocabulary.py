@@ -69,13 +69,60 @@ def test_spark_training_equals_one_merge_at_a_time(spark, seed):
     assert learnt.merges == sequential(words, 12)
 
 
+def in_rounds(words, n_pieces, k):
+    """The trainer's rounds on plain dictionaries instead of tables."""
+    symbols = bpe.Symbols()
+    table = Counter({"▁" + w: n for w, n in words.items()})
+    while len(symbols.symbol_of) < n_pieces:
+        pairs = Counter()
+        for s, n in table.items():
+            for a, b in zip(s, s[1:]):
+                pairs[a + b] += n
+        top = sorted(((p, n) for p, n in pairs.items() if n >= 2), key=lambda x: bpe._rank(*x))[:k + 1]
+        if not top:
+            break
+        candidates = {p for p, _ in top[:k]}
+        runs = Counter()
+        for s, n in table.items():
+            cut = "".join(a if a + b in candidates else a + " " for a, b in zip(s, s[1:])) + s[-1]
+            for run in cut.split(" "):
+                if len(run) > 1:
+                    runs[run] += n
+        bound = bpe._rank(*top[k]) if len(top) > k else (0,)
+        rules = bpe.merge_in_runs(list(runs.items()), bound, symbols, n_pieces)
+        assert rules
+        merged = Counter()
+        for s, n in table.items():
+            for rule in rules:
+                s = s.replace(*rule)
+            merged[s] += n
+        table = merged
+    return symbols.merges
+
+
+def test_rounds_of_any_width_equal_one_merge_at_a_time():
+    for seed in range(3_000):
+        words = random_words(seed)
+        n = 1 + seed % 25
+        assert in_rounds(words, n, 1 + seed % 7) == sequential(words, n), seed
+
+
+@pytest.mark.parametrize("limit", [1, 20, 300])
+def test_too_many_runs_take_fewer_candidates(spark, monkeypatch, limit):
+    monkeypatch.setattr(bpe, "_MAX_RUNS", limit)
+    words = random_words(4)
+    counts = vocab.word_counts(corpus(spark, words))
+    learnt = bpe.learn_merges(bpe.symbol_words(counts, vocab.alphabet(counts, 1.0)), 8)
+    assert learnt.merges == sequential(words, 8)
+
+
 def test_training_on_documents_equals_one_merge_at_a_time(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = vocab.word_counts(docs).orderBy(F.desc("n"), "word").limit(2_000)
     rows = {r.word: r.n for r in counts.collect()}
     table = spark.createDataFrame(list(rows.items()), "word string, n long")
-    learnt = bpe.learn_merges(bpe.symbol_words(table, vocab.alphabet(table, 1.0)), 60)
-    assert learnt.merges == sequential(rows, 60)
+    learnt = bpe.learn_merges(bpe.symbol_words(table, vocab.alphabet(table, 1.0)), 150)
+    assert learnt.merges == sequential(rows, 150)
 
 
 def test_vocabulary_layout(spark):
