@@ -71,11 +71,10 @@ class Symbols:
 
 def symbol_words(counts: DataFrame, chars: DataFrame) -> DataFrame:
     """``symbols, n`` of the marked words; characters outside the alphabet become a barrier."""
-    # Bounded by the number of code points.
-    dropped = "".join(r.ch for r in chars.where(~F.col("kept")).select("ch").collect())
+    # Code points used for merged symbols cannot stand for themselves. Bounded by Unicode.
+    unusable = ~F.col("kept") | (F.col("ch") >= chr(_FIRST_MERGED))
+    dropped = "".join(r.ch for r in chars.where(unusable).select("ch").collect())
     marked = F.concat(F.lit(WORD_MARK), "word")
-    # Characters in the range used for merged symbols cannot stand for themselves.
-    marked = F.regexp_replace(marked, r"[\x{F0000}-\x{10FFFD}]", _UNKNOWN)
     if dropped:
         marked = F.translate(marked, dropped, _UNKNOWN * len(dropped))
     return counts.select(marked.alias("symbols"), "n")
@@ -238,18 +237,16 @@ def train_bpe(df: DataFrame, vocab_size: int = VOCAB_SIZE, coverage: float = CHA
     spark = df.sparkSession
     counts, path = write_table(word_counts(df, text), "bpe-counts")
     chars = alphabet(counts, coverage).persist()
-    kept = [r.ch for r in chars.where("kept").orderBy(F.desc("n"), "ch").collect()]
+    usable = chars.where(F.col("kept") & (F.col("ch") < chr(_FIRST_MERGED)))
+    kept = [r.ch for r in usable.orderBy(F.desc("n"), "ch").collect()]
     room = n_merged if n_merged is not None else max(vocab_size - len(SPECIALS) - len(kept), 0)
     symbols = learn_merges(symbol_words(counts, chars), room)
     chars.unpersist()
     drop_table(spark, path)
-    pieces = list(SPECIALS) + list(symbols.symbol_of) + [c for c in kept if not _reserved(c)]
+    pieces = list(SPECIALS) + [p for p in symbols.symbol_of if p not in SPECIALS] + kept
     rows = [
         (i, piece, 0.0 if i < len(SPECIALS) else float(len(SPECIALS) - i), "trained")
         for i, piece in enumerate(pieces)
     ]
     return spark.createDataFrame(rows, VOCAB_SCHEMA)
 
-
-def _reserved(char: str) -> bool:
-    return _FIRST_MERGED <= ord(char) <= _LAST_MERGED

@@ -1,25 +1,15 @@
-"""Spreading inputs that are too small or too few files to fill the executors."""
+"""Spreading inputs that are too few splits to fill the executors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-_SIZES: dict[tuple[str, ...], int] = {}
+from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan of few small files before work heavy on CPU.
+    """Rebalance a scan of fewer splits than cores before work heavy on CPU.
 
-    The shuffle happens only while the files together are smaller than one scan split per core, so
-    it is bounded by that size and never touches a large input.
+    A scan with that few splits holds less than one split's bytes per core, so the shuffle is bounded
+    by that size and never touches a large input. Meant for plain scans: others would be planned.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = tuple(sorted(df.inputFiles()))
-    if not files or len(files) >= cores:
-        return df
-    if files not in _SIZES:
-        lengths = spark.read.format("binaryFile").load(list(files)).select("length")
-        _SIZES[files] = lengths.agg(F.sum("length")).first()[0] or 0
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    return df.repartition(cores) if _SIZES[files] < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

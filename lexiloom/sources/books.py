@@ -11,7 +11,12 @@ ENCODINGS = ("utf-8", "gb18030")
 
 
 def _empty_files(files: DataFrame) -> DataFrame:
-    """Files of zero bytes: Spark lists them but leaves them out of a scan."""
+    """Files of zero bytes: Spark lists them but leaves them out of a scan.
+
+    Names come to the driver only if there are such files.
+    """
+    if len(files._jdf.inputFiles()) == files.count():
+        return files.limit(0)
     uri = F.url_decode(F.regexp_replace("uri", "\\+", "%2B"))
     listed = files.sparkSession.createDataFrame([(u,) for u in files.inputFiles()], "uri string")
     paths = listed.select(F.regexp_replace(uri, "^file:/+", "file:/").alias("path"))
@@ -24,8 +29,7 @@ def scan_books(spark: SparkSession, root: str, suffix: str = ".txt",
     """Files below ``root`` whose names end in ``suffix`` (case-sensitive), with relative paths.
 
     Names that begin with a dot or an underscore are hidden to Spark's file listing. Empty files are
-    added from that listing, which the driver holds in any case; ``keep_empty=False`` spares it the
-    second copy on trees of very many files.
+    added from that listing unless ``keep_empty`` is off.
     """
     root = root.rstrip("/")
     if "/" not in root[:1] and ":" not in root:
@@ -116,9 +120,11 @@ def write_corpus(df: DataFrame, path: str, single_file: bool = False) -> None:
 def write_books(df: DataFrame, root: str, by_dir: bool = False) -> None:
     """Cleaned books keyed by relative path, or as text below one folder per directory.
 
-    The input is never deleted. No directory is gathered into one task.
+    The input is never deleted. Ranges of directory and path keep small directories in one file and
+    spread a huge one over many.
     """
     if by_dir:
-        df.select("dir", "text").write.partitionBy("dir").text(root, lineSep="\n")
+        ranged = df.repartitionByRange("dir", "rel_path").select("dir", "text")
+        ranged.write.partitionBy("dir").text(root, lineSep="\n")
     else:
         df.select("rel_path", "text").write.parquet(root)
