@@ -39,6 +39,8 @@ _UNKNOWN = " "
 _FIRST_CANDIDATES = 64
 _MAX_CANDIDATES = 1024
 _MAX_RUNS = 50_000
+_WORDS_PER_TASK = 20_000
+_SHORT_WORD = 32
 MIN_COUNT = 2
 
 
@@ -69,11 +71,19 @@ class Symbols:
         return self.symbol_of[joined]
 
 
-def symbol_words(counts: DataFrame, chars: DataFrame) -> DataFrame:
-    """``symbols, n`` of the marked words; characters outside the alphabet become a barrier."""
-    # Code points used for merged symbols cannot stand for themselves. Bounded by Unicode.
-    unusable = ~F.col("kept") | (F.col("ch") >= chr(_FIRST_MERGED))
-    dropped = "".join(r.ch for r in chars.where(unusable).select("ch").collect())
+def usable_characters(chars: DataFrame) -> tuple[list[str], str]:
+    """Kept characters, the most frequent first, and all others; at most the size of Unicode.
+
+    Code points used for merged symbols cannot stand for themselves.
+    """
+    rows = sorted(chars.collect(), key=lambda r: (-r.n, r.ch))
+    kept = [r.ch for r in rows if r.kept and ord(r.ch) < _FIRST_MERGED]
+    dropped = "".join(r.ch for r in rows if not r.kept or ord(r.ch) >= _FIRST_MERGED)
+    return kept, dropped
+
+
+def symbol_words(counts: DataFrame, dropped: str) -> DataFrame:
+    """``symbols, n`` of the marked words; a dropped character becomes a barrier."""
     marked = F.concat(F.lit(WORD_MARK), "word")
     if dropped:
         marked = F.translate(marked, dropped, _UNKNOWN * len(dropped))
@@ -84,7 +94,10 @@ def _neighbours(symbols: str) -> str:
     """SQL for all pairs of neighbouring symbols, without those at a barrier."""
     parts = f"split({symbols}, '')"
     left, right = f"slice({parts}, 1, size({parts}) - 1)", f"slice({parts}, 2, size({parts}))"
-    pairs = f"zip_with({left}, {right}, (a, b) -> concat(a, b))"
+    long = f"zip_with({left}, {right}, (a, b) -> concat(a, b))"
+    # Cutting from the word is faster, but its cost grows with the square of the length.
+    short = f"transform(sequence(1, greatest(length({symbols}) - 1, 1)), i -> substring({symbols}, i, 2))"
+    pairs = f"if(length({symbols}) <= {_SHORT_WORD}, {short}, {long})"
     return f"filter({pairs}, p -> length(p) = 2 and not contains(p, '{_UNKNOWN}'))"
 
 
@@ -196,7 +209,8 @@ def _round(table: DataFrame, pairs: DataFrame, symbols: Symbols, n_pieces: int,
         if len(found) <= _MAX_RUNS:
             bound = _rank(*top[k]) if len(top) > k else (0,)
             rules = merge_in_runs([(r.run, r.n) for r in found], bound, symbols, n_pieces)
-            return rules, min(2 * k, _MAX_CANDIDATES)
+            growth = 8 if len(found) < _MAX_RUNS // 20 else 2
+            return rules, min(growth * k, _MAX_CANDIDATES)
         k = max(k // 4, 1)
     return [], k
 
@@ -209,14 +223,15 @@ def learn_merges(symbol_table: DataFrame, n_pieces: int) -> Symbols:
     """
     spark = symbol_table.sparkSession
     symbols = Symbols()
-    # Merging is heavy on CPU and light on bytes: keep the words in as many files as there are tasks.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Merging is heavy on CPU and light on bytes: the size of the files would give too few tasks.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(partitions, symbol_table.count() // _WORDS_PER_TASK))
     table, table_path = write_table(symbol_table.repartition(tasks), "bpe-words")
     pairs, pairs_path = write_table(pair_counts(table), "bpe-pairs")
     k = _FIRST_CANDIDATES
     while len(symbols.symbol_of) < n_pieces:
         rules, k = _round(table, pairs, symbols, n_pieces, k)
-        if not rules:
+        if not rules or len(symbols.symbol_of) >= n_pieces:
             break
         old_paths = table_path, pairs_path
         table, table_path = write_table(merged_words(table, rules), "bpe-words")
@@ -236,12 +251,9 @@ def train_bpe(df: DataFrame, vocab_size: int = VOCAB_SIZE, coverage: float = CHA
     """
     spark = df.sparkSession
     counts, path = write_table(word_counts(df, text), "bpe-counts")
-    chars = alphabet(counts, coverage).persist()
-    usable = chars.where(F.col("kept") & (F.col("ch") < chr(_FIRST_MERGED)))
-    kept = [r.ch for r in usable.orderBy(F.desc("n"), "ch").collect()]
+    kept, dropped = usable_characters(alphabet(counts, coverage))
     room = n_merged if n_merged is not None else max(vocab_size - len(SPECIALS) - len(kept), 0)
-    symbols = learn_merges(symbol_words(counts, chars), room)
-    chars.unpersist()
+    symbols = learn_merges(symbol_words(counts, dropped), room)
     drop_table(spark, path)
     pieces = list(SPECIALS) + [p for p in symbols.symbol_of if p not in SPECIALS] + kept
     rows = [

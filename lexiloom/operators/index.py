@@ -16,7 +16,8 @@ from ..functions.text import col, hash_key
 
 _BUCKETS_PER_PARTITION = 4
 _MAX_BUCKETS = 16_384
-_SAMPLES_PER_BUCKET = 50
+_SAMPLES_PER_BUCKET = 30
+_ROWS_PER_BUCKET = 500
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -31,9 +32,9 @@ def _key(keys: Sequence[Column]) -> Column:
 
 def range_bucket(df: DataFrame, keys: Sequence[Column]) -> Column:
     """Bucket number from sampled borders. The sample steers balance only, never the result."""
-    n_buckets = bucket_count(df)
     rows = df.select(_key(keys).alias("key"))
     total = rows.count()
+    n_buckets = min(bucket_count(df), 1 + total // _ROWS_PER_BUCKET)
     wanted = n_buckets * _SAMPLES_PER_BUCKET
     sample = rows if total <= wanted else rows.sample(wanted / total, seed=7)
     picked = [r.j for r in sample.orderBy("key").select(F.to_json("key").alias("j")).collect()]

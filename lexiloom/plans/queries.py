@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import fixed
 from ..functions.text import clean_text, python_list_text, split_semicolons, words, wrap_document
 from ..operators import batch, dialogue, encode, index, pack, sampling, sets, stats, supervised, vocab
-from ..operators.bpe import pair_counts as count_pairs, symbol_words, train_bpe as learn
+from ..operators.bpe import pair_counts as count_pairs, symbol_words, train_bpe as learn, usable_characters
 from ..operators.layout import spread
 from ..sources import books, cache, json_records, lines, sinks
 from ..storage import new_path, write_table
 from . import pretraining, tuning
 
-MERGED_DOCUMENTS = 40
-MERGED_BENCHMARK = 20
+MERGED_DOCUMENTS = 120
+MERGED_BENCHMARK = 60
 CUSTOM_PATTERNS = ("th+", "[aeiou]", r"\d+")
 PACK_BLOCK, PACK_ROWS = 256, 200
 WORD_BLOCK, WORD_ROWS = 128, 100
@@ -276,7 +276,7 @@ def alphabet(spark, sf_dir):
 
 def pair_counts(spark, sf_dir):
     counts = vocab.word_counts(documents(spark, sf_dir))
-    return count_pairs(symbol_words(counts, vocab.alphabet(counts)))
+    return count_pairs(symbol_words(counts, usable_characters(vocab.alphabet(counts))[1]))
 
 
 def train_bpe(spark, sf_dir):

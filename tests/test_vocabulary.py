@@ -65,7 +65,7 @@ def corpus(spark, words):
 def test_spark_training_equals_one_merge_at_a_time(spark, seed):
     words = random_words(seed)
     counts = vocab.word_counts(corpus(spark, words))
-    learnt = bpe.learn_merges(bpe.symbol_words(counts, vocab.alphabet(counts, 1.0)), 12)
+    learnt = bpe.learn_merges(bpe.symbol_words(counts, ""), 12)
     assert learnt.merges == sequential(words, 12)
 
 
@@ -112,7 +112,7 @@ def test_too_many_runs_take_fewer_candidates(spark, monkeypatch, limit):
     monkeypatch.setattr(bpe, "_MAX_RUNS", limit)
     words = random_words(4)
     counts = vocab.word_counts(corpus(spark, words))
-    learnt = bpe.learn_merges(bpe.symbol_words(counts, vocab.alphabet(counts, 1.0)), 8)
+    learnt = bpe.learn_merges(bpe.symbol_words(counts, ""), 8)
     assert learnt.merges == sequential(words, 8)
 
 
@@ -121,7 +121,7 @@ def test_training_on_documents_equals_one_merge_at_a_time(spark, sf_dir):
     counts = vocab.word_counts(docs).orderBy(F.desc("n"), "word").limit(2_000)
     rows = {r.word: r.n for r in counts.collect()}
     table = spark.createDataFrame(list(rows.items()), "word string, n long")
-    learnt = bpe.learn_merges(bpe.symbol_words(table, vocab.alphabet(table, 1.0)), 150)
+    learnt = bpe.learn_merges(bpe.symbol_words(table, ""), 150)
     assert learnt.merges == sequential(rows, 150)
 
 
