@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .fixed import BOS, EOS, FULLWIDTH_SEMICOLON, OCR_PATTERNS, WHITESPACE
 
@@ -49,10 +49,21 @@ def wrap_document(text: str | Column) -> Column:
     return F.concat(F.lit(BOS), col(text), F.lit(EOS))
 
 
-def words(text: str | Column) -> Column:
-    """The runs of non-whitespace, in order; a plain-character split avoids the regex engine."""
+def _split_at_spaces(text: str | Column) -> Column:
+    """A plain-character split avoids the regex engine; it leaves empty strings between spaces."""
     flat = F.translate(col(text), WHITESPACE[1:], " " * (len(WHITESPACE) - 1))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.split(flat, " ")
+
+
+def words(text: str | Column) -> Column:
+    """The runs of non-whitespace, in order."""
+    return F.filter(_split_at_spaces(text), lambda w: w != "")
+
+
+def explode_words(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per word, with the columns to keep."""
+    rows = df.select(*keep, F.explode(_split_at_spaces(text)).alias("word"))
+    return rows.where(F.col("word") != "")
 
 
 def hash_key(key: str | Column, seed: int = 42) -> Column:

@@ -37,7 +37,7 @@ _FIRST_MERGED = 0xF0000
 _LAST_MERGED = 0x10FFFD
 _UNKNOWN = " "
 _FIRST_CANDIDATES = 64
-_MAX_CANDIDATES = 1024
+_MAX_CANDIDATES = 8192
 _MAX_RUNS = 50_000
 _WORDS_PER_TASK = 20_000
 _SHORT_WORD = 32
@@ -209,7 +209,7 @@ def _round(table: DataFrame, pairs: DataFrame, symbols: Symbols, n_pieces: int,
         if len(found) <= _MAX_RUNS:
             bound = _rank(*top[k]) if len(top) > k else (0,)
             rules = merge_in_runs([(r.run, r.n) for r in found], bound, symbols, n_pieces)
-            growth = 8 if len(found) < _MAX_RUNS // 20 else 2
+            growth = 4 if len(found) < _MAX_RUNS // 20 else 2
             return rules, min(growth * k, _MAX_CANDIDATES)
         k = max(k // 4, 1)
     return [], k

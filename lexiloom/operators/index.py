@@ -3,7 +3,8 @@
 Rows go to range buckets of the order, each bucket is numbered by itself, and a table of at most
 one row per bucket carries the counts of the buckets before it. Every step is a function of the
 data alone, so a recomputed task gives the same numbers. The order must be total: end it with a
-unique column.
+unique column. The input is read four times, three of them with the order columns only; write it to a
+table first if these are costly to compute.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def range_bucket(df: DataFrame, keys: Sequence[Column]) -> Column:
     """Bucket number from sampled borders. The sample steers balance only, never the result."""
     rows = df.select(_key(keys).alias("key"))
     total = rows.count()
-    n_buckets = min(bucket_count(df), 1 + total // _ROWS_PER_BUCKET)
+    n_buckets = min(bucket_count(df), 2 + total // _ROWS_PER_BUCKET)
     wanted = n_buckets * _SAMPLES_PER_BUCKET
     sample = rows if total <= wanted else rows.sample(wanted / total, seed=7)
     picked = [r.j for r in sample.orderBy("key").select(F.to_json("key").alias("j")).collect()]

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import words
+from ..functions.text import explode_words
 
 
 def corpus_stats(df: DataFrame, by: list[str] = ["source"], text: str = "text") -> DataFrame:
@@ -32,8 +32,7 @@ def unigram_loss(df: DataFrame, by: str = "source", text: str = "text") -> DataF
 
     Words are counted per group first, so a frequent word is one row per group before it moves.
     """
-    counts = df.select(by, F.explode(words(text)).alias("word")).groupBy(by, "word").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = explode_words(df, text, [by]).groupBy(by, "word").agg(F.count(F.lit(1)).alias("n"))
     per_word = F.sum("n").over(Window.partitionBy("word"))
     with_word = counts.withColumn("word_n", per_word)
     grouped = with_word.groupBy(by).agg(

@@ -1,6 +1,6 @@
 """Vocabulary tables: counting words and characters, merging, reporting.
 
-A vocabulary is a table ``id INT, piece STRING, score FLOAT, origin STRING``.
+A vocabulary is a table ``id BIGINT, piece STRING, score FLOAT, origin STRING``.
 """
 
 from __future__ import annotations
@@ -8,17 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import CHARACTER_COVERAGE, HEAD_LINES, SPECIALS, WORD_MARK
-from ..functions.text import words
+from ..functions.text import explode_words
 from ..storage import write_table
 from .index import with_row_index
 
-VOCAB_SCHEMA = "id INT, piece STRING, score FLOAT, origin STRING"
+VOCAB_SCHEMA = "id BIGINT, piece STRING, score FLOAT, origin STRING"
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Distinct words with counts. Partial sums make a frequent word one row per task."""
-    exploded = df.select(F.explode(words(text)).alias("word"))
-    return exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return explode_words(df, text).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def char_counts(counts: DataFrame) -> DataFrame:
@@ -42,7 +41,7 @@ def alphabet(counts: DataFrame, coverage: float = CHARACTER_COVERAGE) -> DataFra
 def word_vocab(counts: DataFrame) -> DataFrame:
     """Words as a vocabulary, the most frequent first. Give the counts as a written table."""
     ranked = with_row_index(counts, [-F.col("n"), "word"], "id")
-    return ranked.select(F.col("id").cast("int").alias("id"), F.col("word").alias("piece"),
+    return ranked.select("id", F.col("word").alias("piece"),
                          (-F.col("id")).cast("float").alias("score"),
                          F.lit("words").alias("origin"))
 
@@ -55,7 +54,7 @@ def merge_vocab(base: DataFrame, new: DataFrame) -> DataFrame:
     # Numbering reads its input several times; the join runs once.
     numbered = with_row_index(write_table(missing, "new-pieces")[0], ["id"], "_n")
     added = numbered.select(
-        (F.col("_n") + first_id).cast("int").alias("id"), "piece",
+        (F.col("_n") + first_id).alias("id"), "piece",
         F.lit(0.0).cast("float").alias("score"), F.lit("new").alias("origin"))
     return base.select("id", "piece", "score", F.lit("base").alias("origin")).unionByName(added)
 
@@ -71,7 +70,7 @@ def vocab_report(vocab: DataFrame) -> DataFrame:
         F.when(special, F.concat(F.lpad(F.col("id").cast("string"), 10, "0"), F.lit("\t"), "piece"))))
     specials = F.array_join(F.transform(shown, lambda s: F.concat(
         F.substring_index(s, "\t", -1), F.lit("="),
-        F.substring_index(s, "\t", 1).cast("int").cast("string"))), ",")
+        F.substring_index(s, "\t", 1).cast("bigint").cast("string"))), ",")
     return vocab.agg(
         F.count(F.lit(1)).alias("n_pieces"),
         F.count_distinct("piece").alias("n_distinct"),

@@ -285,6 +285,11 @@ def train_bpe(spark, sf_dir):
         F.col("id").cast("bigint").alias("id"), "piece", F.col("score").cast("bigint").alias("score"))
 
 
+def train_bpe_default(spark, sf_dir):
+    """The default size, 32,000 pieces, or as many as the words give."""
+    return learn(documents(spark, sf_dir)).select("id", "piece")
+
+
 def word_vocabs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     base = vocab.word_counts(table(spark, sf_dir, "benchmark"))
     new = vocab.word_counts(documents(spark, sf_dir))
@@ -513,6 +518,7 @@ QUERIES = {
     "alphabet": alphabet,
     "pair_counts": pair_counts,
     "train_bpe": train_bpe,
+    "train_bpe_default": train_bpe_default,
     "merge_vocab": merge_vocab,
     "vocab_head": vocab_head,
     "vocab_report": vocab_report,

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import clean_text, wrap_document
-from lexiloom.operators import dialogue, stats
+from lexiloom.operators import dialogue, encode, stats
+from lexiloom.operators.vocab import VOCAB_SCHEMA
 from lexiloom.plans import vocabulary
 from lexiloom.sources import books, cache, json_records, lines, sinks
 from lexiloom.storage import drop_table, scratch_dir, write_table
@@ -236,15 +237,19 @@ def test_row_operators_take_a_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, ["a", "b"], "xY")], schema).write.parquet(source)
 
+    vocab = spark.createDataFrame(
+        [(i, p, 0.0, "x") for i, p in enumerate(["<unk>", "<s>", "</s>", "▁", "Y", "Z"])], VOCAB_SCHEMA)
+
     def operator(df):
         chat = dialogue.chat_text("utterances")
-        return df.select("id", wrap_document(clean_text("text")).alias("text"), chat.alias("chat"))
+        rows = df.select("id", wrap_document(clean_text("text")).alias("text"), chat.alias("chat"))
+        return encode.encode(rows, vocab)
 
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     for _ in range(2):
         streaming.run_available(streaming.open_files(spark, source, schema), operator, out, progress)
     spark.createDataFrame([(2, ["c"], "Z")], schema).write.mode("append").parquet(source)
     streaming.run_available(streaming.open_files(spark, source, schema), operator, out, progress)
-    got = {r.id: (r.text, r.chat) for r in spark.read.parquet(out).collect()}
-    assert got == {1: ("<s>Y</s>", "<s>Human: a\n</s><s>Assistant: b\n</s>"),
-                   2: ("<s>Z</s>", "<s>Human: c\n</s>")}
+    got = {r.id: (r.text, r.chat, r.input_ids) for r in spark.read.parquet(out).collect()}
+    assert got == {1: ("<s>Y</s>", "<s>Human: a\n</s><s>Assistant: b\n</s>", [1, 1, 3, 4, 2]),
+                   2: ("<s>Z</s>", "<s>Human: c\n</s>", [1, 1, 3, 5, 2])}
