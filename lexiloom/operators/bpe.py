@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fixed import CHARACTER_COVERAGE, SPECIALS, VOCAB_SIZE, WORD_MARK
+from ..functions.merging import merge_neighbours
 from ..storage import drop_table, write_table
 from .vocab import VOCAB_SCHEMA, alphabet, word_counts
 
@@ -106,17 +107,8 @@ def _text(value: str) -> str:
 
 
 def merge_word(word: str, rules: dict[str, tuple[int, str]]) -> str:
-    """One word after the rules (pair -> position, symbol), the earliest that applies first.
-
-    No rule makes a pair of an earlier one, so this is the same as applying all of them in order,
-    but takes time by the length of the word only.
-    """
-    while True:
-        found = [rules[p] + (p,) for p in map("".join, zip(word, word[1:])) if p in rules]
-        if not found:
-            return word
-        _, symbol, pair = min(found)
-        word = word.replace(pair, symbol)
+    """One word after the rules (pair -> position, symbol), each applied once and in order."""
+    return "".join(merge_neighbours(word, rules.get, in_order=True))
 
 
 def merged_words(table: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.fixed import BOS_ID, EOS_ID, SPECIALS, UNK_ID, WHITESPACE, WORD_MARK
+from ..functions.merging import merge_neighbours
 from ..functions.text import col
 
 MAX_VOCAB = 2_000_000
@@ -33,33 +33,9 @@ def vocab_rows(vocab: DataFrame) -> list[tuple[int, str, float]]:
     return sorted((r.id, r.piece, r.score) for r in rows)
 
 
-def segment(word: str, score: dict[str, float]) -> list[str]:
-    """Merge the neighbours whose joined piece scores highest, leftmost first, until none is left."""
-    symbols: list[str | None] = list(word)
-    n = len(symbols)
-    following = list(range(1, n + 1))
-    previous = list(range(-1, n - 1))
-    queue = []
-    for i in range(n - 1):
-        piece = symbols[i] + symbols[i + 1]
-        if piece in score:
-            queue.append((-score[piece], i, i + 1, piece))
-    heapify(queue)
-    while queue:
-        _, i, j, piece = heappop(queue)
-        if symbols[i] is None or symbols[j] is None or following[i] != j \
-                or symbols[i] + symbols[j] != piece:
-            continue
-        symbols[i], symbols[j] = piece, None
-        k = following[i] = following[j]
-        if k < n:
-            previous[k] = i
-        for a, b in ((previous[i], i), (i, k)):
-            if a >= 0 and b < n:
-                wider = symbols[a] + symbols[b]
-                if wider in score:
-                    heappush(queue, (-score[wider], a, b, wider))
-    return [s for s in symbols if s is not None]
+def merge_rules(rows: list[tuple[int, str, float]]) -> dict[str, tuple[float, str]]:
+    """Pieces as rules: neighbours whose joined text is a piece merge, the highest score first."""
+    return {piece: (-score, piece) for _, piece, score in rows if piece not in SPECIALS}
 
 
 class WordEncoder:
@@ -69,7 +45,7 @@ class WordEncoder:
         self.ids = {}
         for i, piece, _ in rows:
             self.ids.setdefault(piece, i)
-        self.score = {p: s for _, p, s in rows if p not in SPECIALS}
+        self.rules = merge_rules(rows)
         self.special = {p: self.ids.get(p, i) for i, p in enumerate(SPECIALS)}
         self.memo: dict[str, list[int]] = {}
 
@@ -77,7 +53,7 @@ class WordEncoder:
         found = self.memo.get(word)
         if found is None:
             found = []
-            for piece in segment(WORD_MARK + word, self.score):
+            for piece in merge_neighbours(WORD_MARK + word, self.rules.get):
                 i = self.ids.get(piece, UNK_ID)
                 if i != UNK_ID or not found or found[-1] != UNK_ID:
                     found.append(i)
