@@ -62,31 +62,59 @@ def hash_bucket(df: DataFrame, hashed: Column) -> Column:
     return F.shiftright(hashed * F.lit(bucket_count(df)), 32).cast("int")
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "idx",
-                   within: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
-    """Add a 0-based number by ``order_by``, restarted in every ``within`` group.
+def carried_totals(totals: DataFrame, bucket: str, within: Sequence[str], value: str) -> DataFrame:
+    """What earlier buckets hold of each group, for the groups that go on from one to the next.
 
-    A hot group is spread over as many buckets as it fills.
+    A bucket goes on with at most one group, so at most one row per bucket is left.
     """
+    before = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    summed = totals.withColumn("_before", F.sum(value).over(before))
+    return summed.where(F.col("_before") > 0).select(bucket, *within, "_before")
+
+
+def _add_carried(rows: DataFrame, carried: DataFrame, bucket: str, within: Sequence[str]) -> DataFrame:
+    renamed = carried.toDF("_cb", *[f"_c{i}" for i in range(len(within))], "_before")
+    match = F.col(bucket) == F.col("_cb")
+    for i, c in enumerate(within):
+        match = match & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    joined = rows.join(F.broadcast(renamed), match, "left")
+    return joined.withColumn("_before", F.coalesce("_before", F.lit(0)))
+
+
+def with_bucket_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "idx",
+                      within: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+    """As ``with_row_index``, with the bucket kept in ``_bucket``; rows stay partitioned by it."""
     keys = [F.col(c) for c in within] + [col(c) for c in order_by]
     bucketed = df.withColumn("_bucket", range_bucket(df, keys) if bucket is None else bucket)
     counts = bucketed.groupBy("_bucket", *within).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    # One bucket continues at most one group, so at most one row per bucket is left.
-    carried = (
-        counts.withColumn("_before", F.sum("_n").over(before))
-        .where(F.col("_before") > 0)
-        .select("_bucket", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(within)], "_before")
-    )
     local = Window.partitionBy("_bucket", *within).orderBy(*keys[len(within):])
-    match = F.col("b._bucket") == F.col("c._bucket")
-    for i, c in enumerate(within):
-        match = match & F.col(f"b.{c}").eqNullSafe(F.col(f"c._g{i}"))
     numbered = bucketed.withColumn("_local", F.row_number().over(local))
-    joined = numbered.alias("b").join(F.broadcast(carried.alias("c")), match, "left")
-    index = F.col("_local") - 1 + F.coalesce("_before", F.lit(0))
-    return joined.select(*[F.col(f"b.{c}") for c in df.columns], index.cast("bigint").alias(name))
+    joined = _add_carried(numbered, carried_totals(counts, "_bucket", within, "_n"), "_bucket", within)
+    index = (F.col("_local") - 1 + F.col("_before")).cast("bigint")
+    return joined.select(*df.columns, "_bucket", index.alias(name))
+
+
+def with_row_index(df: DataFrame, order_by: Sequence[str | Column], name: str = "idx",
+                   within: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+    """Add a 0-based number by ``order_by``, restarted in every ``within`` group.
+
+    A hot group is spread over as many buckets as it fills.
+    """
+    return with_bucket_index(df, order_by, name, within, bucket).drop("_bucket")
+
+
+def running_sum(rows: DataFrame, value: Column, group: str, order: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the group, for rows that carry ``_bucket``.
+
+    Summed inside each bucket, plus what earlier buckets hold of the group: a group of any size is
+    spread over its buckets, and rows do not move.
+    """
+    before = Window.partitionBy("_bucket", group).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_bucket", group).agg(F.sum(value).alias("_n"))
+    summed = rows.withColumn("_local", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    joined = _add_carried(summed, carried_totals(totals, "_bucket", [group], "_n"), "_bucket", [group])
+    return joined.select(*rows.columns, (F.col("_local") + F.col("_before")).alias(name))
 
 
 def with_shuffled_index(df: DataFrame, key: str, seed: int = 42, name: str = "idx") -> DataFrame:

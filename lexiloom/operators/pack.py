@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import BATCH_ROWS, DEFAULT_BLOCK
-from .index import with_row_index
+from .index import running_sum, with_bucket_index
 
 
 def resolve_block_size(block_size: int | None, model_max: float) -> int:
@@ -15,23 +15,19 @@ def resolve_block_size(block_size: int | None, model_max: float) -> int:
 
 
 def pack_blocks(df: DataFrame, block_size: int, order_by: Sequence[str | Column],
-                batch_rows: int = BATCH_ROWS, columns: Sequence[str] = ("input_ids",),
-                index: str | None = None) -> DataFrame:
+                batch_rows: int = BATCH_ROWS, columns: Sequence[str] = ("input_ids",)) -> DataFrame:
     """Cut each batch of consecutive rows into full blocks; the rest of a batch is dropped.
 
-    ``columns`` (equal lengths) are cut alike. Rows are placed by a running sum inside their batch
-    and only the slices of a block meet; blocks stay in the batch's partition, so numbering and
-    batching are the two shuffles. ``index`` names an existing dense row number to save the first.
+    ``columns`` (equal lengths) are cut alike. Rows are shuffled once by order bucket, which numbers
+    them and places them in their batch, and their slices once by block; a batch of any size is
+    spread over its buckets and blocks.
     """
     first = columns[0]
-    indexed = df.withColumn("idx", F.col(index)) if index else with_row_index(df, order_by)
-    rows = indexed.select(
-        F.floor(F.col("idx") / batch_rows).alias("batch_id"), "idx", *columns,
-    ).where(F.size(first) > 0)
-    before = Window.partitionBy("batch_id").orderBy("idx").rowsBetween(
-        Window.unboundedPreceding, -1)
+    numbered = with_bucket_index(df, order_by, "_idx")
+    batch = F.floor(F.col("_idx") / batch_rows)
+    rows = numbered.select("_bucket", batch.alias("batch_id"), "_idx", *columns).where(F.size(first) > 0)
     size = F.size(first).cast("bigint")
-    placed = rows.withColumn("_off", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    placed = running_sum(rows, size, "batch_id", "_idx", "_off")
     end = F.col("_off") + size - 1
     full = F.lit(block_size)
     blocks = F.sequence(F.floor(F.col("_off") / full), F.floor(end / full))
@@ -40,7 +36,7 @@ def pack_blocks(df: DataFrame, block_size: int, order_by: Sequence[str | Column]
     start = F.greatest(block_start - F.col("_off"), F.lit(0)).cast("int")
     stop = F.least(block_start + full - F.col("_off"), size).cast("int")
     slices = spans.select("batch_id", "block_id", F.struct(
-        "idx", *[F.slice(c, start + 1, stop - start).alias(c) for c in columns]).alias("part"))
+        "_idx", *[F.slice(c, start + 1, stop - start).alias(c) for c in columns]).alias("part"))
     gathered = slices.groupBy("batch_id", "block_id").agg(
         F.array_sort(F.collect_list("part")).alias("parts"))
     cut = [F.flatten(F.col(f"parts.{c}")).alias(c) for c in columns]

@@ -54,16 +54,15 @@ def test_columns_are_cut_alike(spark):
         assert r.attention_mask == [1] * 4
 
 
-def test_an_index_at_hand_is_used(spark):
-    df = frame(spark, [3, 6, 2]).withColumnRenamed("id", "n")
-    assert blocks_of(pack.pack_blocks(df, 4, [], 10, index="n")) == expected([3, 6, 2], 4, 10)
-
-
-def test_block_gathering_adds_no_shuffle(spark):
-    df = frame(spark, [3, 6, 2]).withColumnRenamed("id", "n")
-    packed = pack.pack_blocks(df, 4, [], 10, index="n")
+def test_one_batch_is_spread_and_tokens_are_made_once(spark):
+    rng = random.Random(5)
+    lengths = [rng.choice([0, 1, 7, 90]) for _ in range(3_000)]
+    packed = pack.pack_blocks(frame(spark, lengths).repartition(3), 16, ["id"], 100_000)
+    assert blocks_of(packed) == expected(lengths, 16, 100_000)
+    packed.collect()
     plan = packed._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    # The sizes per bucket come from the same shuffled rows as the slices.
+    assert "ReusedExchange" in plan.split("== Initial Plan")[0]
 
 
 def test_block_size():
