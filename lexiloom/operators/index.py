@@ -19,6 +19,7 @@ _BUCKETS_PER_PARTITION = 4
 _MAX_BUCKETS = 16_384
 _SAMPLES_PER_BUCKET = 30
 _ROWS_PER_BUCKET = 500
+_COMPILED_BORDERS = 64
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -37,23 +38,35 @@ def range_bucket(df: DataFrame, keys: Sequence[Column]) -> Column:
     total = rows.count()
     n_buckets = min(bucket_count(df), 2 + total // _ROWS_PER_BUCKET)
     wanted = n_buckets * _SAMPLES_PER_BUCKET
-    sample = rows if total <= wanted else rows.sample(wanted / total, seed=7)
+    sample = rows if total <= wanted else rows.sample(fraction=wanted / total, seed=7)
     picked = [r.j for r in sample.orderBy("key").select(F.to_json("key").alias("j")).collect()]
     borders = [picked[len(picked) * i // n_buckets] for i in range(1, n_buckets)] if picked else []
     if not borders:
         return F.lit(0)
     key_type = rows.schema["key"].dataType.simpleString()
     literal = F.from_json(F.lit("[" + ",".join(borders) + "]"), f"array<{key_type}>")
-    step, steps = 1 << (len(borders).bit_length() - 1), []
+    return _borders_below(_key(keys), literal, len(borders))
+
+
+def _borders_below(key: Column, borders: Column, n: int) -> Column:
+    """How many of the ``n`` sorted borders are not above the key, by binary search."""
+    if n <= _COMPILED_BORDERS:
+        def between(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(F.get(borders, F.lit(middle)) <= key, between(middle + 1, high)).otherwise(
+                between(low, middle))
+
+        return between(0, n)
+    step, steps = 1 << (n.bit_length() - 1), []
     while step:
         steps.append(step)
         step >>= 1
-    key = _key(keys)
-    # Binary search: how many borders are not above the key.
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda below, s: F.when(F.get(literal, below + s - 1) <= key, below + s).otherwise(below),
+        lambda below, s: F.when(F.get(borders, below + s - 1) <= key, below + s).otherwise(below),
     )
 
 

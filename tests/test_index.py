@@ -1,4 +1,6 @@
+import bisect
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +20,24 @@ def test_index_equals_sort(spark):
     assert [r.k for r in got] == sorted(r.k for r in got)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 15, 16, 31, 64])
+def test_both_searches_count_the_borders_below(spark, monkeypatch, n):
+    borders = sorted(random.Random(n).choices(range(100), k=n))
+    literal = F.array(*[F.struct(F.lit(b).cast("bigint").alias("k0")) for b in borders])
+    key = F.struct((F.col("id") - 1).alias("k0"))
+    df = spark.range(103)
+    for compiled in (64, 0):
+        monkeypatch.setattr(index, "_COMPILED_BORDERS", compiled)
+        got = df.select((F.col("id") - 1).alias("k"), index._borders_below(key, literal, n).alias("b"))
+        assert all(r.b == bisect.bisect_right(borders, r.k) for r in got.collect())
+
+
+def test_index_equals_sort_with_many_borders(spark, monkeypatch):
+    monkeypatch.setattr(index, "_COMPILED_BORDERS", 0)
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_003).alias("k"))
+    assert [r.idx for r in index.with_row_index(df, ["k"]).orderBy("k").collect()] == list(range(5_000))
+
+
 def test_index_of_strings_nulls_and_descending(spark):
     df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), ("é", 4), ("b", 5)], "s string, id int")
     got = index.with_row_index(df, ["s", -F.col("id")]).orderBy("idx").collect()
