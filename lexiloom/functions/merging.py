@@ -13,11 +13,14 @@ def merge_neighbours(word: str, rule, in_order: bool = False) -> list[str]:
     n log n steps for n characters.
     """
     symbols: list[str | None] = list(word)
-    n = len(symbols)
-    found = [(rule(a + b), i) for i, (a, b) in enumerate(zip(word, word[1:]))]
-    queue = [(r[0], i, i + 1, word[i] + word[i + 1], r[1]) for r, i in found if r is not None]
+    queue = []
+    for i, pair in enumerate(map("".join, zip(word, word[1:]))):
+        r = rule(pair)
+        if r is not None:
+            queue.append((r[0], i, i + 1, pair, r[1]))
     if not queue:
         return symbols
+    n = len(symbols)
     heapify(queue)
     following = list(range(1, n + 1))
     previous = list(range(-1, n - 1))
