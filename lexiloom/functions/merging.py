@@ -14,7 +14,8 @@ def merge_neighbours(word: str, rule, in_order: bool = False) -> list[str]:
     """
     symbols: list[str | None] = list(word)
     queue = []
-    for i, pair in enumerate(map("".join, zip(word, word[1:]))):
+    for i in range(len(word) - 1):
+        pair = word[i:i + 2]
         r = rule(pair)
         if r is not None:
             queue.append((r[0], i, i + 1, pair, r[1]))
