@@ -5,6 +5,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, canonical
+from lexiloom.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def twin(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf_dir, twin, name):
     df = queries()[name](spark, sf_dir)
     got = canonical([tuple(r) for r in df.collect()], df.columns)
