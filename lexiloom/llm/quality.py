@@ -39,9 +39,13 @@ def _ratio(compressor: zstandard.ZstdCompressor, data: bytes) -> float:
     return len(compressor.compress(data)) / len(data)
 
 
-def _ratios(data: bytes) -> tuple[float, list[float]]:
-    """Of the whole text and of its full chunks, by the same level whatever the length."""
-    compressor = zstandard.ZstdCompressor(level=3)
+def _compressor() -> zstandard.ZstdCompressor:
+    """One per task; its level is the same whatever the length of a text."""
+    return zstandard.ZstdCompressor(level=3)
+
+
+def _ratios(compressor: zstandard.ZstdCompressor, data: bytes) -> tuple[float, list[float]]:
+    """Of the whole text and of its full chunks."""
     whole = _ratio(compressor, data) if data else float("nan")
     return whole, [_ratio(compressor, data[i:i + CHUNK]) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
 
@@ -86,13 +90,14 @@ def _histogram(docs: DataFrame, text: str) -> DataFrame:
     """Distinct texts by class and ratio; class -1 holds the chunks."""
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compressor = _compressor()
         for batch in batches:
             out = []
             for key, value in zip(batch["_key"], batch["_text"]):
                 data = utf8(value)
                 if not data:
                     continue
-                whole, chunks = _ratios(data)
+                whole, chunks = _ratios(compressor, data)
                 out.append((key, _length_class(len(data)), int(whole / _BIN), 1))
                 if chunks:
                     b, n = np.unique((np.array(chunks) / _BIN).astype(int), return_counts=True)
@@ -152,24 +157,27 @@ def quality(docs: DataFrame, limits: dict[int, tuple[float, float]], text: str =
     length are read whole.
     """
 
+    def one(compressor: zstandard.ZstdCompressor, value: str | None) -> tuple:
+        data = utf8(value)
+        counts = _counts(data)
+        failed = counts[0] < min_words or 100 * counts[4] > max_repeat_percent * counts[0]
+        whole, chunks = _ratios(compressor, data)
+        low, high = (min(chunks), max(chunks)) if chunks else (None, None)
+        kept = not failed
+        if kept:
+            least, most = limits.get(_length_class(len(data)), (0.0, 9.0))
+            kept = least <= whole <= most
+        if kept and chunks:
+            least, most = limits.get(_CHUNKS, (0.0, 9.0))
+            kept = least <= low and high <= most
+        return (*counts, failed, whole if data else None, low, high, kept)
+
     @F.pandas_udf(_SCHEMA)
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for value in texts:
-            data = utf8(value)
-            counts = _counts(data)
-            failed = counts[0] < min_words or 100 * counts[4] > max_repeat_percent * counts[0]
-            whole, chunks = _ratios(data)
-            low, high = (min(chunks), max(chunks)) if chunks else (None, None)
-            kept = not failed
-            if kept:
-                least, most = limits.get(_length_class(len(data)), (0.0, 9.0))
-                kept = least <= whole <= most
-            if kept and chunks:
-                least, most = limits.get(_CHUNKS, (0.0, 9.0))
-                kept = least <= low and high <= most
-            out.append((*counts, failed, whole if data else None, low, high, kept))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _SCHEMA.split(", ")])
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compressor = _compressor()
+        for texts in batches:
+            yield pd.DataFrame([one(compressor, value) for value in texts],
+                               columns=[f.split()[0] for f in _SCHEMA.split(", ")])
 
     return judge.asNondeterministic()(F.col(text))
 

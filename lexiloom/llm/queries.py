@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, quality, toxicity
+from . import decontaminate, language, mixing, neardup, quality, toxicity
 from .words import held_out
 
 
@@ -14,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that occurs in it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", F.col("m.item").alias("item_id"), "m.distance", "m.start", "m.length")
+
+
 def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs.where(~held_out()).select("text", "lang"))
@@ -41,8 +49,15 @@ def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, shingle=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_language_spans, op6_mix_sources, op7_compression_bands, op9_nnpu_toxicity)
+    f.__name__: f for f in (
+        op1_pigeonhole_edits, op5_language_spans, op6_mix_sources, op7_compression_bands, op9_nnpu_toxicity,
+        op10_hyperminhash)
 }
 
 ORACLES: dict[str, str] = {
