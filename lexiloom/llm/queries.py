@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, mixing, neardup, quality, toxicity
+from . import decontaminate, language, lines, mixing, neardup, quality, toxicity
 from .words import held_out
 
 
@@ -22,6 +22,12 @@ def op1_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("m.item").alias("item_id"), "m.distance", "m.start", "m.length")
 
 
+def op3_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = lines.drop_duplicate_lines(docs, removed="n_removed")
+    return cut.select("doc_id", "n_removed", "text")
+
+
 def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs.where(~held_out()).select("text", "lang"))
@@ -56,11 +62,40 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pigeonhole_edits, op5_language_spans, op6_mix_sources, op7_compression_bands, op9_nnpu_toxicity,
+        op1_pigeonhole_edits, op3_deletion_neighbours, op5_language_spans, op6_mix_sources, op7_compression_bands, op9_nnpu_toxicity,
         op10_hyperminhash)
 }
 
 ORACLES: dict[str, str] = {
+    "op3_deletion_neighbours": """
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), lines AS (
+  SELECT doc_id, pos, line, string_split(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS words
+  FROM split
+), firsts AS (
+  SELECT words, min({'d': doc_id, 'p': pos}) AS place FROM lines WHERE len(words) >= 5 GROUP BY words
+), variants AS (
+  SELECT words, place, unnest(range(1, len(words) + 1)) AS gap FROM firsts WHERE len(words) >= 10
+), cut AS (
+  SELECT place, gap, array_to_string(words[1:gap - 1] || words[gap + 1:], ' ') AS rest FROM variants
+), pairs AS (
+  SELECT a.place, min(b.place) AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.gap = b.gap AND b.place < a.place GROUP BY 1
+  UNION ALL
+  SELECT a.place, b.place FROM cut a JOIN firsts b ON a.rest = array_to_string(b.words, ' ') AND len(b.words) >= 10 AND b.place < a.place
+  UNION ALL
+  SELECT b.place, a.place FROM cut a JOIN firsts b ON a.rest = array_to_string(b.words, ' ') AND len(b.words) >= 10 AND a.place < b.place
+), gone AS (
+  SELECT l.doc_id, l.pos FROM lines l JOIN firsts f ON f.words = l.words
+  WHERE f.place <> {'d': l.doc_id, 'p': l.pos} OR f.place IN (SELECT place FROM pairs)
+), rest AS (
+  SELECT l.doc_id, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(r.n_removed, 0) AS n_removed, r.text FROM documents d LEFT JOIN rest r USING (doc_id)
+""",
     "op6_mix_sources": """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
