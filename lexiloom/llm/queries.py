@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, lines, mixing, neardup, quality, toxicity
+from . import content, decontaminate, language, lines, mixing, neardup, quality, toxicity, urls
 from .words import held_out
 
 
+#: Verdict, host and path of the rules of ``op2_host_words``. Fixed values.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,12 +32,23 @@ def op1_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("m.item").alias("item_id"), "m.distance", "m.start", "m.length")
 
 
+def op2_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, URL_RULES, _table(spark, sf_dir, "documents"))
+
+
 def op3_deletion_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = lines.drop_duplicate_lines(docs, removed="n_removed")
     return cut.select("doc_id", "n_removed", "text")
 
 
+def op4_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = content.extract_content(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "content.text",
+                        F.length("content.text").cast("bigint").alias("n_chars"), "content.n_blocks")
+
+
 def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs.where(~held_out()).select("text", "lang"))
@@ -62,8 +83,8 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pigeonhole_edits, op3_deletion_neighbours, op5_language_spans, op6_mix_sources, op7_compression_bands, op9_nnpu_toxicity,
-        op10_hyperminhash)
+        op1_pigeonhole_edits, op2_host_words, op3_deletion_neighbours, op4_minimum_cut, op5_language_spans,
+        op6_mix_sources, op7_compression_bands, op9_nnpu_toxicity, op10_hyperminhash)
 }
 
 ORACLES: dict[str, str] = {
