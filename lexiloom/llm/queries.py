@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import content, decontaminate, language, lines, mixing, neardup, quality, toxicity, urls
+from . import content, decontaminate, language, lines, mixing, neardup, quality, quotes, toxicity, urls
 from .words import held_out
 
 
@@ -67,6 +67,10 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs).select("doc_id", "quality.*")
 
 
+def op8_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -84,7 +88,8 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pigeonhole_edits, op2_host_words, op3_deletion_neighbours, op4_minimum_cut, op5_language_spans,
-        op6_mix_sources, op7_compression_bands, op9_nnpu_toxicity, op10_hyperminhash)
+        op6_mix_sources, op7_compression_bands, op8_quote_links, op9_nnpu_toxicity,
+        op10_hyperminhash)
 }
 
 ORACLES: dict[str, str] = {
