@@ -203,16 +203,17 @@ def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     ``removed`` names a column to hold the number of lines cut; one of that name is replaced.
     """
-    gone = removed_lines(docs, key, text).groupBy("id", "doc").agg(F.collect_set("pos").alias("_gone"))
+    name = fresh(docs, "_gone")
+    gone = removed_lines(docs, key, text).groupBy("id", "doc").agg(F.collect_set("pos").alias(name))
     joined = _by_document(docs, gone, key, text, "left")
-    lines = F.split(joined[text], "\n")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), joined["_gone"]))
+    lines = F.split(docs[text], "\n")
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(name)))
     rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     values = {c: docs[c] for c in docs.columns}
-    values[text] = F.when(joined["_gone"].isNull(), docs[text]).otherwise(rest)
+    values[text] = F.when(F.col(name).isNull(), docs[text]).otherwise(rest)
     if removed:
         values = {c: v for c, v in values.items() if c.lower() != removed.lower()}
-        values[removed] = F.coalesce(F.size("_gone"), F.lit(0))
+        values[removed] = F.coalesce(F.size(name), F.lit(0))
     return joined.select(*[v.alias(c) for c, v in values.items()])
 
 

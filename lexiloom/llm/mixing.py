@@ -134,16 +134,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     an id go by their text. An empty table stays empty. Texts are read, never shuffled.
     """
     budgets = source_budgets(docs, weights, share, cap, key, text, source)
-    size, hashed, source_key = fresh(docs, "_size"), fresh(docs, "_h"), fresh(docs, "_s")
-    plan = bounded(budgets.select(
-        F.col("source").alias(source_key), F.col("source_size").alias("_source_size_"),
-        F.col("target").alias("_target_"), F.col("copies").alias("_copies_"),
-        F.col("threshold").alias("_threshold_")))
-    rows = docs.withColumn(size, word_count(F.col(text))).withColumn(
-        hashed, mix_hash(F.col(key), F.col(text)))
-    joined = rows.join(plan, rows[source].eqNullSafe(plan[source_key]), "left")
-    copies = F.col("_copies_") + (F.col(hashed) <= F.col("_threshold_")).cast("int")
-    new = {"size": F.col(size), "source_size": F.col("_source_size_"), "target": F.col("_target_"),
-           "taken": F.col(size) * copies}
+    name = {c: fresh(docs, f"_{c}") for c in ("size", "h", "source", "source_size", "target", "copies", "threshold")}
+    plan = bounded(budgets.select(*[F.col(c).alias(name[c]) for c in budgets.columns]))
+    rows = docs.withColumn(name["size"], word_count(F.col(text))).withColumn(
+        name["h"], mix_hash(F.col(key), F.col(text)))
+    joined = rows.join(plan, rows[source].eqNullSafe(plan[name["source"]]), "left")
+    copies = F.col(name["copies"]) + (F.col(name["h"]) <= F.col(name["threshold"])).cast("int")
+    new = {"size": F.col(name["size"]), "source_size": F.col(name["source_size"]),
+           "target": F.col(name["target"]), "taken": F.col(name["size"]) * copies}
     kept = [c for c in docs.columns if c.lower() not in new]
     return joined.select(*kept, *[v.alias(k) for k, v in new.items()])

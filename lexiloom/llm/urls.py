@@ -102,19 +102,18 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _tokens(shapes: DataFrame, counts: DataFrame) -> DataFrame:
-    """``shape, label, n, token``: segmented words of hosts and paths, told apart by a prefix."""
-    split = shapes.withColumn("found", F.concat(
-        F.transform(F.regexp_extract_all(F.lower("host"), F.lit(_TOKEN), F.lit(0)),
-                    lambda x: F.struct(F.lit("host").alias("part"), x.alias("name"))),
-        F.transform(F.regexp_extract_all(F.lower("shape"), F.lit(_TOKEN), F.lit(0)),
-                    lambda x: F.struct(F.lit("path").alias("part"), x.alias("name")))))
-    flat = split.select("host", "shape", "label", "n", F.explode("found").alias("f")).select(
-        "host", "shape", "label", "n", "f.part", "f.name")
+    """``sid, label, n, token``: segmented words of hosts and paths, told apart by a prefix."""
+    def found(part: str, column: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.lower(column), F.lit(_TOKEN), F.lit(0)),
+                           lambda x: F.struct(F.lit(part).alias("part"), x.alias("name")))
+
+    # Only the id of a shape goes with its tokens: a long url has very many of them.
+    flat = shapes.select("sid", "label", "n", F.explode(F.concat(
+        found("host", "host"), found("path", "shape"))).alias("f")).select("sid", "label", "n", "f.part", "f.name")
     words = segment_names(flat.where(F.col("name").rlike(r"^\p{L}")).select("name"), counts)
-    joined = flat.join(words, "name", "left").withColumn(
-        "words", F.coalesce("words", F.array("name")))
-    return joined.select("host", "shape", "label", "n", F.explode("words").alias("word"), "part").select(
-        "host", "shape", "label", "n", F.concat_ws(":", "part", "word").alias("token"))
+    joined = flat.join(words, "name", "left").withColumn("words", F.coalesce("words", F.array("name")))
+    return joined.select("sid", "label", "n", "part", F.explode("words").alias("word")).select(
+        "sid", "label", "n", F.concat_ws(":", "part", "word").alias("token"))
 
 
 def _weights(tokens: DataFrame) -> DataFrame:
@@ -144,8 +143,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], corpus: DataFrame, url:
     parts = parted.select(*[parted[c] for c in old], "host", "path", fit.getField("rule").alias("rule"),
                           fit.getField("verdict").alias("_label"))
     shape = F.regexp_replace("path", r"\p{N}+", "0")
+    sid = F.md5(F.concat_ws("/", "host", shape))
     shapes, _ = write_table(parts.groupBy("host", shape.alias("shape"), F.col("_label").alias("label")).agg(
-        F.count("*").alias("n")), "url-shapes")
+        F.count("*").alias("n")).withColumn("sid", F.md5(F.concat_ws("/", "host", "shape"))), "url-shapes")
     counts, _ = write_table(word_counts(corpus, text), "url-words")
     tokens, _ = write_table(_tokens(shapes, counts), "url-tokens")
     prior = shapes.agg(F.sum(F.when(F.col("label") == ALLOW, F.col("n"))),
@@ -153,14 +153,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], corpus: DataFrame, url:
     some, other = prior[0] or 0, prior[1] or 0
     both = some > 0 and other > 0
     base = math.log(some / other) if both else 0.0
-    weighed = tokens.join(_weights(tokens), "token").groupBy("host", "shape", "label", "token").agg(
-        F.count("*").alias("times"), F.first("weight").alias("weight"))
-    summed = weighed.groupBy("host", "shape", "label").agg(
-        F.sum(F.col("times") * F.col("weight") if both else F.lit(0.0)).alias("sum"))
-    scores, _ = write_table(summed.where("label is null").select(
-        F.col("host").alias("_host"), F.col("shape").alias("_shape"), "sum"), "url-scores")
-    joined = parts.join(scores, (parts["host"] == scores["_host"]) & (shape == scores["_shape"])
-                        & parts["_label"].isNull(), "left")
+    open_tokens = tokens.where("label is null").groupBy("sid", "token").agg(F.count("*").alias("times"))
+    weight = F.col("times") * F.col("weight") if both else F.lit(0.0)
+    scores, _ = write_table(open_tokens.join(_weights(tokens), "token").groupBy(F.col("sid").alias("_sid")).agg(
+        F.sum(weight).alias("sum")), "url-scores")
+    joined = parts.join(scores, (sid == scores["_sid"]) & parts["_label"].isNull(), "left")
     score = F.when(F.col("rule").isNull(), F.coalesce("sum", F.lit(0.0)) + base)
     verdict = F.coalesce("_label", F.when(score >= 0, ALLOW).otherwise(BLOCK))
     return joined.select(*old, "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
