@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .fixed import BOS, EOS, FULLWIDTH_SEMICOLON, OCR_PATTERNS, WHITESPACE
 
-_CLASS = re.compile(r"\[([^\[\]\\^&]+)\]")
+# Characters and ranges; a hyphen in any other place would make a range with a neighbour.
+_CLASS = re.compile(r"\[((?:[^\[\]\\^&-](?:-[^\[\]\\^&-])?)+)\]")
 _ESCAPED = re.compile(r"\\[^\w\s]")
 _LITERAL = re.compile(r"[^\\\[\](){}.*+?^$|]")
 
@@ -30,14 +31,39 @@ def _class_member(pattern: str) -> str | None:
     return None
 
 
+def java_pattern(pattern: str) -> str:
+    """A Python regex in Java's dialect: its classes know Unicode, and inside brackets ``[`` and ``&``
+    are characters like others."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if inside and c in "[&":
+            c = "\\" + c
+        elif inside and c == "]":
+            inside = False
+        elif not inside and c == "[":
+            inside = True
+            if pattern.startswith("^", i + 1):
+                c, i = "[^", i + 1
+            if pattern.startswith("]", i + 1):  # first in a class it is a character
+                c, i = c + "\\]", i + 1
+        out.append(c)
+        i += 1
+    return "(?U)" + "".join(out)
+
+
 def clean_text(text: str | Column, patterns: Sequence[str] = OCR_PATTERNS) -> Column:
-    """Delete every pattern in order. One-character patterns fuse into a single pass."""
+    """Delete every pattern, a Python regex, in order. One-character patterns fuse into a single pass."""
     result = col(text)
     members = [_class_member(p) for p in patterns]
     if patterns and all(m is not None for m in members):
         return F.regexp_replace(result, "[" + "".join(members) + "]+", "")
     for pattern in patterns:
-        result = F.regexp_replace(result, pattern, "")
+        result = F.regexp_replace(result, java_pattern(pattern), "")
     return result
 
 

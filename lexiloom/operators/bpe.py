@@ -1,7 +1,7 @@
 """Learning a byte-pair vocabulary as a Spark job over the table of distinct words.
 
-Inside the job every symbol is one code point: characters stand for themselves and the k-th merged
-piece is the code point ``_FIRST_MERGED + k``. Merging a pair is then a literal ``replace`` and a
+Inside the job every symbol is one code point: characters stand for themselves and merged pieces take
+the code points from ``_FIRST_MERGED`` on that no character of the corpus has. Merging a pair is then a literal ``replace`` and a
 word's pairs are its neighbouring code points. Counting, ranking and cutting are plain expressions;
 only the rules of a round are applied by a small Arrow function.
 
@@ -22,7 +22,7 @@ If there are too many distinct runs, fewer candidates are taken; a single one ne
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
@@ -34,7 +34,7 @@ from ..functions.merging import merge_neighbours
 from ..storage import drop_table, write_table
 from .vocab import VOCAB_SCHEMA, alphabet, word_counts
 
-_FIRST_MERGED = 0xF0000
+_FIRST_MERGED = 0x40000
 _LAST_MERGED = 0x10FFFD
 _UNKNOWN = " "
 _FIRST_CANDIDATES = 64
@@ -52,6 +52,8 @@ class Symbols:
     text_of: dict[str, str] = field(default_factory=dict)
     symbol_of: dict[str, str] = field(default_factory=dict)
     merges: list[tuple[str, str]] = field(default_factory=list)
+    characters: frozenset[int] = frozenset()
+    following: int = _FIRST_MERGED
 
     def text(self, symbol: str) -> str:
         return self.text_of.get(symbol, symbol)
@@ -64,23 +66,21 @@ class Symbols:
         joined = self.text(pair[0]) + self.text(pair[1])
         self.merges.append((self.text(pair[0]), self.text(pair[1])))
         if joined not in self.symbol_of:
-            code = _FIRST_MERGED + len(self.symbol_of)
+            while self.following in self.characters:
+                self.following += 1
+            code = self.following
             if code > _LAST_MERGED:
                 raise ValueError("too many merges")
+            self.following += 1
             self.symbol_of[joined] = chr(code)
             self.text_of[chr(code)] = joined
         return self.symbol_of[joined]
 
 
 def usable_characters(chars: DataFrame) -> tuple[list[str], str]:
-    """Kept characters, the most frequent first, and all others; at most the size of Unicode.
-
-    Code points used for merged symbols cannot stand for themselves.
-    """
+    """Kept characters, the most frequent first, and all others; at most the size of Unicode."""
     rows = sorted(chars.collect(), key=lambda r: (-r.n, r.ch))
-    kept = [r.ch for r in rows if r.kept and ord(r.ch) < _FIRST_MERGED]
-    dropped = "".join(r.ch for r in rows if not r.kept or ord(r.ch) >= _FIRST_MERGED)
-    return kept, dropped
+    return [r.ch for r in rows if r.kept], "".join(r.ch for r in rows if not r.kept)
 
 
 def symbol_words(counts: DataFrame, dropped: str) -> DataFrame:
@@ -207,14 +207,17 @@ def _round(table: DataFrame, pairs: DataFrame, symbols: Symbols, n_pieces: int,
     return [], k
 
 
-def learn_merges(symbol_table: DataFrame, n_pieces: int) -> Symbols:
+def learn_merges(symbol_table: DataFrame, n_pieces: int, kept: Sequence[str] = ()) -> Symbols:
     """Merge until there are ``n_pieces`` merged pieces or no pair occurs twice.
 
+    ``kept`` are the characters of the words, which no merged piece may stand for. There is room for
+    850,000 merged pieces less those characters.
+
     Words and pair counts are written anew after each round, so no round depends on the plan or the
     cached blocks of another.
     """
     spark = symbol_table.sparkSession
-    symbols = Symbols()
+    symbols = Symbols(characters=frozenset(ord(c) for c in kept if ord(c) >= _FIRST_MERGED))
     # Merging is heavy on CPU and light on bytes: the size of the files would give too few tasks.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(partitions, symbol_table.count() // _WORDS_PER_TASK))
@@ -245,7 +248,9 @@ def train_bpe(df: DataFrame, vocab_size: int = VOCAB_SIZE, coverage: float = CHA
     counts, path = write_table(word_counts(df, text), "bpe-counts")
     kept, dropped = usable_characters(alphabet(counts, coverage))
     room = n_merged if n_merged is not None else max(vocab_size - len(SPECIALS) - len(kept), 0)
-    symbols = learn_merges(symbol_words(counts, dropped), room)
+    if room > _LAST_MERGED - _FIRST_MERGED - len(kept):
+        raise ValueError("too many merges")
+    symbols = learn_merges(symbol_words(counts, dropped), room, kept)
     drop_table(spark, path)
     pieces = list(SPECIALS) + [p for p in symbols.symbol_of if p not in SPECIALS] + kept
     rows = [

@@ -123,31 +123,44 @@ def with_attention_mask(df: DataFrame, ids: str = "input_ids") -> DataFrame:
 
 def tokenize(df: DataFrame, vocab: DataFrame, ids: str = "input_ids",
              out: str = "pieces") -> DataFrame:
-    """Ids as pieces. The vocabulary is one constant array, so a piece is a position lookup."""
+    """Ids as pieces; an id without a piece is an error.
+
+    The vocabulary is one constant array, so a piece is a position lookup.
+    """
     return df.withColumn(out, F.transform(ids, _piece_lookup(vocab)))
 
 
 def _piece_lookup(vocab: DataFrame):
     rows = vocab_rows(vocab)
+    if rows and rows[-1][0] >= MAX_VOCAB:
+        raise ValueError(f"ids must stay below {MAX_VOCAB}")
     table = [""] * (rows[-1][0] + 1 if rows else 0)
     for i, piece, _ in rows:
         if "\n" in piece:
             raise ValueError("pieces must not contain line breaks")
         table[i] = piece
     pieces = F.split(F.lit("\n".join(table)), "\n")
-    return lambda i: F.get(pieces, i)
+    return lambda i: F.coalesce(F.get(pieces, i), F.raise_error(
+        F.concat(F.lit("no piece has the id "), i.cast("string"))))
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "input_ids",
                out: str = "text") -> DataFrame:
-    """Ids back to text: pieces joined, word marks as spaces, no leading space."""
+    """Ids back to text: pieces joined, word marks as spaces, no leading space.
+
+    An id without a piece is an error, never left out.
+    """
     joined = F.array_join(F.transform(ids, _piece_lookup(vocab)), "")
     return df.withColumn(out, F.regexp_replace(F.translate(joined, WORD_MARK, " "), "^ ", ""))
 
 
-def peek(df: DataFrame, vocab: DataFrame, key: str, ids: str = "input_ids") -> DataFrame:
-    """First row by key, decoded."""
-    return decode_ids(df.select(key, ids).orderBy(key).limit(1), vocab, ids).select(key, "text")
+def peek(df: DataFrame, vocab: DataFrame, key: str, ids: str | None = None, text: str = "text"
+         ) -> DataFrame:
+    """First row by key, decoded. Without ids only that row's text is encoded."""
+    first = df.select(key, ids or text).orderBy(key).limit(1)
+    if ids is None:
+        first = encode(first, vocab, text, "input_ids", add_bos=False)
+    return decode_ids(first, vocab, ids or "input_ids").select(key, "text")
 
 
 def compare_vocabs(df: DataFrame, vocabs: dict[str, DataFrame], by: list[str] = ["source"],

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import REPLICAS, TEST_SHARE
-from ..functions.text import col, hash_key
+from ..functions.text import col, hash_key, java_pattern
 from .index import with_row_index, with_shuffled_index
 
 _PREFIX_BITS = 16
@@ -39,8 +39,9 @@ def number_files(df: DataFrame, directory: str = "dir", file_name: str = "file_n
 
 def rename_by_regex(df: DataFrame, pattern: str, replacement: str = "",
                     path: str = "path") -> DataFrame:
-    """Manifest of paths whose file or directory names change."""
-    parts = F.transform(F.split(path, "/"), lambda s: F.regexp_replace(s, pattern, replacement))
+    """Manifest of paths whose file or directory names change. The pattern is a Python regex."""
+    rule = java_pattern(pattern)
+    parts = F.transform(F.split(path, "/"), lambda s: F.regexp_replace(s, rule, replacement))
     renamed = df.select(F.col(path).alias("old_path"), F.array_join(parts, "/").alias("new_path"))
     return renamed.where(F.col("old_path") != F.col("new_path"))
 

@@ -4,20 +4,29 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import explode_words
 
 
-def corpus_stats(df: DataFrame, by: list[str] = ["source"], text: str = "text") -> DataFrame:
-    """Files, bytes and characters per group; sums combine on the map side."""
-    length = F.length(text)
-    return df.groupBy(*by).agg(
+def corpus_stats(df: DataFrame, by: list[str] = ["source"], text: str = "text",
+                 stages: dict[str, Column] | None = None) -> DataFrame:
+    """Files, bytes and characters per group; sums combine on the map side.
+
+    ``stages`` names versions of the text. They are measured in one scan and told apart by ``stage``.
+    """
+    versions = {"": F.col(text)} if stages is None else stages
+    sizes = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("stage"), F.octet_length(c).alias("bytes"), F.length(c).alias("chars"))
+        for name, c in versions.items()])).alias("size")
+    rows = df.select(*by, sizes).select(*by, "size.*")
+    keys = by if stages is None else ["stage", *by]
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.sum(F.octet_length(text)).cast("bigint").alias("n_bytes"),
-        F.min(length).cast("bigint").alias("min_chars"),
-        F.max(length).cast("bigint").alias("max_chars"),
-        F.round(F.sum(length) / F.count(F.lit(1)), 4).alias("avg_chars"),
+        F.sum("bytes").cast("bigint").alias("n_bytes"),
+        F.min("chars").cast("bigint").alias("min_chars"),
+        F.max("chars").cast("bigint").alias("max_chars"),
+        F.round(F.sum("chars") / F.count(F.lit(1)), 4).alias("avg_chars"),
     )
 
 

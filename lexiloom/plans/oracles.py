@@ -169,9 +169,9 @@ _DOC_INDEX = "row_number() over (order by doc_id) - 1"
 _TUNED = _encode("d", MERGED_DOCUMENTS, "es", f"select conv_id as key, {_SOURCE} as text from u") \
     + _encode("d", MERGED_DOCUMENTS, "et", f"select conv_id as key, {_PYTHON_LIST} as text from u") + [
         "ex as materialized (select es.key as conv_id, "
-        f"([1] || es.ids || et.ids || [2])[1:{TUNE_LENGTH}] as ids, "
-        f"(list_transform([1] || es.ids, lambda x: {fixed.IGNORE_LABEL}) || et.ids || [2])"
-        f"[1:{TUNE_LENGTH}] as labels from es join et using (key))"]
+        "[1] || es.ids || et.ids || [2] as ids, "
+        f"list_transform([1] || es.ids, lambda x: {fixed.IGNORE_LABEL}) || et.ids || [2] "
+        "as labels from es join et using (key))"]
 
 _MATHS = ("select o_orderkey, 'Order ' || o_orderkey as t, 'x=' || o_custkey || '+1' as e, "
           "(o_custkey + 1)::varchar as a from orders")
@@ -208,8 +208,9 @@ ORACLES = {
                  f"{_PYTHON_LIST} as output from u",
     "load_or_build": f"select doc_id, {_SPLIT} as split from documents",
     "write_books": f"select {_BOOK} as rel_path, text from documents",
-    "concat_corpus": "select text, count(*) as n from (select unnest(string_split(text, chr(10))) || "
-                     "chr(10) as text from documents) group by text",
+    "concat_corpus": "select row_number() over (order by source, doc_id::varchar, pos) - 1 as line, text "
+                     "from (select source, doc_id, unnest(string_split(text, chr(10))) as text, "
+                     "generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)",
     "text_csv": f"with {_UTTERANCES} select {_CHAT} as text from u",
     "metrics": f"select count(*) filter (where s = 'train') as train_samples, count(*) filter "
                f"(where s = 'test') as eval_samples from (select {_SPLIT} as s from documents)",
@@ -288,6 +289,9 @@ ORACLES = {
                     "then 'test' else 'train' end as split from blocks",
     "mask_labels": _with(_UTTERANCES, _D, _TUNED) +
                    f"select conv_id, {_text_of('ids')} as input_ids, {_text_of('labels')} as labels from ex",
+    "mask_labels_truncated": _with(_UTTERANCES, _D, _TUNED) +
+                             f"select conv_id, {_text_of(f'ids[1:{TUNE_LENGTH}]')} as input_ids, "
+                             f"{_text_of(f'labels[1:{TUNE_LENGTH}]')} as labels from ex",
     "pad_batches": _with(_UTTERANCES, _D, _TUNED,
                          f"n as (select *, (row_number() over (order by conv_id) - 1) // {TUNE_ROWS} as "
                          "batch_id from ex)",

@@ -19,7 +19,8 @@ MERGED_BENCHMARK = 60
 CUSTOM_PATTERNS = ("th+", "[aeiou]", r"\d+")
 PACK_BLOCK, PACK_ROWS = 256, 200
 WORD_BLOCK, WORD_ROWS = 128, 100
-TUNE_LENGTH, TUNE_ROWS = 256, 8
+#: The longest example the original tunes on, and its rows per batch here.
+TUNE_LENGTH, TUNE_ROWS = 4096, 8
 
 _VOCABS: dict[tuple[str, str, str], list] = {}
 
@@ -150,8 +151,9 @@ def scan_books(spark, sf_dir):
 
 def write_books(spark, sf_dir):
     root = new_path(spark, "mirrored")
-    named = book_names(spark, sf_dir).join(table(spark, sf_dir, "documents"), "doc_id")
-    books.write_books(named.select(F.col("path").alias("rel_path"), "text"), root)
+    suffix = F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), suffix)
+    books.write_books(table(spark, sf_dir, "documents").select(path.alias("rel_path"), "text"), root)
     return spark.read.parquet(root)
 
 
@@ -160,8 +162,10 @@ def concat_corpus(spark, sf_dir):
     named = table(spark, sf_dir, "documents").select(
         F.col("source").alias("dir"), F.col("doc_id").cast("string").alias("file_name"), "text")
     books.write_corpus(named, path)
-    joined_corpus = lines.read_lines(spark, path)
-    return joined_corpus.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    # The place of a line in the joined files shows their order.
+    placed = lines.positioned_lines(spark, path).select("file", "block", "pos", "value")
+    return index.with_row_index(placed, ["file", "block", "pos"], "line").select(
+        "line", F.col("value").alias("text"))
 
 
 def read_lines(spark, sf_dir):
@@ -232,7 +236,11 @@ def split_exact(spark, sf_dir):
 
 def shuffle_rows(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return index.with_shuffled_index(sampling.shuffle_rows(orders, "o_orderkey"), "o_orderkey")
+    path = new_path(spark, "shuffled")
+    sampling.shuffle_rows(orders, "o_orderkey").write.parquet(path)
+    # The place of a row in the written files shows their order.
+    rows = spark.read.parquet(path).select("*", "_metadata.file_name", "_metadata.row_index")
+    return index.with_row_index(rows, ["file_name", "row_index"]).drop("file_name", "row_index")
 
 
 def assign_shards(spark, sf_dir):
@@ -275,7 +283,7 @@ def alphabet(spark, sf_dir):
 
 
 def pair_counts(spark, sf_dir):
-    counts = vocab.word_counts(documents(spark, sf_dir))
+    counts, _ = write_table(vocab.word_counts(documents(spark, sf_dir)), "words")
     return count_pairs(symbol_words(counts, usable_characters(vocab.alphabet(counts))[1]))
 
 
@@ -360,8 +368,7 @@ def decode(spark, sf_dir):
 
 
 def peek_first(spark, sf_dir):
-    ids = encoded(spark, sf_dir, add_bos=False)
-    return encode.peek(ids, trained(spark, sf_dir, "documents"), "doc_id")
+    return encode.peek(table(spark, sf_dir, "documents"), trained(spark, sf_dir, "documents"), "doc_id")
 
 
 def compare_vocabs(spark, sf_dir):
@@ -400,7 +407,7 @@ def split_blocks(spark, sf_dir):
 
 # Supervised rows
 
-def examples(spark, sf_dir, max_len=TUNE_LENGTH) -> DataFrame:
+def examples(spark, sf_dir, max_len=None) -> DataFrame:
     records = dialogue.dialogue_to_instruction(dialogues(spark, sf_dir))
     return tuning.supervised_examples(records, trained(spark, sf_dir, "documents"), max_len)
 
@@ -409,6 +416,11 @@ def mask_labels(spark, sf_dir):
     return examples(spark, sf_dir).select("conv_id", joined("input_ids"), joined("labels"))
 
 
+def mask_labels_truncated(spark, sf_dir):
+    """As tuned: whole records, cut at the longest length."""
+    return examples(spark, sf_dir, TUNE_LENGTH).select("conv_id", joined("input_ids"), joined("labels"))
+
+
 def pad_batches(spark, sf_dir):
     padded = tuning.padded_batches(examples(spark, sf_dir), TUNE_ROWS, ["conv_id"])
     mask = F.array_join(F.transform("attention_mask", lambda m: F.when(m, "T").otherwise("F")), "")
@@ -420,10 +432,8 @@ def pad_batches(spark, sf_dir):
 
 def corpus_stats(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    stages = docs.select(F.lit("raw").alias("stage"), "source", "text").unionByName(
-        docs.select(F.lit("clean").alias("stage"), "source",
-                    split_semicolons(clean_text("text")).alias("text")))
-    return stats.corpus_stats(stages, ["stage", "source"])
+    return stats.corpus_stats(docs, ["source"], stages={
+        "raw": F.col("text"), "clean": split_semicolons(clean_text("text"))})
 
 
 def set_sizes(spark, sf_dir):
@@ -535,6 +545,7 @@ QUERIES = {
     "pack_tokens": pack_tokens,
     "split_blocks": split_blocks,
     "mask_labels": mask_labels,
+    "mask_labels_truncated": mask_labels_truncated,
     "pad_batches": pad_batches,
     "corpus_stats": corpus_stats,
     "set_sizes": set_sizes,

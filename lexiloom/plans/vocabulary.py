@@ -12,6 +12,7 @@ from ..operators.bpe import train_bpe
 from ..operators.sampling import sample_one_per_dir
 from ..operators.vocab import merge_vocab
 from ..sources.books import decode_books, scan_books
+from ..sources.lines import broadcast_if_small
 
 
 def clean_books(spark: SparkSession, root: str, patterns: Sequence[str] = OCR_PATTERNS,
@@ -21,7 +22,8 @@ def clean_books(spark: SparkSession, root: str, patterns: Sequence[str] = OCR_PA
         # The draw is among all files of a directory, so it comes before the name filter.
         names = scan_books(spark, root, suffix="").select("path", "dir")
         chosen = sample_one_per_dir(names, "dir", "path", seed).select("path")
-        books = scan_books(spark, root).join(chosen, "path", "left_semi")
+        # One path per directory: the files themselves are filtered where they are read.
+        books = scan_books(spark, root).join(broadcast_if_small(chosen), "path", "left_semi")
     else:
         books = scan_books(spark, root)
     cleaned = split_semicolons(clean_text("text", patterns))

@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -22,15 +21,16 @@ def load_or_build(spark: SparkSession, directory: str, inputs: dict,
                   build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
     """Read the set made from ``inputs`` (sources and options), or build and save it.
 
-    The folder is named by the inputs, so other options never find a stale set. A folder that cannot
-    be read back, as after a job that died while writing, is written again.
+    The folder is named by the inputs, so other options never find a stale set. A folder without a
+    marker, as after a job that died while writing, is written again; any other trouble is an error.
     """
     key = hashlib.sha256(json.dumps(inputs, sort_keys=True, default=str).encode()).hexdigest()[:32]
     path = f"{directory.rstrip('/')}/{key}"
-    try:
-        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count()
-        return spark.read.parquet(path)
-    except PySparkException:
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    files = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(marker):
         writer = build().write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return spark.read.parquet(path)
+        if not files.exists(marker):  # some committers write none
+            files.create(marker).close()
+    return spark.read.parquet(path)

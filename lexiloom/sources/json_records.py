@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..operators.index import with_row_index
 from .lines import broadcast_if_small, positioned_lines
 
 MATHS_KEYS = ("original_text", "equation", "ans")
@@ -15,13 +16,14 @@ def read_dialogues(spark: SparkSession, path: str, layout: str = "array") -> Dat
     """``file, conv_id, utterances``.
 
     ``array``: a file is one JSON array of arrays (each file must fit a row). ``lines``: one
-    conversation per line, read in splits.
+    conversation per line, read in splits. Either way ``conv_id`` counts the conversations of a file
+    from 0, however the file is split.
     """
     if layout == "lines":
         lines = positioned_lines(spark, path)
-        return lines.where(F.trim("value") != "").select(
-            "file", F.col("pos").alias("conv_id"),
-            F.from_json("value", "array<string>").alias("utterances"))
+        numbered = with_row_index(lines.where(F.trim("value") != "").select("file", "block", "pos", "value"),
+                                  ["block", "pos"], "conv_id", ["file"])
+        return numbered.select("file", "conv_id", F.from_json("value", "array<string>").alias("utterances"))
     if layout != "array":
         raise ValueError(f"layout must be array or lines, not {layout}")
     files = spark.read.text(path, wholetext=True).select(

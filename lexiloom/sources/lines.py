@@ -48,12 +48,15 @@ def _pieces(text: Column) -> Column:
 def read_lines(spark: SparkSession, paths: str | Sequence[str],
                keep_linebreaks: bool = True) -> DataFrame:
     """One row per line, with its line break if asked for. Large files are read in splits."""
+    if not keep_linebreaks:  # whether the last line has one makes no difference
+        whole = F.concat("value", F.lit("\n"))
+        rows = spark.read.text(paths, lineSep="\n").select(F.explode(_pieces(whole)).alias("text"))
+        return rows.select(F.regexp_replace("text", "\n$", "").alias("text"))
     lines = positioned_lines(spark, paths)
     opened = broadcast_if_small(_unended(lines))
     ended = lines.join(opened, ["file", "block", "pos"], "left")
     text = F.when(F.col("open"), F.col("value")).otherwise(F.concat("value", F.lit("\n")))
-    rows = ended.select(F.explode(_pieces(text)).alias("text"))
-    return rows if keep_linebreaks else rows.select(F.regexp_replace("text", "\n$", "").alias("text"))
+    return ended.select(F.explode(_pieces(text)).alias("text"))
 
 
 def read_any(spark: SparkSession, paths: Sequence[str], keep_linebreaks: bool = True,

@@ -253,3 +253,29 @@ def test_row_operators_take_a_stream(spark, tmp_path):
     got = {r.id: (r.text, r.chat, r.input_ids) for r in spark.read.parquet(out).collect()}
     assert got == {1: ("<s>Y</s>", "<s>Human: a\n</s><s>Assistant: b\n</s>", [1, 1, 3, 4, 2]),
                    2: ("<s>Z</s>", "<s>Human: c\n</s>", [1, 1, 3, 5, 2])}
+
+
+def test_conversations_are_numbered_by_file(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text('["x"]\n\n["y", "z"]\n')
+    rows = json_records.read_dialogues(spark, str(tmp_path), "lines").collect()
+    assert sorted((r.file[-7:], r.conv_id, r.utterances) for r in rows) == [
+        ("a.jsonl", 0, ["x"]), ("a.jsonl", 1, ["y", "z"]), ("b.jsonl", 0, ["x"]), ("b.jsonl", 1, ["y", "z"])]
+
+
+def test_a_set_that_cannot_be_read_is_not_overwritten(spark, tmp_path):
+    where, made = str(tmp_path / "sets"), []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    cache.load_or_build(spark, where, {"a": 1}, build)
+    folder = next((tmp_path / "sets").iterdir())
+    for part in folder.glob("*.parquet"):
+        part.write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        cache.load_or_build(spark, where, {"a": 1}, build).collect()
+    assert made == [1]
+    (folder / "_SUCCESS").unlink()
+    assert cache.load_or_build(spark, where, {"a": 1}, build).count() == 3 and made == [1, 1]

@@ -1,4 +1,8 @@
+import re
+import warnings
+
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed, text
@@ -28,6 +32,33 @@ def test_fused_list_equals_the_list_in_order(spark, sf_dir):
     assert docs.where(text.clean_text("text") != one_by_one).count() == 0
 
 
+def test_classes_with_hyphens_at_the_edge(spark):
+    assert one(spark, text.clean_text(F.lit("a-bcz hello-x"), ("[a-]", "z"))) == "bc hellox"
+    assert one(spark, text.clean_text(F.lit("ab-c a-"), ("b", "[-z]"))) == "ac a"
+    assert one(spark, text.clean_text(F.lit("第１２章 é_中"), (r"\d+", r"\w\b"))) == re.sub(
+        r"\w\b", "", re.sub(r"\d+", "", "第１２章 é_中"))
+
+
+_CLASS_PARTS = ["a-", "-z", "a-c", "&&", "&", "^b", "b^", "]a", "x[y", "é", r"\d", r"\]", "_", "0-9-"]
+_PATTERNS = st.one_of(
+    st.lists(st.sampled_from(_CLASS_PARTS), min_size=1, max_size=2).map(lambda p: f"[{''.join(p)}]"),
+    st.sampled_from(["a", "-", "&", "z", r"\*", r"\-", "é", r"\d+", r"\w\b", "ab", "1|2", "[^a-z]", "b+"]))
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_PATTERNS, max_size=4), st.text("abcxyz-&^[]_é019２ *\\", max_size=25))
+def test_any_list_deletes_what_python_deletes(spark, patterns, value):
+    want = value
+    try:
+        for p in patterns:
+            with warnings.catch_warnings():
+                warnings.simplefilter("error")
+                want = re.sub(p, "", want)
+    except (re.error, FutureWarning):
+        return  # no legal list
+    assert one(spark, text.clean_text(F.lit(value), patterns)) == want
+
+
 def test_order_matters_for_longer_patterns(spark):
     assert one(spark, text.clean_text(F.lit("abab"), ("ba", "ab"))) == ""
     assert one(spark, text.clean_text(F.lit("abab"), ("ab", "ba"))) == ""

@@ -152,7 +152,7 @@ def test_rare_characters_are_left_out(spark):
 def test_merged_symbols_do_not_collide_with_private_characters(spark):
     df = spark.createDataFrame([("ab ab \U000f0000x \U000f0000x",)], "text string")
     pieces = {r.piece for r in bpe.train_bpe(df, coverage=1.0, n_merged=4).collect()}
-    assert not any("\U000f0000" in p for p in pieces)
+    assert {"\U000f0000", "\u2581ab", "\u2581\U000f0000x"} <= pieces
 
 
 def test_quotes_and_backslashes_train(spark):
@@ -259,3 +259,22 @@ def test_extended_vocabulary(spark):
     rows = merged.orderBy("id").collect()
     assert [r.id for r in rows] == list(range(len(rows)))
     assert "▁火锅" in {r.piece for r in rows}
+
+
+def test_unknown_ids_are_refused(spark):
+    v = spark.createDataFrame([(0, "<unk>", 0.0, "x"), (1, "<s>", 0.0, "x"), (2, "</s>", 0.0, "x"),
+                               (3, "ab", -1.0, "x"), (4, "cd", -2.0, "x")], "id int, piece string, score float, origin string")
+    ids = spark.createDataFrame([([3, 4],), ([3, 999, 4],), ([-1],)], "input_ids array<int>")
+    good = ids.where(F.forall("input_ids", lambda i: i.between(0, 4)))
+    assert encode.decode_ids(good, v).first().text == "abcd"
+    for bad in (999, -1):
+        with pytest.raises(Exception, match="no piece has the id"):
+            encode.decode_ids(ids.where(F.array_contains("input_ids", bad)), v).collect()
+
+
+def test_private_characters_survive(spark):
+    text = "\U000f1234a \U000f1234b \U000f1234a \U00040000x \U00040000x \U0010fffdz"
+    v = bpe.train_bpe(spark.createDataFrame([(1, text)], "id int, text string"), coverage=1.0)
+    ids = encode.encode(spark.createDataFrame([(1, text)], "id int, text string"), v, add_bos=False)
+    assert encode.decode_ids(ids, v).first().text == text
+    assert 0 not in ids.first().input_ids
