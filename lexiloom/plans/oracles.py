@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from .queries import (CUSTOM_PATTERNS, MERGED_BENCHMARK, MERGED_DOCUMENTS, PACK_BLOCK, PACK_ROWS,
+from .queries import (CUSTOM_PATTERNS, MERGED_DOCUMENTS, PACK_BLOCK, PACK_ROWS,
                       TUNE_LENGTH, TUNE_ROWS, WORD_BLOCK, WORD_ROWS)
 
 _FIRST_SYMBOL = 983040
@@ -110,10 +110,51 @@ def _bpe(p: str, table: str, merges: int) -> list[str]:
     return ctes
 
 
-def _encode(p: str, merges: int, name: str, source: str) -> list[str]:
+def _bpe_to_end(p: str, table: str) -> list[str]:
+    """As ``_bpe``, until the default size is reached or no pair occurs twice.
+
+    The keyed recursion keeps the words as they are after the last merge; a step writes only the words
+    that hold its pair. ``rules`` lists pair and symbol of every merge in one string each.
+    """
+    every, first = f"recurring.{p}steps", _FIRST_SYMBOL
+    n_specials = len(fixed.SPECIALS)
+
+    def side(i: int) -> str:
+        return (f"coalesce((select any_value(x.piece) from {every} x where x.kind = 'piece' and "
+                f"x.s = substr(pair, {i}, 1)), substr(pair, {i}, 1))")
+
+    return _bpe(p, table, 0)[:5] + [
+        f"{p}steps(kind, id, s, n, piece) using key (kind, id) as ("
+        f"select 'word', row_number() over (), s, n, null::varchar from {p}w0 union (with best as ("
+        f"select pair, {side(1)} || {side(2)} as piece from (select pair from (select substr(s, i, 2) as pair, "
+        f"n from (select s, n, unnest(range(1, length(s))) as i from {every} where kind = 'word')) "
+        "where not contains(pair, ' ') group by pair having sum(n) >= 2 order by sum(n) desc, "
+        "greatest(substr(pair, 1, 1), substr(pair, 2, 1)), substr(pair, 1, 1), substr(pair, 2, 1) limit 1) "
+        f"where (select count(*) from {every} where kind = 'piece') < {fixed.VOCAB_SIZE - n_specials} - "
+        f"(select count(*) from {p}alpha where kept)), "
+        f"named as (select pair, piece, (select any_value(x.s) from {every} x where x.kind = 'piece' and "
+        f"x.piece = best.piece) as known, (select count(*) from {every} where kind = 'piece') as k, "
+        f"(select count(*) from {every} where kind = 'rule') as r from best) "
+        f"select w.kind, w.id, replace(w.s, pair, coalesce(known, chr(({first} + k)::int))), w.n, w.piece "
+        f"from {every} w, named where w.kind = 'word' and contains(w.s, pair) union all "
+        f"select 'piece', k, chr(({first} + k)::int), 0, piece from named where known is null union all "
+        f"select 'rule', r, pair || coalesce(known, chr(({first} + k)::int)), 0, null from named))",
+        f"{p}vocab as materialized (select * from (values (0, '<unk>', ' '), (1, '<s>', null), "
+        f"(2, '</s>', null)) v(id, piece, sym) union all "
+        f"select id + {n_specials}, piece, s from {p}steps where kind = 'piece' union all "
+        f"select row_number() over (order by n desc, ch) + {n_specials - 1} + "
+        f"(select count(*) from {p}steps where kind = 'piece'), ch, ch from {p}alpha where kept)",
+        f"{p}rules as materialized (select coalesce(list(s order by id), []) as rules from {p}steps "
+        "where kind = 'rule')",
+    ]
+
+
+def _encode(p: str, merges: int | None, name: str, source: str) -> list[str]:
     """Ids per row of ``source`` (key, text): rules applied in order to the whole marked text."""
     merged = f"regexp_replace(translate(t, d, repeat(' ', length(d))), ' +', ' ', 'g')"
-    for k in range(1, merges + 1):
+    if merges is None:
+        merged = f"list_reduce(list_prepend({merged}, rules), lambda a, r: replace(a, r[1:2], r[3:3]))"
+    for k in range(1, (merges or 0) + 1):
         merged = f"replace({merged}, p{k}, s{k})"
     mark = fixed.WORD_MARK
     return [
@@ -134,13 +175,13 @@ def _encode(p: str, merges: int, name: str, source: str) -> list[str]:
 
 def _with(*ctes) -> str:
     flat = [c for part in ctes for c in (part if isinstance(part, list) else [part])]
-    return "with " + ",\n".join(flat) + "\n"
+    return "with recursive " + ",\n".join(flat) + "\n"
 
 
 _D = _bpe("d", "documents", MERGED_DOCUMENTS)
-_B = _bpe("b", "benchmark", MERGED_BENCHMARK)
-_DOCS = _encode("d", MERGED_DOCUMENTS, "e", "select doc_id as key, text from documents")
-_BASE_DOCS = _encode("b", MERGED_BENCHMARK, "eb", "select doc_id as key, text from documents")
+_B = _bpe_to_end("b", "benchmark")
+_DOCS = _encode("b", None, "e", "select doc_id as key, text from documents")
+_NEW_DOCS = _encode("d", MERGED_DOCUMENTS, "ed", "select doc_id as key, text from documents")
 
 
 def _word_vocab(name: str, counts: str) -> str:
@@ -166,8 +207,8 @@ def _packed(tokens: str, block: int, rows: int) -> str:
 
 
 _DOC_INDEX = "row_number() over (order by doc_id) - 1"
-_TUNED = _encode("d", MERGED_DOCUMENTS, "es", f"select conv_id as key, {_SOURCE} as text from u") \
-    + _encode("d", MERGED_DOCUMENTS, "et", f"select conv_id as key, {_PYTHON_LIST} as text from u") + [
+_TUNED = _encode("b", None, "es", f"select conv_id as key, {_SOURCE} as text from u") \
+    + _encode("b", None, "et", f"select conv_id as key, {_PYTHON_LIST} as text from u") + [
         "ex as materialized (select es.key as conv_id, "
         "[1] || es.ids || et.ids || [2] as ids, "
         f"list_transform([1] || es.ids, lambda x: {fixed.IGNORE_LABEL}) || et.ids || [2] "
@@ -241,7 +282,7 @@ ORACLES = {
     "row_index": "select l_orderkey, l_linenumber, row_number() over (order by l_shipdate, l_orderkey, "
                  "l_linenumber) - 1 as idx from lineitem",
     "sample_count": "select least(count(*), 500) as train_samples from documents",
-    "peek_first": _with(_D, _DOCS) + "select key as doc_id, regexp_replace(replace("
+    "peek_first": _with(_B, _DOCS) + "select key as doc_id, regexp_replace(replace("
                   "array_to_string(pieces, ''), '▁', ' '), '^ ', '') as text from e order by key limit 1",
     "word_counts": f"select word, count(*) as n from (select unnest({_words('text')}) as word from "
                    "documents) group by word",
@@ -250,6 +291,7 @@ ORACLES = {
                    "n from (select s, n, unnest(range(1, length(s))) as i from dw0)) "
                    "where not contains(pair, ' ') group by pair",
     "train_bpe": _with(_D) + "select id, piece, case when id < 3 then 0 else 3 - id end as score from dvocab",
+    "train_bpe_to_end": _with(_B) + "select id, piece from bvocab",
     "merge_vocab": _WORD_VOCABS + "select id, piece, origin, score from mv",
     "vocab_head": _WORD_VOCABS + "select id, piece from nv order by id limit 200",
     "vocab_report": _with(_D, _B) + "select (select count(*) from bvocab) + a as n_pieces, "
@@ -259,26 +301,26 @@ ORACLES = {
     "vocab_growth": _WORD_VOCABS + "select greatest(count(*) - 1000, 0) as growth from mv",
     "concat_sets": "select 0 as source_no, doc_id as id, text from documents union all "
                    "select 1, item_id, text from benchmark",
-    "encode": _with(_D, _DOCS) + f"select key as doc_id, {_text_of('[1] || ids')} as input_ids from e",
-    "encode_pieces": _with(_D, _DOCS) + "select key as doc_id, array_to_string(pieces, ' ') as pieces from e",
-    "encode_truncated": _with(_D, _DOCS) + "select key as doc_id, "
+    "encode": _with(_B, _DOCS) + f"select key as doc_id, {_text_of('[1] || ids')} as input_ids from e",
+    "encode_pieces": _with(_B, _DOCS) + "select key as doc_id, array_to_string(pieces, ' ') as pieces from e",
+    "encode_truncated": _with(_B, _DOCS) + "select key as doc_id, "
                         f"{_text_of('([1] || ids || [2])[1:128]')} as input_ids from e",
-    "encode_wrapped": _with(_D, _DOCS) + "select key as doc_id, "
+    "encode_wrapped": _with(_B, _DOCS) + "select key as doc_id, "
                       f"{_text_of('[1, 1] || ids || [2, 2]')} as input_ids, "
                       "array_to_string(list_transform([1, 1] || ids || [2, 2], lambda x: 1), ',') as "
                       "attention_mask from e",
-    "decode": _with(_D, _DOCS) + "select key as doc_id, regexp_replace(replace("
+    "decode": _with(_B, _DOCS) + "select key as doc_id, regexp_replace(replace("
               "array_to_string(pieces, ''), '▁', ' '), '^ ', '') as text from e",
-    "compare_vocabs": _with(_D, _B, _DOCS, _BASE_DOCS) +
+    "compare_vocabs": _with(_D, _B, _DOCS, _NEW_DOCS) +
                       "select vocab, source, sum(len(ids))::bigint as n_tokens, sum(length(text))::bigint "
                       "as n_chars, round(sum(len(ids)) / sum(length(text)), 6) as tokens_per_char, "
                       "round(sum(len(list_filter(ids, lambda x: x = 0))) / sum(len(ids)), 6) as "
-                      "unknown_share from (select 'new' as vocab, * from e union all select 'base', * from "
-                      "eb) join documents on key = doc_id group by vocab, source",
+                      "unknown_share from (select 'base' as vocab, * from e union all select 'new', * from "
+                      "ed) join documents on key = doc_id group by vocab, source",
     "pack_words": "with " + _packed(f"select {_DOC_INDEX} as idx, {_words('text')} as l from documents",
                                     WORD_BLOCK, WORD_ROWS) +
                   "select batch_id, block_id, array_to_string(toks, ' ') as tokens from blocks",
-    "pack_tokens": _with(_D, _DOCS, _packed("select row_number() over (order by key) - 1 as idx, "
+    "pack_tokens": _with(_B, _DOCS, _packed("select row_number() over (order by key) - 1 as idx, "
                                             "[1, 1] || ids || [2, 2] as l from e", PACK_BLOCK, PACK_ROWS)) +
                    f"select batch_id, block_id, {_text_of('toks')} as input_ids, {_text_of('toks')} as labels "
                    "from blocks",
@@ -287,12 +329,12 @@ ORACLES = {
                     "select batch_id, block_id, case when "
                     f"""{_hash("(batch_id || '-' || block_id)")} < {int(fixed.TEST_SHARE * 2**32)} """
                     "then 'test' else 'train' end as split from blocks",
-    "mask_labels": _with(_UTTERANCES, _D, _TUNED) +
+    "mask_labels": _with(_UTTERANCES, _B, _TUNED) +
                    f"select conv_id, {_text_of('ids')} as input_ids, {_text_of('labels')} as labels from ex",
-    "mask_labels_truncated": _with(_UTTERANCES, _D, _TUNED) +
+    "mask_labels_truncated": _with(_UTTERANCES, _B, _TUNED) +
                              f"select conv_id, {_text_of(f'ids[1:{TUNE_LENGTH}]')} as input_ids, "
                              f"{_text_of(f'labels[1:{TUNE_LENGTH}]')} as labels from ex",
-    "pad_batches": _with(_UTTERANCES, _D, _TUNED,
+    "pad_batches": _with(_UTTERANCES, _B, _TUNED,
                          f"n as (select *, (row_number() over (order by conv_id) - 1) // {TUNE_ROWS} as "
                          "batch_id from ex)",
                          "l as (select *, max(len(ids)) over (partition by batch_id) - len(ids) as miss from n)",

@@ -14,8 +14,8 @@ from ..sources import books, cache, json_records, lines, sinks
 from ..storage import new_path, write_table
 from . import pretraining, tuning
 
-MERGED_DOCUMENTS = 120
-MERGED_BENCHMARK = 60
+#: Merged pieces from ``documents`` that SQL can follow one by one; ``train_bpe_default`` has no limit.
+MERGED_DOCUMENTS = 200
 CUSTOM_PATTERNS = ("th+", "[aeiou]", r"\d+")
 PACK_BLOCK, PACK_ROWS = 256, 200
 WORD_BLOCK, WORD_ROWS = 128, 100
@@ -41,7 +41,7 @@ def trained(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Vocabulary learnt from a table's texts, once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _VOCABS:
-        n = MERGED_DOCUMENTS if name == "documents" else MERGED_BENCHMARK
+        n = MERGED_DOCUMENTS if name == "documents" else None
         _VOCABS[key] = learn(spread(table(spark, sf_dir, name)), n_merged=n).collect()
     return spark.createDataFrame(_VOCABS[key], vocab.VOCAB_SCHEMA)
 
@@ -298,6 +298,11 @@ def train_bpe_default(spark, sf_dir):
     return learn(documents(spark, sf_dir)).select("id", "piece")
 
 
+def train_bpe_to_end(spark, sf_dir):
+    """The default size again, from texts so few that SQL can follow it to its end."""
+    return learn(table(spark, sf_dir, "benchmark")).select(F.col("id").cast("bigint").alias("id"), "piece")
+
+
 def word_vocabs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     base = vocab.word_counts(table(spark, sf_dir, "benchmark"))
     new = vocab.word_counts(documents(spark, sf_dir))
@@ -338,7 +343,7 @@ def concat_sets(spark, sf_dir):
 
 def encoded(spark, sf_dir, **options) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return encode.encode(docs, trained(spark, sf_dir, "documents"), **options)
+    return encode.encode(docs, trained(spark, sf_dir, "benchmark"), **options)
 
 
 def encode_query(spark, sf_dir):
@@ -347,7 +352,7 @@ def encode_query(spark, sf_dir):
 
 def encode_pieces(spark, sf_dir):
     ids = encoded(spark, sf_dir, add_bos=False)
-    pieces = encode.tokenize(ids, trained(spark, sf_dir, "documents"))
+    pieces = encode.tokenize(ids, trained(spark, sf_dir, "benchmark"))
     return pieces.select("doc_id", F.array_join("pieces", " ").alias("pieces"))
 
 
@@ -364,11 +369,11 @@ def encode_wrapped(spark, sf_dir):
 
 def decode(spark, sf_dir):
     ids = encoded(spark, sf_dir, add_bos=False).select("doc_id", "input_ids")
-    return encode.decode_ids(ids, trained(spark, sf_dir, "documents")).select("doc_id", "text")
+    return encode.decode_ids(ids, trained(spark, sf_dir, "benchmark")).select("doc_id", "text")
 
 
 def peek_first(spark, sf_dir):
-    return encode.peek(table(spark, sf_dir, "documents"), trained(spark, sf_dir, "documents"), "doc_id")
+    return encode.peek(table(spark, sf_dir, "documents"), trained(spark, sf_dir, "benchmark"), "doc_id")
 
 
 def compare_vocabs(spark, sf_dir):
@@ -394,7 +399,7 @@ def pack_words(spark, sf_dir):
 
 def pack_tokens(spark, sf_dir):
     blocks = pretraining.training_blocks(
-        documents(spark, sf_dir).select("doc_id", "text"), trained(spark, sf_dir, "documents"),
+        documents(spark, sf_dir).select("doc_id", "text"), trained(spark, sf_dir, "benchmark"),
         ["doc_id"], block_size=PACK_BLOCK, batch_rows=PACK_ROWS)
     return blocks.select("batch_id", "block_id", joined("input_ids"), joined("labels"))
 
@@ -409,7 +414,7 @@ def split_blocks(spark, sf_dir):
 
 def examples(spark, sf_dir, max_len=None) -> DataFrame:
     records = dialogue.dialogue_to_instruction(dialogues(spark, sf_dir))
-    return tuning.supervised_examples(records, trained(spark, sf_dir, "documents"), max_len)
+    return tuning.supervised_examples(records, trained(spark, sf_dir, "benchmark"), max_len)
 
 
 def mask_labels(spark, sf_dir):
@@ -529,6 +534,7 @@ QUERIES = {
     "pair_counts": pair_counts,
     "train_bpe": train_bpe,
     "train_bpe_default": train_bpe_default,
+    "train_bpe_to_end": train_bpe_to_end,
     "merge_vocab": merge_vocab,
     "vocab_head": vocab_head,
     "vocab_report": vocab_report,
