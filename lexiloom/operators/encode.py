@@ -23,6 +23,12 @@ _MEMO_WORDS = 500_000
 _MEMO_CHARS = 64
 _SPECIAL = re.compile("(" + "|".join(re.escape(s) for s in SPECIALS) + ")")
 _WORD = re.compile(f"[^{re.escape(WHITESPACE)}]+")
+# With spaces kept, every space begins a chunk, and so does every line break.
+_CHUNK = re.compile(f"{WORD_MARK}[^{WORD_MARK}\n]*|\n[^{WORD_MARK}\n]*")
+#: Pieces that stand for single bytes. Fixed form.
+BYTE_PIECES = tuple(f"<0x{b:02X}>" for b in range(256))
+# Stands before the two digits of a byte while ids become text again; a character no text should hold.
+_BYTE_MARK = "\uffff"
 
 
 def vocab_rows(vocab: DataFrame) -> list[tuple[int, str, float]]:
@@ -35,11 +41,23 @@ def vocab_rows(vocab: DataFrame) -> list[tuple[int, str, float]]:
 
 def merge_rules(rows: list[tuple[int, str, float]]) -> dict[str, tuple[float, str]]:
     """Pieces as rules: neighbours whose joined text is a piece merge, the highest score first."""
-    return {piece: (-score, piece) for _, piece, score in rows if piece not in SPECIALS}
+    return {piece: (-score, piece) for _, piece, score in rows
+            if piece not in SPECIALS and piece not in BYTE_PIECES}
+
+
+def with_byte_pieces(vocab: DataFrame) -> DataFrame:
+    """The vocabulary with the 256 byte pieces at its end, so that no character is unknown."""
+    first = vocab.agg(F.max("id")).first()[0] + 1
+    rows = [(first + b, piece, 0.0, "byte") for b, piece in enumerate(BYTE_PIECES)]
+    return vocab.unionByName(vocab.sparkSession.createDataFrame(rows, vocab.schema))
 
 
 class WordEncoder:
-    """Ids of single words, remembering the ones seen in this task."""
+    """Ids of single words, remembering the ones seen in this task.
+
+    Where the vocabulary has all byte pieces, an unknown character is written as its bytes, else a run
+    of them as one unknown piece.
+    """
 
     def __init__(self, rows: list[tuple[int, str, float]]):
         self.ids = {}
@@ -48,14 +66,19 @@ class WordEncoder:
         self.rules = merge_rules(rows)
         self.special = {p: self.ids.get(p, i) for i, p in enumerate(SPECIALS)}
         self.memo: dict[str, list[int]] = {}
+        codes = [self.ids.get(p) for p in BYTE_PIECES]
+        self.bytes = None if None in codes else codes
 
     def word(self, word: str) -> list[int]:
+        """Ids of a word with its mark."""
         found = self.memo.get(word)
         if found is None:
             found = []
-            for piece in merge_neighbours(WORD_MARK + word, self.rules.get):
+            for piece in merge_neighbours(word, self.rules.get):
                 i = self.ids.get(piece, UNK_ID)
-                if i != UNK_ID or not found or found[-1] != UNK_ID:
+                if i == UNK_ID and self.bytes is not None:
+                    found += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+                elif i != UNK_ID or not found or found[-1] != UNK_ID:
                     found.append(i)
             if len(word) <= _MEMO_CHARS:
                 if len(self.memo) >= _MEMO_WORDS:
@@ -63,17 +86,21 @@ class WordEncoder:
                 self.memo[word] = found
         return found
 
-    def text(self, text: str, out: array, literals: bool) -> None:
+    def text(self, text: str, out: array, literals: bool, keep_spaces: bool = False) -> None:
         parts = _SPECIAL.split(text) if literals else (text,)
         for part in parts:
             if literals and part in self.special:
                 out.append(self.special[part])
+            elif keep_spaces:
+                for chunk in _CHUNK.findall(WORD_MARK + part.replace(" ", WORD_MARK)) if part else ():
+                    out.extend(self.word(chunk))
             else:
                 for word in _WORD.findall(part):
-                    out.extend(self.word(word))
+                    out.extend(self.word(WORD_MARK + word))
 
 
-def token_ids(spark, vocab: DataFrame, text: str | Column, parse_literals: bool = True) -> Column:
+def token_ids(spark, vocab: DataFrame, text: str | Column, parse_literals: bool = True,
+              keep_spaces: bool = False) -> Column:
     """Ids of a text column, without begin and end marks."""
     shared = spark.sparkContext.broadcast(vocab_rows(vocab))
 
@@ -83,7 +110,7 @@ def token_ids(spark, vocab: DataFrame, text: str | Column, parse_literals: bool
             ids, ends = array("i"), [0]
             for text in batch.to_pylist():
                 if text is not None:
-                    encoder.text(text, ids, parse_literals)
+                    encoder.text(text, ids, parse_literals, keep_spaces)
                 ends.append(len(ids))
             values = pa.array(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32))
             lists = pa.ListArray.from_arrays(
@@ -106,13 +133,16 @@ def special_tokens(ids: Column, add_bos: bool, add_eos: bool) -> Column:
 
 def encode(df: DataFrame, vocab: DataFrame, text: str | Column = "text", out: str = "input_ids",
            add_bos: bool = True, add_eos: bool = False, parse_literals: bool = True,
-           max_length: int | None = None) -> DataFrame:
+           max_length: int | None = None, keep_spaces: bool = False) -> DataFrame:
     """Add the token ids of a text column.
 
+    ``keep_spaces`` writes every space and line break; without it words are what is between them.
+    With byte pieces in the vocabulary (``with_byte_pieces``) such ids give the very text back.
+
     With literals recognised, a wrapped document encoded with both marks begins with two begin ids
     and ends with two end ids, as in the original pretraining rows.
     """
-    ids = token_ids(df.sparkSession, vocab, text, parse_literals)
+    ids = token_ids(df.sparkSession, vocab, text, parse_literals, keep_spaces)
     ids = special_tokens(ids, add_bos, add_eos)
     return df.withColumn(out, F.slice(ids, 1, max_length) if max_length is not None else ids)
 
@@ -130,7 +160,7 @@ def tokenize(df: DataFrame, vocab: DataFrame, ids: str = "input_ids",
     return df.withColumn(out, F.transform(ids, _piece_lookup(vocab)))
 
 
-def _piece_lookup(vocab: DataFrame):
+def _piece_lookup(vocab: DataFrame, bytes_marked: bool = False):
     rows = vocab_rows(vocab)
     if rows and rows[-1][0] >= MAX_VOCAB:
         raise ValueError(f"ids must stay below {MAX_VOCAB}")
@@ -138,7 +168,7 @@ def _piece_lookup(vocab: DataFrame):
     for i, piece, _ in rows:
         if "\n" in piece:
             raise ValueError("pieces must not contain line breaks")
-        table[i] = piece
+        table[i] = f"{_BYTE_MARK}{piece[3:5]}" if bytes_marked and piece in BYTE_PIECES else piece
     pieces = F.split(F.lit("\n".join(table)), "\n")
     return lambda i: F.coalesce(F.get(pieces, i), F.raise_error(
         F.concat(F.lit("no piece has the id "), i.cast("string"))))
@@ -148,10 +178,15 @@ def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "input_ids",
                out: str = "text") -> DataFrame:
     """Ids back to text: pieces joined, word marks as spaces, no leading space.
 
-    An id without a piece is an error, never left out.
+    An id without a piece is an error, never left out. Byte pieces become the characters they write.
     """
-    joined = F.array_join(F.transform(ids, _piece_lookup(vocab)), "")
-    return df.withColumn(out, F.regexp_replace(F.translate(joined, WORD_MARK, " "), "^ ", ""))
+    joined = F.array_join(F.transform(ids, _piece_lookup(vocab, bytes_marked=True)), "")
+    run = f"(?:{_BYTE_MARK}[0-9A-F]{{2}})+"
+    parts = F.regexp_extract_all(joined, F.lit(f"{run}|[^{_BYTE_MARK}]+"), F.lit(0))
+    plain = F.array_join(F.transform(parts, lambda p: F.when(
+        p.startswith(_BYTE_MARK), F.unhex(F.replace(p, F.lit(_BYTE_MARK), F.lit(""))).cast("string")).otherwise(p)), "")
+    text = F.when(F.contains(joined, F.lit(_BYTE_MARK)), plain).otherwise(joined)
+    return df.withColumn(out, F.regexp_replace(F.translate(text, WORD_MARK, " "), "^ ", ""))
 
 
 def peek(df: DataFrame, vocab: DataFrame, key: str, ids: str | None = None, text: str = "text"
@@ -183,5 +218,5 @@ def compare_vocabs(df: DataFrame, vocabs: dict[str, DataFrame], by: list[str] =
         F.sum("unknown").alias("n_unknown"))
     return summed.select(
         "vocab", *by, "n_tokens", "n_chars",
-        F.round(F.col("n_tokens") / F.col("n_chars"), 6).alias("tokens_per_char"),
-        F.round(F.col("n_unknown") / F.col("n_tokens"), 6).alias("unknown_share"))
+        F.round(F.try_divide("n_tokens", "n_chars"), 6).alias("tokens_per_char"),
+        F.round(F.try_divide("n_unknown", "n_tokens"), 6).alias("unknown_share"))

@@ -291,6 +291,7 @@ ORACLES = {
                    "n from (select s, n, unnest(range(1, length(s))) as i from dw0)) "
                    "where not contains(pair, ' ') group by pair",
     "train_bpe": _with(_D) + "select id, piece, case when id < 3 then 0 else 3 - id end as score from dvocab",
+    "round_trip": "select doc_id, text from documents",
     "train_bpe_to_end": _with(_B) + "select id, piece from bvocab",
     "merge_vocab": _WORD_VOCABS + "select id, piece, origin, score from mv",
     "vocab_head": _WORD_VOCABS + "select id, piece from nv order by id limit 200",

@@ -372,6 +372,14 @@ def decode(spark, sf_dir):
     return encode.decode_ids(ids, trained(spark, sf_dir, "benchmark")).select("doc_id", "text")
 
 
+def round_trip(spark, sf_dir):
+    """Texts with all their line breaks and spaces, encoded and decoded."""
+    pieces = encode.with_byte_pieces(trained(spark, sf_dir, "benchmark"))
+    ids = encode.encode(documents(spark, sf_dir).select("doc_id", "text"), pieces, add_bos=False,
+                        parse_literals=False, keep_spaces=True)
+    return encode.decode_ids(ids.select("doc_id", "input_ids"), pieces).select("doc_id", "text")
+
+
 def peek_first(spark, sf_dir):
     return encode.peek(table(spark, sf_dir, "documents"), trained(spark, sf_dir, "benchmark"), "doc_id")
 
@@ -528,6 +536,7 @@ QUERIES = {
     "assign_batches": assign_batches,
     "row_index": row_index,
     "sample_count": sample_count,
+    "round_trip": round_trip,
     "peek_first": peek_first,
     "word_counts": word_counts,
     "alphabet": alphabet,

@@ -278,3 +278,13 @@ def test_private_characters_survive(spark):
     ids = encode.encode(spark.createDataFrame([(1, text)], "id int, text string"), v, add_bos=False)
     assert encode.decode_ids(ids, v).first().text == text
     assert 0 not in ids.first().input_ids
+
+
+def test_every_text_comes_back(spark):
+    texts = ["ab cd\ncd  ab", "  two  spaces ", "", "\n\n", "tab\there", "\u53e4\u6587 and \U0001f600", "<0x41> <s>", "\r\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    v = encode.with_byte_pieces(bpe.train_bpe(spark.createDataFrame([(1, "ab cd ab cd and")], "id int, text string")))
+    ids = encode.encode(df, v, add_bos=False, parse_literals=False, keep_spaces=True)
+    assert {r.id: r.text for r in encode.decode_ids(ids.drop("text"), v).collect()} == dict(enumerate(texts))
+    unknown = encode.compare_vocabs(df, {"bytes": v}, ["id"])
+    assert unknown.where("unknown_share > 0").isEmpty()
