@@ -184,6 +184,18 @@ def read_dialogues(spark, sf_dir):
     return dialogue.render_chat(json_records.read_dialogues(spark, path, "lines").select("utterances"))
 
 
+def read_dialogues_array(spark, sf_dir):
+    """Files that are one array of conversations each, numbered inside their file."""
+    path = new_path(spark, "dialogue-arrays")
+    grouped = dialogues(spark, sf_dir).groupBy((F.col("conv_id") % 16).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("conv_id", "utterances"))).alias("all"))
+    grouped.select("part", F.to_json("all.utterances").alias("value")).write.partitionBy("part").text(path)
+    rows = json_records.read_dialogues(spark, path, "array")
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part")
+    chat = dialogue.render_chat(rows.select(part, "conv_id", "utterances"))
+    return chat.select("part", F.col("conv_id").cast("bigint").alias("conv_id"), "text")
+
+
 def read_framed_json(spark, sf_dir):
     path = new_path(spark, "framed")
     fields = [F.concat(F.lit(f'  "{k}": '), F.expr(f"substring(to_json(array({k})), 2, length(to_json(array({k}))) - 2)"))
@@ -518,6 +530,7 @@ QUERIES = {
     "read_lines": read_lines,
     "read_any": read_any,
     "read_dialogues": read_dialogues,
+    "read_dialogues_array": read_dialogues_array,
     "read_framed_json": read_framed_json,
     "list_json": list_json,
     "load_or_build": load_or_build,
