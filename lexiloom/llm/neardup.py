@@ -5,10 +5,9 @@ keeps of its smallest hash the count of leading zeros and some mantissa bits. Te
 registers of a band are compared: first by the registers, corrected for chance collisions, then by
 their whole sets. Equal sets are one class from the start, so exact copies are never compared.
 
-Classes of a bucket are not paired with each other. Each is compared with a centre, and linked classes
-become one component; a second round takes other centres where a bucket still holds more than one
-component. What is left apart after that is compared in blocks inside numpy, every class outside the
-bucket's largest component with all others, and only pairs that may be similar leave a block.
+Classes of a bucket are not paired with each other. Each is compared with the bucket's centre, and
+linked classes become one component. Where a bucket still holds several components, the classes outside
+its largest one are compared with all others in blocks inside numpy, and only links leave a block.
 """
 
 from __future__ import annotations
@@ -34,13 +33,13 @@ _MANTISSA = 10
 _RANK_BITS = 48
 #: A pair is verified unless its estimate is this many standard errors below the threshold.
 _ERRORS = 4.5
-#: Classes of a block, and of a block of those outside the largest component.
-_BLOCK, _SMALL_BLOCK = 256, 64
+#: Hashes of the sets in a block, and in a block of those outside the largest component.
+_MANY_HASHES, _FEW_HASHES = 100_000, 25_000
 #: Tables of up to this many (id, class) rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 200_000
 _CACHED_SETS = 64
-#: Rows with two texts, or two blocks, that Python gets at once.
-_BATCH = 64
+#: Rows that Python gets at once: with a text to sign, with texts to compare, and with two blocks.
+_TEXT_BATCH, _BATCH, _BLOCK_BATCH = 1000, 64, 4
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -172,9 +171,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         for batch in batches:
             keep = []
             for a, b, s, t in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                x, y = get(a, s), get(b, t)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_linked(get(a, s), get(b, t), percent))
             yield batch.loc[keep, ["a", "b"]]
 
     with_texts = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a").join(
@@ -200,54 +197,98 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return sized.select("a", "b", "na", "nb", "ca", "cb").mapInPandas(likely, "a bigint, b bigint")
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("label", F.col("set"))
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("a").alias("set"), F.col("b").alias("label"))
     return buckets.join(known, "set", "left").withColumn("label", F.coalesce("label", "set"))
 
 
-def _star(members: DataFrame, turn: int) -> DataFrame:
-    """Each class of a bucket with the bucket's centre, unless one component holds both."""
-    pick = F.xxhash64(F.lit(turn), "set") if turn else F.col("set")
-    centre = members.groupBy("key").agg(F.min(F.struct(pick.alias("h"), "set", "label")).alias("c"),
-                                        F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    rows = members.join(centre, "key").where("label != c.label")
-    return rows.select(F.least("set", "c.set").alias("a"), F.greatest("set", "c.set").alias("b")).distinct()
+def _star(buckets: DataFrame) -> DataFrame:
+    """Each class of a bucket with the bucket's centre."""
+    centre = buckets.groupBy("key").agg(F.min("set").alias("a"))
+    rows = buckets.join(centre, "key").where("a != set")
+    return rows.select("a", F.col("set").alias("b")).distinct()
 
 
-def _left_apart(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Possible links between components of a bucket, found in blocks by registers alone."""
+def _open_rows(members: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with the largest one's label.
+
+    A bucket of two needs no look: one of them was the centre.
+    """
     counts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_keys = counts.groupBy("key").agg(
-        F.max_by("label", "n").alias("top"), F.sum("n").alias("size"),
-        (F.sum("n") - F.max("n")).alias("others"), F.count("*").alias("labels")).where(
-        (F.col("labels") > 1) & (F.col("size") > 2))
-    rows = members.join(open_keys, "key").join(sketches.withColumnRenamed("n", "nset"), "set")
+    several = counts.groupBy("key").agg(F.max_by("label", "n").alias("top"), F.sum("n").alias("size"),
+                                        F.count("*").alias("labels"))
+    wanted = several.where((F.col("labels") > 1) & (F.col("size") > 2)).select("key", "top")
+    return members.join(wanted, "key")
+
+
+def _whole_sets(classes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch["set"], batch["text"]):
+                s = shingle_set(text, k)
+                codes = registers(s)
+                rows.append((i, len(s), codes.tobytes(), band_keys(s, codes).tobytes(), s.tobytes()))
+            yield pd.DataFrame(rows, columns=["set", "n", "codes", "bands", "hashes"])
+
+    return texts.join(classes, "set", "left_semi").mapInPandas(
+        read, "set bigint, n bigint, codes binary, bands binary, hashes binary")
+
+
+def _left_apart(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket.
+
+    In every bucket the classes outside its largest component meet all others, block against block.
+    Registers choose the pairs, the first band that two classes share decides which bucket compares
+    them, and their whole sets confirm. One link from a class to a component is enough.
+    """
+    rows = opened.join(sets, "set")
+    sizes = rows.groupBy("key").agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("label") != F.col("top"), F.col("n"))).alias("others"))
+    sized = rows.join(sizes, "key")
 
     def blocks(part: DataFrame, total: str, limit: int, name: str) -> DataFrame:
         number = F.pmod(F.xxhash64("set"), F.ceil(F.col(total) / limit)).alias("block")
-        items = F.collect_list(F.struct("set", "label", "nset", "codes")).alias(name)
+        items = F.collect_list(F.struct("set", "label", "n", "codes", "bands", "hashes")).alias(name)
         return part.groupBy("key", number).agg(items).drop("block")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unpack(items):
+            def rows_of(name, kind):
+                return np.frombuffer(b"".join(i[name] for i in items), kind).reshape(len(items), -1)
+
             return (np.array([i["set"] for i in items]), np.array([i["label"] for i in items]),
-                    np.array([i["nset"] for i in items], np.float64),
-                    np.frombuffer(b"".join(i["codes"] for i in items), np.uint16).reshape(len(items), -1))
+                    np.array([i["n"] for i in items], np.float64), rows_of("codes", np.uint16),
+                    rows_of("bands", np.int64), [np.frombuffer(i["hashes"], np.uint64) for i in items])
 
         for batch in batches:
-            for few, many in zip(batch["few"], batch["many"]):
-                s, ls, ns, cs = unpack(few)
-                t, lt, nt, ct = unpack(many)
+            for key, few, many in zip(batch["key"], batch["few"], batch["many"]):
+                s, ls, ns, cs, bs, hs = unpack(few)
+                t, lt, nt, ct, bt, ht = unpack(many)
+                out = []
                 for i in range(len(s)):
                     near = (lt != ls[i]) & may_be_similar(cs[i][None, :], ct, np.full(len(t), ns[i]), nt, percent)
-                    if near.any():
-                        yield pd.DataFrame({"a": np.minimum(s[i], t[near]), "b": np.maximum(s[i], t[near])})
+                    met: set[int] = set()
+                    for j in np.flatnonzero(near):
+                        if lt[j] in met or bs[i][(bs[i] == bt[j]).argmax()] != key:
+                            continue
+                        if _linked(hs[i], ht[j], percent):
+                            met.add(lt[j])
+                            out.append((s[i], t[j]))
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    few = blocks(sized.where("label != top"), "others", _FEW_HASHES, "few")
+    joined = few.join(blocks(sized, "all", _MANY_HASHES, "many"), "key")
+    return joined.select("key", "few", "many").mapInPandas(compare, "a bigint, b bigint")
+
 
-    few = blocks(rows.where("label != top"), "others", _SMALL_BLOCK, "few")
-    joined = few.join(blocks(rows, "size", _BLOCK, "many"), "key")
-    return joined.select("few", "many").mapInPandas(compare, "a bigint, b bigint").distinct()
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 @contextmanager
@@ -265,7 +306,8 @@ def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 def _classified(docs: DataFrame, shingle: int, percent: int, key: str, text: str) -> DataFrame:
     """``id, hash, n, component`` of every row."""
     spark = docs.sparkSession
-    signed, _ = write_table(signatures(docs, shingle, key, text), "neardup-signatures")
+    with _small_batches(spark, _TEXT_BATCH):
+        signed, _ = write_table(signatures(docs, shingle, key, text), "neardup-signatures")
     usable = signed.where("n > 0 and id is not null")
     first = usable.groupBy("set").agg(F.min(F.struct("id", "hash")).alias("first"))
     reps, _ = write_table(first.select("set", "first.id", "first.hash"), "neardup-classes")
@@ -282,28 +324,19 @@ def _classified(docs: DataFrame, shingle: int, percent: int, key: str, text: str
     sources = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     texts, texts_path = write_table(sources.where("text is not null").join(wanted, ["id", "hash"])
                                     .select("set", "text").dropDuplicates(["set"]), "neardup-texts")
-    labels, labels_path = None, None
-    tried: list[str] = []
-    for turn in (0, 1, None):
-        members = _labelled(buckets, labels)
-        if turn is None:
-            pairs = _left_apart(members, sketches, percent)
-        else:
-            pairs = _estimated(_star(members, turn), sketches, percent)
-        if tried:
-            known = spark.read.schema("a bigint, b bigint").parquet(*tried)
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        with _small_batches(spark, _BATCH):
-            pairs, path = write_table(pairs, "neardup-pairs")
-            tried.append(path)
-            links, links_path = write_table(_verify(pairs, texts, shingle, percent), "neardup-links")
-        merged = links if labels is None else links.union(labels)
-        labels, after = components(merged)
-        for old in (links_path, labels_path):
-            if old:
-                drop_table(spark, old)
-        labels_path = after
-    for path in (*tried, buckets_path, sketches_path, texts_path):
+    with _small_batches(spark, _BATCH):
+        pairs, pairs_path = write_table(_estimated(_star(buckets), sketches, percent), "neardup-pairs")
+        star, star_path = write_table(_verify(pairs, texts, shingle, percent), "neardup-star")
+    first, first_path = components(star)
+    opened, opened_path = write_table(_open_rows(_labelled(buckets, first)), "neardup-open")
+    with _small_batches(spark, _BATCH):
+        sets, sets_path = write_table(
+            _whole_sets(opened.select("set").distinct(), texts, shingle), "neardup-sets")
+    with _small_batches(spark, _BLOCK_BATCH):
+        rest, rest_path = write_table(_left_apart(opened, sets, percent), "neardup-rest")
+    labels, _ = components(first.union(rest))
+    for path in (buckets_path, sketches_path, texts_path, pairs_path, star_path, first_path, opened_path,
+                 sets_path, rest_path):
         drop_table(spark, path)
     roots = _labelled(reps, labels)
     least = roots.groupBy("label").agg(F.min("id").alias("component"))
