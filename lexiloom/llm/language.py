@@ -147,12 +147,15 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
 def label_words(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of every word under the switching penalty (Viterbi).
 
-    If no run of words gains more than one switch costs over the best single language, staying there is
-    optimal and nothing needs to be traced.
+    Leaving the best single language for a run of words costs at least one switch per language used in
+    it. Where no run of words gains more than that in any one language, and the best beginning and the
+    best end together do not either, staying is optimal and nothing needs to be traced.
     """
     best = int(scores.sum(0).argmax())
-    gain = np.cumsum(scores.max(1) - scores[:, best])
-    if (gain - np.minimum.accumulate(np.append(0.0, gain[:-1]))).max() <= switch:
+    gain = np.zeros((len(scores) + 1, scores.shape[1]))
+    np.cumsum(scores - scores[:, best:best + 1], axis=0, out=gain[1:])
+    lowest = np.minimum.accumulate(gain, axis=0)
+    if (gain - lowest).max() <= switch and gain.max() + (gain[-1] - lowest[-1]).max() <= switch:
         return np.full(len(scores), best)
     n = scores.shape[1]
     value = [0.0] * n
