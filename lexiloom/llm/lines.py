@@ -20,7 +20,7 @@ LEAST_WORDS = 5
 NEAR_WORDS = 10
 #: Tables of up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 200_000
-_SPACE = r"[\x20\x09-\x0D]+"
+_OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: Two primes under 2^31 with bases: word sequences are polynomials modulo each. Fixed values.
 _FIELDS = ((2147483629, 1000003), (2147483587, 998244))
 _POWER_BITS = 24
@@ -36,8 +36,9 @@ def _power(base: int, exponent: Column, prime: int) -> Column:
 
 
 def plain_words(line: Column) -> Column:
-    """Words of a line; case and white space do not count."""
-    return F.split(F.trim(F.regexp_replace(F.lower(line), _SPACE, " ")), " ")
+    """Words of a line; case and white space do not count. Plain characters need no regex engine."""
+    flat = F.translate(F.lower(line), _OTHER_SPACES, " " * len(_OTHER_SPACES))
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,12 +68,15 @@ def _halves(words: Column, n: Column) -> Column:
 
 
 def _hashed_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, doc, pos, n, h, halves`` of every line with enough words."""
+    """``id, doc, pos, n, h, halves`` of every line.
+
+    Short lines are left out by whoever reads the table: a filter here would split every line twice.
+    """
     lines = _documents(docs, key, text).select("id", "doc", F.posexplode("lines").alias("pos", "line"))
     words = lines.select("id", "doc", "pos", plain_words(F.col("line")).alias("words"))
-    long = words.withColumn("n", F.size("words")).where(F.col("n") >= LEAST_WORDS)
-    return long.select("id", "doc", "pos", "n", F.xxhash64("words").alias("h"),
-                       _halves(F.col("words"), F.col("n")).alias("halves"))
+    n = F.size("words")
+    return words.select("id", "doc", "pos", n.alias("n"), F.xxhash64("words").alias("h"),
+                        _halves(F.col("words"), n).alias("halves"))
 
 
 def _checked(table: DataFrame) -> DataFrame:
@@ -173,7 +177,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     other. Null texts have no lines; lines with few words stay.
     """
     spark = docs.sparkSession
-    lines, _ = write_table(_hashed_lines(docs, key, text), "lines")
+    every, _ = write_table(_hashed_lines(docs, key, text), "lines")
+    lines = every.where(F.col("n") >= LEAST_WORDS)
     distinct, first_path = write_table(lines.groupBy("h", "n").agg(
         F.min(_place()).alias("first"), F.max(_place()).alias("last")), "lines-first")
     keyed = lines.select("h", F.explode("halves").alias("half"))
@@ -205,10 +210,12 @@ def drop_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     name = fresh(docs, "_gone")
     gone = removed_lines(docs, key, text).groupBy("id", "doc").agg(F.collect_set("pos").alias(name))
-    joined = _by_document(docs, gone, key, text, "left")
-    lines = F.split(docs[text], "\n")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(name)))
-    rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    # A column of its own: inside the transform below a text would be split again for every line.
+    split = fresh(docs, "_lines")
+    joined = _by_document(docs, gone, key, text, "left").withColumn(
+        split, F.when(F.col(name).isNotNull(), F.split(docs[text], "\n")))
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(name)))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i)), "\n")
     values = {c: docs[c] for c in docs.columns}
     values[text] = F.when(F.col(name).isNull(), docs[text]).otherwise(rest)
     if removed:
