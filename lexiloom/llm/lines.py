@@ -148,24 +148,34 @@ def _one_word_apart(a: Column, b: Column) -> Column:
     return shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= longer - 1
 
 
-def _witnesses(chosen: DataFrame) -> DataFrame:
-    """``h, n, near``: the earliest line one word away from a line, where that is earlier."""
+def _witnesses(chosen: DataFrame) -> tuple[DataFrame, str]:
+    """``h, n, near``: the earliest line one word away from a line, where that is earlier. A written table.
+
+    Few keys are shared, so what is known of these mostly goes to the variants, not the other way round.
+    """
+    spark = chosen.sparkSession
     rows = _variants(chosen)
     cut, whole = F.col("at") >= 0, F.col("at") < 0
     # Replaced: the same word is left out of both. Inserted or deleted: one of the two is whole.
     gaps = rows.where(cut).groupBy("key", "size", "at").agg(
         F.min("place").alias("near"), F.max("place").alias("last")).where("near != last").drop("last")
+    gaps, gaps_path = write_table(gaps, "lines-gaps")
     sides = rows.groupBy("key", "size").agg(
         F.min(F.when(whole, F.col("place"))).alias("whole"),
         F.min(F.when(cut, F.col("place"))).alias("cut")).where("whole is not null and cut is not null")
-    replaced = rows.where(cut).join(gaps, ["key", "size", "at"])
-    changed = rows.join(sides, ["key", "size"]).withColumn(
+    sides, sides_path = write_table(sides, "lines-sides")
+    replaced = rows.where(cut).join(_checked(gaps), ["key", "size", "at"])
+    changed = rows.join(_checked(sides), ["key", "size"]).withColumn(
         "near", F.when(whole, F.col("cut")).otherwise(F.col("whole"))).drop("whole", "cut")
     met = replaced.unionByName(changed).where(F.col("near") < F.col("place"))
     least = met.groupBy("h", "n").agg(F.min("near").alias("near"))
     mine = least.join(chosen.select("h", "n", F.col("words").alias("a")), ["h", "n"])
     theirs = chosen.select(F.col("place").alias("near"), F.col("words").alias("b"))
-    return mine.join(theirs, "near").where(_one_word_apart(F.col("a"), F.col("b"))).select("h", "n", "near")
+    near = mine.join(theirs, "near").where(_one_word_apart(F.col("a"), F.col("b"))).select("h", "n", "near")
+    near, path = write_table(near, "lines-near")
+    for old in (gaps_path, sides_path):
+        drop_table(spark, old)
+    return near, path
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,7 +197,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     chosen, chosen_path = write_table(
         _read_words(distinct.where(F.col("n") >= NEAR_WORDS).join(some, "h", "left_semi").select(
             "h", "n", F.col("first").alias("place")), docs, key, text), "lines-chosen")
-    near, near_path = write_table(_witnesses(chosen), "lines-near")
+    near, near_path = _witnesses(chosen)
     again = distinct.join(near, ["h", "n"], "left").where("first != last or near is not null").select(
         "h", "n", "first", "near")
     gone = lines.drop("halves").join(again, ["h", "n"]).withColumn("place", _place()).where(
