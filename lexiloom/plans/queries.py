@@ -14,7 +14,8 @@ from ..sources import books, cache, json_records, lines, sinks
 from ..storage import new_path, write_table
 from . import pretraining, tuning
 
-#: Merged pieces from ``documents`` that SQL can follow one by one; ``train_bpe_default`` has no limit.
+#: Merged pieces from ``documents`` that SQL can follow one by one, for queries with a twin only; the others
+#: train to the default size.
 MERGED_DOCUMENTS = 200
 CUSTOM_PATTERNS = ("th+", "[aeiou]", r"\d+")
 PACK_BLOCK, PACK_ROWS = 256, 200
@@ -22,7 +23,7 @@ WORD_BLOCK, WORD_ROWS = 128, 100
 #: The longest example the original tunes on, and its rows per batch here.
 TUNE_LENGTH, TUNE_ROWS = 4096, 8
 
-_VOCABS: dict[tuple[str, str, str], list] = {}
+_VOCABS: dict[tuple[str, str, str, int | None], list] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +38,11 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.gather_turns(table(spark, sf_dir, "conversations"))
 
 
-def trained(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Vocabulary learnt from a table's texts, once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def trained(spark: SparkSession, sf_dir: str, name: str, n_merged: int | None = None) -> DataFrame:
+    """Vocabulary learnt from a table's texts, once per session, of the default size unless ``n_merged``."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, n_merged)
     if key not in _VOCABS:
-        n = MERGED_DOCUMENTS if name == "documents" else None
-        _VOCABS[key] = learn(spread(table(spark, sf_dir, name)), n_merged=n).collect()
+        _VOCABS[key] = learn(spread(table(spark, sf_dir, name)), n_merged=n_merged).collect()
     return spark.createDataFrame(_VOCABS[key], vocab.VOCAB_SCHEMA)
 
 
@@ -332,12 +332,12 @@ def vocab_head(spark, sf_dir):
         F.col("id").cast("bigint").alias("id"), "piece")
 
 
-def merged_trained(spark, sf_dir) -> DataFrame:
-    return vocab.merge_vocab(trained(spark, sf_dir, "benchmark"), trained(spark, sf_dir, "documents"))
+def merged_trained(spark, sf_dir, n_merged: int | None = None) -> DataFrame:
+    return vocab.merge_vocab(trained(spark, sf_dir, "benchmark"), trained(spark, sf_dir, "documents", n_merged))
 
 
 def vocab_report(spark, sf_dir):
-    return vocab.vocab_report(merged_trained(spark, sf_dir))
+    return vocab.vocab_report(merged_trained(spark, sf_dir, MERGED_DOCUMENTS))
 
 
 def vocab_growth(spark, sf_dir):
@@ -399,7 +399,7 @@ def peek_first(spark, sf_dir):
 def compare_vocabs(spark, sf_dir):
     return encode.compare_vocabs(documents(spark, sf_dir), {
         "base": trained(spark, sf_dir, "benchmark"),
-        "new": trained(spark, sf_dir, "documents"),
+        "new": trained(spark, sf_dir, "documents", MERGED_DOCUMENTS),
     })
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import fixed
 from lexiloom.functions.merging import merge_neighbours
 from lexiloom.operators import bpe, encode, vocab
-from lexiloom.plans import vocabulary
+from lexiloom.plans import queries, vocabulary
 
 SCHEMA = vocab.VOCAB_SCHEMA
 
@@ -288,3 +288,12 @@ def test_every_text_comes_back(spark):
     assert {r.id: r.text for r in encode.decode_ids(ids.drop("text"), v).collect()} == dict(enumerate(texts))
     unknown = encode.compare_vocabs(df, {"bytes": v}, ["id"])
     assert unknown.where("unknown_share > 0").isEmpty()
+
+
+def test_merged_comparison_trains_to_the_default_size(spark, sf_dir):
+    docs = queries.documents(spark, sf_dir)
+    base, new = bpe.train_bpe(queries.table(spark, sf_dir, "benchmark")), bpe.train_bpe(docs)
+    want = encode.compare_vocabs(docs, {"base": base, "merged": vocab.merge_vocab(base, new), "new": new})
+    got = queries.compare_vocabs_merged(spark, sf_dir)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert queries.trained(spark, sf_dir, "documents").count() == new.count() > queries.MERGED_DOCUMENTS + 500
