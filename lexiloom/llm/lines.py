@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import drop_table, write_table
-from .words import fresh
+from .words import UNSPACED, fresh
 
 #: Lines with fewer words repeat by chance and stay.
 LEAST_WORDS = 5
@@ -20,6 +20,7 @@ LEAST_WORDS = 5
 NEAR_WORDS = 10
 #: Tables of up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 200_000
+_UNSPACED_LETTER = rf"[{UNSPACED}]\p{{M}}*"
 _OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: Two primes under 2^31 with bases: word sequences are polynomials modulo each. Fixed values.
 _FIELDS = ((2147483629, 1000003), (2147483587, 998244))
@@ -36,8 +37,13 @@ def _power(base: int, exponent: Column, prime: int) -> Column:
 
 
 def plain_words(line: Column) -> Column:
-    """Words of a line; case and white space do not count. Plain characters need no regex engine."""
-    flat = F.translate(F.lower(line), _OTHER_SPACES, " " * len(_OTHER_SPACES))
+    """Words of a line; case and white space do not count. Plain characters need no regex engine.
+
+    Every letter of a script without spaces is a word of its own. It has two bytes more than characters.
+    """
+    wide = (F.octet_length(line) > F.char_length(line) + 1) & F.rlike(line, F.lit(f"[{UNSPACED}]"))
+    apart = F.when(wide, F.regexp_replace(line, _UNSPACED_LETTER, " $0 ")).otherwise(line)
+    flat = F.translate(F.lower(apart), _OTHER_SPACES, " " * len(_OTHER_SPACES))
     return F.array_remove(F.split(flat, " "), "")
 
 

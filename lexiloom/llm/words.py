@@ -6,6 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
+#: Letters of scripts written without spaces between words (Thai to Tibetan, Myanmar, Khmer, kana, bopomofo,
+#: Han), as ranges for a character class. Fixed value.
+UNSPACED = ("\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31f0-\u31ff\u3400-\u4dbf"
+            "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])

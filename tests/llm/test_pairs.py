@@ -208,3 +208,25 @@ def test_item_blocks(spark, monkeypatch):
     assert sorted(map(repr, whole)) == sorted(map(repr, blocks)) and all(r.matches for r in whole)
     assert decontaminate.drop_contaminated(docs, items).isEmpty()
     assert decontaminate.drop_contaminated(docs, items.where(F.lit(False))).count() == 40
+
+
+def test_lines_without_spaces(spark):
+    """Chinese, Japanese and Thai lines go as copies and for one letter, as words do elsewhere."""
+    rng = random.Random(4)
+    docs, want, copies = [], [], []
+    for low, high in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0x0E01, 0x0E2E), (0x20000, 0x20100)):
+        def line(n):
+            return "".join(chr(rng.randrange(low, high)) for _ in range(n))
+
+        long, short, tiny = line(200), line(7), line(4)
+        docs += ["\n".join((long, short, tiny)), "\n".join((long, short, tiny)), long[:90] + "x" + long[91:],
+                 long[:30] + long[31:], long[:50] + " " + long[50:], line(200), short[:3] + "x" + short[4:]]
+        want += [0, 2, 1, 1, 1, 0, 0]
+        copies += ["\n".join((long, short, tiny)), tiny, "", "", "", docs[-2], docs[-1]]
+    docs.append("a line of latin letters with ünd ö and é marks\nA line of Latin letters with ünd ö and é marks")
+    want.append(1)
+    copies.append(docs[-1].split("\n")[0])
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    out = {r.doc_id: r for r in lines.drop_duplicate_lines(df, removed="n").collect()}
+    assert [out[i].n for i in range(len(docs))] == want
+    assert [out[i].text for i in range(len(docs))] == copies
