@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .words import SPACES, fresh, utf8
 
-#: Fixed chunks, in bytes; shorter rests are judged with their document only.
+#: Chunks, in bytes; where a rest is left behind the last full one, the last bytes of the text are one more.
 CHUNK = 4096
 #: Reach of a band below and above its median in robust standard deviations, for documents and for
 #: single chunks. Repetition lies just below what is usual, noise far above it.
@@ -45,9 +45,12 @@ def _compressor() -> zstandard.ZstdCompressor:
 
 
 def _ratios(compressor: zstandard.ZstdCompressor, data: bytes) -> tuple[float, list[float]]:
-    """Of the whole text and of its full chunks."""
+    """Of the whole text and of its chunks; a text shorter than a chunk has none."""
     whole = _ratio(compressor, data) if data else float("nan")
-    return whole, [_ratio(compressor, data[i:i + CHUNK]) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
+    starts = list(range(0, len(data) - CHUNK + 1, CHUNK))
+    if starts and len(data) % CHUNK:
+        starts.append(len(data) - CHUNK)
+    return whole, [_ratio(compressor, data[i:i + CHUNK]) for i in starts]
 
 
 def _length_class(n: int) -> int:

@@ -74,6 +74,25 @@ def test_copies_move_no_band(spark, documents):
     assert all(abs(plain[c][0] - moved[c][0]) < 0.12 for c in plain)
 
 
+def test_last_bytes_are_judged(spark, documents):
+    """Noise and repetition behind the last full chunk are seen as anywhere else."""
+    texts = [r.text for r in documents.select("text").collect()]
+    limits = {quality._CHUNKS: quality.compression_limits(documents)[quality._CHUNKS]}
+    clean = ""
+    for t in texts:  # as even as a text can be made of the corpus
+        ok = quality._ratios(quality._compressor(), (clean + t).encode())[1]
+        if all(limits[-1][0] <= x <= limits[-1][1] for x in ok):
+            clean += t + "\n"
+    clean = clean.encode()[:8 * quality.CHUNK].decode(errors="ignore")
+    clean += "." * (8 * quality.CHUNK - len(clean.encode()))
+    noise = base64.b64encode(random.Random(5).randbytes(3000)).decode()
+    noise = " ".join(noise[i:i + 7] for i in range(0, len(noise), 7))[:4000]
+    rows = [clean, clean + noise, clean + "ab" * 2000, clean + texts[0][:50]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    out = df.select("doc_id", quality.quality(df, limits, max_repeat_percent=100).alias("q")).orderBy("doc_id").collect()
+    assert [r.q.kept for r in out] == [True, False, False, True]
+
+
 # language
 
 
