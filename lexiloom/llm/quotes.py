@@ -1,7 +1,8 @@
 """Quotation linking: conversations in reply order, without the quotes.
 
-Lines that begin with quote marks are passages at a level. A passage, normalised and hashed, is joined
-to the message it was taken from; a message replies to the one its first level quotes, or else to the
+Lines that begin with quote marks are passages at a level. A passage goes to the nearest earlier message
+that holds all its lines, or all its sentences, in order: runs of words of the messages are joined to one
+run of each passage, and what meets is compared whole. A message replies to the one its first level quotes, or else to the
 message before it. Replies form branches: the first reply to a message goes on with its branch, every
 further one begins a new one. A conversation of any length is spread over buckets of its rows.
 """
@@ -16,11 +17,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.index import running_sum, with_bucket_index, with_row_index
 from ..storage import drop_table, write_table
+from .words import UNSPACED
 
 #: Quote marks of a line, and what introduces a quote. Fixed values.
 _MARKS = re.compile(r"\s*((?:>|&gt;|»|\|(?=\s))\s*)+")
 _ONE_MARK = re.compile(r">|&gt;|»|\|")
 _INTRODUCTION = re.compile(r"\s*(?:On|Am|Le|El)\b.*(?:wrote|schrieb|écrit|escribió)\b.*:\s*$", re.I)
+#: Words, letters of scripts without spaces, and other characters one by one.
+_TOKEN = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+|[^\w\s]")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+#: Tokens of a run that is looked up; shorter passages are looked up by their longest token.
+_RUN = 4
+#: Tables of up to this many rows are broadcast, larger ones shuffled.
+BROADCAST_ROWS = 200_000
 #: Messages of a conversation that are searched together for the source of a quote.
 _CHUNK = 512
 
@@ -54,6 +63,39 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(k, "\n".join(v)) for k, v in passages]
 
 
+def tokens(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())
+
+
+def holds(said: str, lines: list[str]) -> bool:
+    """Whether a message (its tokens between single spaces) holds the lines, or their sentences, in order."""
+
+    def in_order(parts: list[str]) -> bool:
+        at = 0
+        for part in parts:
+            found = " ".join(tokens(part))
+            at = said.find(f" {found} ", at) if found else at
+            if at < 0:
+                return False
+            at += len(found) + 1 if found else 0
+        return True
+
+    return in_order(lines) or in_order(_SENTENCE.split(" ".join(lines)))
+
+
+def runs(words: list[str]) -> set[str]:
+    """What a message can be looked up by: its tokens, and its runs of ``_RUN``."""
+    return {*words, *(" ".join(words[i:i + _RUN]) for i in range(len(words) - _RUN + 1))}
+
+
+def wanted_run(lines: list[str]) -> str:
+    """A run of the longest stretch inside one line and one sentence, which any source has in one piece."""
+    longest = max((tokens(x) for line in lines for x in _SENTENCE.split(line)), key=len)
+    if len(longest) < _RUN:
+        return max(longest, key=len)
+    return max((" ".join(longest[i:i + _RUN]) for i in range(len(longest) - _RUN + 1)), key=len)
+
+
 def sources(own: str) -> list[str]:
     """What of a message others may quote: all of it, its paragraphs, and its lines."""
     parts = [own, *re.split(r"\n\s*\n", own), *own.split("\n")]
@@ -61,21 +103,52 @@ def sources(own: str) -> list[str]:
 
 
 def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages`` with ``_own``, ``_quotes`` (level and text) and ``_sources``."""
+    """``messages`` with ``_own`` and ``_quotes``: level, text, and a run of its tokens to look up."""
 
-    @F.pandas_udf("own string, quotes array<struct<level:int,text:string>>, sources array<string>")
+    @F.pandas_udf("own string, quotes array<struct<level:int,text:string,run:string>>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for value in texts:
                 own, quotes = parse(value)
-                named = [{"level": k, "text": normalise(v)} for k, v in quotes if normalise(v)]
-                rows.append((None if value is None else own, named, sources(own)))
-            yield pd.DataFrame(rows, columns=["own", "quotes", "sources"])
+                named = [{"level": k, "text": v.lower(), "run": wanted_run(v.split("\n"))}
+                         for k, v in quotes if normalise(v)]
+                rows.append((None if value is None else own, named))
+            yield pd.DataFrame(rows, columns=["own", "quotes"])
 
     parsed = messages.withColumn("_parsed", read.asNondeterministic()(F.col(text)))
     return parsed.select(*messages.columns, F.col("_parsed.own").alias("_own"),
-                         F.col("_parsed.quotes").alias("_quotes"), F.col("_parsed.sources").alias("_sources"))
+                         F.col("_parsed.quotes").alias("_quotes"))
+
+
+def _held(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``conv, idx, h``: the messages that hold a passage, of the conversations with any."""
+
+    @F.pandas_udf("array<string>")
+    def all_runs(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(runs(tokens(t or ""))) for t in texts])
+
+    @F.pandas_udf("array<bigint>")
+    def found(texts: pd.Series, hashes: pd.Series, passages: pd.Series) -> pd.Series:
+        out = []
+        for value, keys, asks in zip(texts, hashes, passages):
+            said = f" {' '.join(tokens(value or ''))} "
+            out.append([int(k) for k, p in zip(keys, asks) if holds(said, p.split("\n"))])
+        return pd.Series(out)
+
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = asked.select(F.col("conv").alias("c"), F.xxhash64("run").alias("r"), "h", "passage")
+    known = F.broadcast(known) if small else known
+    convs = asked.select(F.col("conv").alias("c")).distinct()
+    asking = rows.join(F.broadcast(convs) if small else convs, rows["conv"].eqNullSafe(F.col("c")), "left_semi")
+    said = asking.select("conv", "idx", F.explode(all_runs.asNondeterministic()("_own")).alias("run")).select(
+        "conv", "idx", F.xxhash64("run").alias("run"))
+    met = said.join(known, said["conv"].eqNullSafe(known["c"]) & (said["run"] == known["r"])).groupBy(
+        "conv", "idx").agg(F.collect_list(F.struct("h", "passage")).alias("asks"))
+    met = met.select(F.col("conv").alias("c"), F.col("idx").alias("i"), "asks")
+    both = rows.join(met, rows["conv"].eqNullSafe(met["c"]) & (rows["idx"] == met["i"]))
+    return both.select("conv", "idx", F.explode(found.asNondeterministic()(
+        "_own", F.col("asks.h"), F.col("asks.passage"))).alias("h"))
 
 
 def _quote_links(rows: DataFrame) -> DataFrame:
@@ -85,13 +158,14 @@ def _quote_links(rows: DataFrame) -> DataFrame:
     last message they hold, so no group grows with a conversation.
     """
     chunk = F.floor(F.col("idx") / _CHUNK)
-    said = rows.select("conv", "idx", F.explode("_sources").alias("s")).select(
-        "conv", F.xxhash64("s").alias("h"), "idx", chunk.alias("chunk"))
     quoted = rows.select("conv", "idx", F.posexplode("_quotes").alias("at", "q")).select(
         "conv", F.xxhash64("q.text").alias("h"), "idx", "at", F.col("q.level").alias("level"),
-        chunk.alias("chunk"))
-    asked = quoted.select("conv", "h").distinct()
-    said = said.join(asked, (said["h"] == asked["h"]) & said["conv"].eqNullSafe(asked["conv"]), "left_semi")
+        chunk.alias("chunk"), "q.run", F.col("q.text").alias("passage"))
+    asked, asked_path = write_table(quoted.select("conv", "h", "run", "passage").dropDuplicates(["conv", "h"]),
+                                    "quote-asked")
+    quoted = quoted.drop("run", "passage")
+    said, said_path = write_table(_held(rows, asked).withColumn("chunk", chunk), "quote-said")
+    drop_table(rows.sparkSession, asked_path)
     last = said.groupBy("conv", "h", "chunk").agg(F.max("idx").alias("last"), F.collect_set("idx").alias("all"))
     here = last.select(F.col("conv").alias("c1"), F.col("h").alias("h1"), F.col("chunk").alias("k1"), "all")
     same = quoted.join(here, quoted["conv"].eqNullSafe(here["c1"]) & (quoted["h"] == here["h1"])
@@ -104,8 +178,10 @@ def _quote_links(rows: DataFrame) -> DataFrame:
     wide = same.join(ends, same["conv"].eqNullSafe(ends["c2"]) & (same["h"] == ends["h2"]), "left")
     before = F.array_max(F.transform(F.filter("ends", lambda e: e["chunk"] < F.col("chunk")),
                                      lambda e: e["last"]))
-    return wide.select("conv", "idx", "level", "at", F.coalesce("inside", before).alias("source")).where(
-        "source is not null")
+    out, _ = write_table(wide.select("conv", "idx", "level", "at", F.coalesce("inside", before).alias(
+        "source")).where("source is not null"), "quote-links")
+    drop_table(rows.sparkSession, said_path)
+    return out
 
 
 def _branches(rows: DataFrame) -> DataFrame:
@@ -148,7 +224,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """``<conv>, <turn>, <role>, text, n_quotes, n_linked, reply_to, branch, position`` of every message.
 
     ``text`` is the message without quotes (null stays null). ``reply_to`` is the turn of the message
-    whose text its first linked passage of level 1 repeats, else of the message before, null for the
+    that holds its first linked passage of level 1, else of the message before, null for the
     first. ``branch`` counts from 0 by the first message of a branch; ``position`` is the place in reply
     order, branch after branch, so that a message follows the one it replies to. Messages of equal turn
     are ordered by role and text; equal rows are messages of their own in any order. Null conversations
@@ -158,7 +234,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                            F.col(text).alias("text"))
     named, _ = write_table(parse_messages(rows).withColumn("tie", F.xxhash64("text")), "quote-messages")
     indexed, _ = write_table(with_bucket_index(named, ["turn", "role", "tie"], "idx", ["conv"]), "quote-index")
-    found, _ = write_table(_quote_links(indexed), "quote-links")
+    found = _quote_links(indexed)
     direct = found.groupBy("conv", "idx").agg(
         F.count("*").alias("n_linked"),
         F.min_by("source", F.when(F.col("level") == 1, F.col("at"))).alias("source")).select(

@@ -299,6 +299,29 @@ def test_quote_links(spark, monkeypatch):
     assert not any(">" in r.text or "wrote:" in r.text for r in out)
 
 
+def test_partial_quotes(spark):
+    """Parts of paragraphs link as a search of the plain texts says."""
+    talk = ["The red fox ran.  It was fast!\nNobody saw it leave the old yard\nuntil noon came\n\nSecond part here\n\nThird part there",
+            "The red fox sat. It was slow.\nNobody saw it", "ok then", "他说今天下雨。我们不去公园了。明天再说吧。", "nothing of note"]
+    cases = {"> nobody saw it leave the old yard\n> until noon came\nyes": 0, "> The red fox ran. It was fast!\n> Nobody saw it leave the old yard\n> until noon came\n>\n> Second part here": 0,
+             "> It was fast!\nindeed": 0, "> saw it leave the\n> old yard until noon\nhm": 0, "> The red fox ran.\n> until noon came\nboth": 0,
+             "> 我们不去公园了。\n好": 3, "> until noon came\n> The red fox ran.\nwrong order": None, "> Nobody saw\nwho": 1,
+             "> red fox ran. It\nmid": 0, "> no such words\nnone": None, "> the\nshort": 1, "> OK\nshort": 2}
+    rows = []
+    for c, quote in enumerate(cases):
+        rows += [(c, i, "user", t) for i, t in enumerate([*talk, quote])]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    got = {r.conv_id: (r.n_linked, r.reply_to) for r in out if r.turn == len(talk)}
+    assert [got[c] for c in range(len(cases))] == [
+        (int(w is not None), len(talk) - 1 if w is None else w) for w in cases.values()]
+    # One line of a quote: the plain search of the words between borders.
+    for c, (quote, w) in enumerate(cases.items()):
+        lines = [x[2:].lower() for x in quote.split("\n") if x.startswith("> ")]
+        if len(lines) == 1:
+            plain = [i for i, t in enumerate(talk) if re.search(rf"(?<![a-z]){re.escape(lines[0])}(?![a-z])", " ".join(t.lower().split()))]
+            assert (max(plain) if plain else None) == w
+
+
 # mixing
 
 
