@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -22,6 +23,9 @@ from .words import UNSPACED
 #: Quote marks of a line, and what introduces a quote. Fixed values.
 _MARKS = re.compile(r"\s*((?:>|&gt;|»|\|(?=\s))\s*)+")
 _ONE_MARK = re.compile(r">|&gt;|»|\|")
+_BARS = re.compile(r"[\s|]*\|\s*")
+#: What a row of a table has behind its first bar.
+_CELLS = re.compile(r"\s\|\s|\|\s*$")
 _INTRODUCTION = re.compile(r"\s*(?:On|Am|Le|El)\b.*(?:wrote|schrieb|écrit|escribió)\b.*:\s*$", re.I)
 #: Words, letters of scripts without spaces, and other characters one by one.
 _TOKEN = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+|[^\w\s]")
@@ -38,29 +42,83 @@ def normalise(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
-    """The message without quotes and their introductions, and its passages as (level, text).
+def _marks(line: str, in_table: bool) -> tuple[str, bool]:
+    """The quote marks of a line, and whether a row of a table follows them.
 
-    Consecutive lines of one level are one passage; levels count from 1.
+    Bars alone go on with a table, but begin none: they may be an empty line of a quote.
     """
+    found = _MARKS.match(line)
+    marks = found[0] if found else ""
+    bar = marks.find("|")
+    if bar < 0:
+        return marks, False
+    rest = line[len(marks):]
+    if in_table if not rest.strip() and _BARS.fullmatch(line, bar) else _CELLS.search(rest):
+        return marks[:bar], True
+    return marks, False
+
+
+@dataclass
+class Passage:
+    level: int
+    lines: list[str] = field(default_factory=list)
+    #: Lines as they were, with the introduction, where a bar marks any of them; and the lines before them.
+    raw: list[str] = field(default_factory=list)
+    bars: bool = False
+    at: int = 0
+
+
+def read_message(text: str) -> tuple[list[str], list[Passage]]:
+    """The lines that are no quotes or introductions, and the passages."""
     own: list[str] = []
-    passages: list[tuple[int, list[str]]] = []
-    last = 0
-    for line in (text or "").split("\n"):
-        marks = _MARKS.match(line)
-        level = len(_ONE_MARK.findall(marks[0])) if marks else 0
+    passages: list[Passage] = []
+    last, table = 0, False
+    for line in text.split("\n"):
+        marks, table = _marks(line, table)
+        level = len(_ONE_MARK.findall(marks))
         if level:
-            if not last and own and _INTRODUCTION.match(own[-1]):
-                own.pop()
+            introduction = [own.pop()] if not last and own and _INTRODUCTION.match(own[-1]) else []
             if level != last:
-                passages.append((level, []))
-            passages[-1][1].append(line[marks.end():])
+                passages.append(Passage(level, raw=introduction, at=len(own)))
+            passages[-1].lines.append(line[len(marks):])
+            passages[-1].raw.append(line)
+            passages[-1].bars |= "|" in marks
         else:
             own.append(line)
         last = level
+    return own, passages
+
+
+def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
+    """The message without quotes and their introductions, and its passages as (level, text).
+
+    Consecutive lines of one level are one passage; levels count from 1. Rows of a table are no quotes.
+    """
+    own, passages = read_message(text or "")
     if not passages:
         return text or "", []
-    return "\n".join(own).strip("\n"), [(k, "\n".join(v)) for k, v in passages]
+    return "\n".join(own).strip("\n"), [(p.level, "\n".join(p.lines)) for p in passages]
+
+
+def segments(own: list[str], passages: list[Passage]) -> list[dict] | None:
+    """The message in pieces, if bars mark any passage: ``at`` is its number, null what is no quote.
+
+    A passage without text has the number -1, which links to nothing.
+    """
+    if not any(p.bars for p in passages):
+        return None
+    out, start, number = [], 0, 0
+    for p in passages:
+        if own[start:p.at]:
+            out.append({"at": None, "text": "\n".join(own[start:p.at])})
+        start = p.at
+        named = bool(normalise("\n".join(p.lines)))
+        if p.bars:
+            out.append({"at": number if named else -1, "text": "\n".join(p.raw)})
+        number += named
+    if own[start:]:
+        out.append({"at": None, "text": "\n".join(own[start:])})
+    return out
 
 
 def tokens(text: str) -> list[str]:
@@ -103,9 +161,11 @@ def sources(own: str) -> list[str]:
 
 
 def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages`` with ``_own`` and ``_quotes``: level, text, and a run of its tokens to look up."""
+    """``messages`` with ``_own``, ``_quotes`` (level, text, and a run of its tokens to look up) and
+    ``_segments``."""
 
-    @F.pandas_udf("own string, quotes array<struct<level:int,text:string,run:string>>")
+    @F.pandas_udf("own string, quotes array<struct<level:int,text:string,run:string>>, "
+                  "segments array<struct<at:int,text:string>>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -113,12 +173,12 @@ def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
                 own, quotes = parse(value)
                 named = [{"level": k, "text": v.lower(), "run": wanted_run(v.split("\n"))}
                          for k, v in quotes if normalise(v)]
-                rows.append((None if value is None else own, named))
-            yield pd.DataFrame(rows, columns=["own", "quotes"])
+                rows.append((None if value is None else own, named, segments(*read_message(value or ""))))
+            yield pd.DataFrame(rows, columns=["own", "quotes", "segments"])
 
     parsed = messages.withColumn("_parsed", read.asNondeterministic()(F.col(text)))
     return parsed.select(*messages.columns, F.col("_parsed.own").alias("_own"),
-                         F.col("_parsed.quotes").alias("_quotes"))
+                         F.col("_parsed.quotes").alias("_quotes"), F.col("_parsed.segments").alias("_segments"))
 
 
 def _held(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -223,7 +283,8 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 role: str = "role") -> DataFrame:
     """``<conv>, <turn>, <role>, text, n_quotes, n_linked, reply_to, branch, position`` of every message.
 
-    ``text`` is the message without quotes (null stays null). ``reply_to`` is the turn of the message
+    ``text`` is the message without quotes (null stays null); what bars mark is a quote only if it links,
+    else it stays, though later messages are not searched for in it. ``reply_to`` is the turn of the message
     that holds its first linked passage of level 1, else of the message before, null for the
     first. ``branch`` counts from 0 by the first message of a branch; ``position`` is the place in reply
     order, branch after branch, so that a message follows the one it replies to. Messages of equal turn
@@ -236,13 +297,20 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     indexed, _ = write_table(with_bucket_index(named, ["turn", "role", "tie"], "idx", ["conv"]), "quote-index")
     found = _quote_links(indexed)
     direct = found.groupBy("conv", "idx").agg(
-        F.count("*").alias("n_linked"),
+        F.count("*").alias("n_linked"), F.collect_list("at").alias("linked"),
         F.min_by("source", F.when(F.col("level") == 1, F.col("at"))).alias("source")).select(
-        F.col("conv").alias("c"), F.col("idx").alias("i"), "n_linked", "source")
+        F.col("conv").alias("c"), F.col("idx").alias("i"), "n_linked", "linked", "source")
     joined = indexed.join(direct, indexed["conv"].eqNullSafe(direct["c"]) & (indexed["idx"] == direct["i"]), "left")
     parent = F.coalesce("source", F.when(F.col("idx") > 0, F.col("idx") - 1))
+    # Passages that bars mark are quotes only if they link.
+    linked = F.coalesce("linked", F.array().cast("array<int>"))
+    stay = F.filter("_segments", lambda p: p["at"].isNull() | ~F.array_contains(linked, p["at"]))
+    put_back = F.size(F.filter(stay, lambda p: p["at"] >= 0))
+    own = F.when(F.col("_segments").isNull(), F.col("_own")).otherwise(
+        F.btrim(F.array_join(F.transform(stay, lambda p: p["text"]), "\n"), F.lit("\n")))
+    n_quotes = F.size("_quotes") - F.when(F.col("_segments").isNull(), 0).otherwise(put_back)
     replies, _ = write_table(joined.select(
-        "_bucket", "conv", "idx", "turn", "role", "_own", F.size("_quotes").alias("n_quotes"),
+        "_bucket", "conv", "idx", "turn", "role", own.alias("_own"), n_quotes.alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"), parent.alias("parent")), "quote-replies")
     branches = _branches(replies.select("_bucket", "conv", "idx", "parent"))
     in_branch = replies.join(branches.select(F.col("conv").alias("c"), F.col("idx").alias("i"), "branch"),

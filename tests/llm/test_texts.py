@@ -322,6 +322,19 @@ def test_partial_quotes(spark):
             assert (max(plain) if plain else None) == w
 
 
+def test_tables_are_no_quotes(spark):
+    table = "Prices:\n| name | price |\n| --- | --- |\n| tea | 3 |\n|  |  |\n| all |"
+    talk = [("first of all\nsecond thing", "first of all\nsecond thing", 0, 0), (table, table, 0, 0),
+            ("| second thing\nyes", "yes", 1, 1), ("On Monday she wrote:\n| nobody said this\nno", "On Monday she wrote:\n| nobody said this\nno", 0, 0),
+            ("a\n| unknown\nb\n| second thing\nc\n> lost\nd", "a\n| unknown\nb\nc\nd", 2, 1),
+            ("> | tea | 3 |\nso", "so", 1, 1), ("| | second thing\ndeep", "deep", 1, 1)]
+    df = spark.createDataFrame([(1, i, "user", t[0]) for i, t in enumerate(talk)],
+                               "conv_id bigint, turn bigint, role string, text string")
+    out = quotes.link_quotes(df).orderBy("turn").collect()
+    assert [(r.text, r.n_quotes, r.n_linked) for r in out] == [t[1:] for t in talk]
+    assert [r.reply_to for r in out] == [None, 0, 0, 2, 0, 1, 5]  # the last by its level
+
+
 # mixing
 
 
