@@ -21,8 +21,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p "
     "pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose content is no text of the page. Fixed values.
-RAW_TAGS = "script style head noscript template svg iframe textarea select object canvas title math audio video"
+#: Elements whose content is no text of the page. A head is none of them: what may stand in it has no text or
+#: is listed here, and anything else ends it, closed or not. Fixed values.
+RAW_TAGS = "script style noscript template svg iframe textarea select object canvas title math audio video"
 #: What may not be open any more when an element of this kind begins. Fixed values.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
           "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -39,6 +40,12 @@ BOILERPLATE_WORDS = frozenset(
     "tags teaser toolbar tooltip topbar warning widget widgets complementary".split())
 CONTENT_WORDS = frozenset(
     "article articlebody body content entry entrycontent main page post postcontent story storybody text".split())
+#: Of the boilerplate words those that page-wide wrappers carry too ("layout has-sidebar"). Fixed values.
+LAYOUT_WORDS = frozenset(
+    "ad ads banner bottom breadcrumb breadcrumbs foot footer head header login masthead menu menubar meta nav navbar "
+    "navigation rail search share sharing sidebar skip social tags toolbar topbar widget widgets".split())
+#: Kinds of boilerplate by what may take it back inside: nothing; <main>; <main> and <article>.
+_FIRM, _LAYOUT, _FORM = range(3)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW_TAGS.replace(" ", "|") + r")\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -58,6 +65,7 @@ class Element:
     tag: str
     number: int
     leaning: float
+    kind: int
 
 
 @dataclass
@@ -70,32 +78,67 @@ class Block:
     text: str = ""
 
 
-def _leaning(tag: str, attrs: str, inside: float) -> float:
-    """What an element adds to what its ancestors say: content above zero, boilerplate below."""
-    if inside < 0:
-        return inside
-    own = 0.0
+def _own_leaning(tag: str, attrs: str, inside: float) -> tuple[float, int]:
+    """What an element says by itself, and the kind of boilerplate if it is any."""
     if tag in BOILERPLATE_TAGS or tag == "header" and inside <= 0:
-        return WEIGHTS["boilerplate"]
-    if tag in CONTENT_TAGS:
-        own = WEIGHTS["content"]
-    if attrs:
+        own, kind = WEIGHTS["boilerplate"], _FORM if tag == "form" else _FIRM
+    else:
+        own, kind = WEIGHTS["content"] if tag in CONTENT_TAGS else 0.0, _FIRM
+    if attrs and (own >= 0 or kind != _FIRM):
         for m in _ATTRIBUTE.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
                     r"display\s*:\s*none", value, re.I):
-                return WEIGHTS["boilerplate"]
+                return WEIGHTS["boilerplate"], _FIRM
             if name in ("class", "id", "role"):
                 words = {w.lower() for w in _NAME.findall(value)}
-                if words & BOILERPLATE_WORDS and tag not in ("html", "body", "article", "main", "h1"):
-                    return WEIGHTS["boilerplate"]
-                if words & CONTENT_WORDS and tag not in ("html", "body"):
+                named = words & BOILERPLATE_WORDS if tag not in ("html", "body", "article", "main", "h1") else ()
+                if named and not named <= LAYOUT_WORDS and tag != "form":
+                    return WEIGHTS["boilerplate"], _FIRM
+                if named and tag != "form":
+                    own, kind = WEIGHTS["boilerplate"], _LAYOUT
+                elif words & CONTENT_WORDS and tag not in ("html", "body") and own >= 0:
                     own = WEIGHTS["content"]
-    return max(inside, own)
+    return own, kind
+
+
+def _leaning(tag: str, attrs: str, inside: float, kind: int, spared: bool) -> tuple[float, int]:
+    """What an element adds to what its ancestors say: content above zero, boilerplate below, and its kind.
+
+    <main> takes back what a form or a name of the layout says, <article> what a form does. An element
+    that is ``spared`` is no boilerplate by such a name or as a form.
+    """
+    own, own_kind = _own_leaning(tag, attrs, inside)
+    if spared and own < 0 and own_kind != _FIRM:
+        own = 0.0
+    if inside < 0:
+        if own < 0:
+            return inside, min(kind, own_kind)
+        if tag == "main" and kind != _FIRM or tag == "article" and kind == _FORM:
+            return own, _FIRM
+        return inside, kind
+    return (own, own_kind) if own < 0 else (max(inside, own), _FIRM)
 
 
 def read_blocks(page: str) -> list[Block]:
-    """Blocks with any text, in page order. Markup may be broken or end anywhere."""
+    """Blocks with any text, in page order. Markup may be broken or end anywhere.
+
+    Forms and elements with a name of the layout that hold most of the page's unlinked text are its
+    wrappers and no boilerplate.
+    """
+    spared: set[int] = set()
+    while True:
+        blocks, roots = _read_blocks(page, spared)
+        free = [sum(map(len, b.parts)) - b.linked for b in blocks] if roots else []
+        wide = {n for n in roots if 2 * sum(f for f, b in zip(free, blocks) if n in b.path) > sum(free)}
+        if not wide:
+            return blocks
+        spared |= wide
+
+
+def _read_blocks(page: str, spared: set[int]) -> tuple[list[Block], set[int]]:
+    """The blocks, and the numbers of the outermost forms and elements with a name of the layout."""
+    roots: set[int] = set()
     stack: list[Element] = []
     blocks: list[Block] = []
     current: Block | None = None
@@ -109,7 +152,7 @@ def read_blocks(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            top = stack[-1] if stack else Element("", 0, 0.0)
+            top = stack[-1] if stack else Element("", 0, 0.0, _FIRM)
             current = Block(tuple(e.number for e in stack), top.tag, top.leaning)
             blocks.append(current)
         current.parts.append(raw)
@@ -148,12 +191,15 @@ def read_blocks(page: str) -> list[Block]:
             close(len(stack) - 1)
         if tag not in VOID_TAGS:
             number += 1
-            inside = stack[-1].leaning if stack else 0.0
-            stack.append(Element(tag, number, _leaning(tag, m["attrs"], inside)))
+            inside, above = (stack[-1].leaning, stack[-1].kind) if stack else (0.0, _FIRM)
+            leaning, kind = _leaning(tag, m["attrs"], inside, above, number in spared)
+            if leaning < 0 <= inside and kind != _FIRM:
+                roots.add(number)
+            stack.append(Element(tag, number, leaning, kind))
     add(page[at:])
     for b in blocks:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in blocks if b.text]
+    return [b for b in blocks if b.text], roots
 
 
 def score(block: Block) -> float:

@@ -188,6 +188,26 @@ def test_main_text():
     assert content.main_text(page)[0].split("\n") == want
 
 
+ARTICLE = "<h1>The title</h1><p>A first paragraph of some words, as they stand in an article.<p>And a second one, which goes on."
+TEXT = "The title\nA first paragraph of some words, as they stand in an article.\nAnd a second one, which goes on."
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>No</title><meta name=a><script>var no = 1</script><link href=x><body><article>" + ARTICLE,
+    "<head><style>p{}</style><article>" + ARTICLE, "<head><title>No</title></head><body><article>" + ARTICLE,
+    "<body><form action=x><article>" + ARTICLE + "</article><label>Your mail</label><button>Send</button></form>",
+    "<body><form action=x><div class=content>" + ARTICLE + "</div><label>Your mail</label></form>",
+    "<body><div class='layout has-sidebar'><article>" + ARTICLE + "</article><div class=sidebar>Read this other thing, too.</div></div>",
+    "<div id=page-header-wide><form><div class='layout has-sidebar'><main>" + ARTICLE + "</main><nav>Menu of it</nav></div></form></div>",
+    "<article>" + ARTICLE + "</article><div class=sidebar><article><p>Another thing, of a few words.</article></div>"
+    "<section class=comments><article><p>I do not agree with the author of this at all, says one of the readers, and goes on for so long that"
+    " the comment has more words than the article that it is about, which should not make it the text of the page.</article></section>",
+    "<article>" + ARTICLE + "</article><form hidden><article><p>Not to be seen, by any reader at all.</article></form>",
+])
+def test_wrappers_and_open_heads(page):
+    assert content.main_text(page)[0] == TEXT
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = content.extract_content(pages).collect()
