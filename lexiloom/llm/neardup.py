@@ -292,7 +292,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Rows with whole texts or blocks go to Python few at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -306,7 +306,7 @@ def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 def _classified(docs: DataFrame, shingle: int, percent: int, key: str, text: str) -> DataFrame:
     """``id, hash, n, component`` of every row."""
     spark = docs.sparkSession
-    with _small_batches(spark, _TEXT_BATCH):
+    with small_batches(spark, _TEXT_BATCH):
         signed, _ = write_table(signatures(docs, shingle, key, text), "neardup-signatures")
     usable = signed.where("n > 0 and id is not null")
     first = usable.groupBy("set").agg(F.min(F.struct("id", "hash")).alias("first"))
@@ -324,15 +324,15 @@ def _classified(docs: DataFrame, shingle: int, percent: int, key: str, text: str
     sources = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     texts, texts_path = write_table(sources.where("text is not null").join(wanted, ["id", "hash"])
                                     .select("set", "text").dropDuplicates(["set"]), "neardup-texts")
-    with _small_batches(spark, _BATCH):
+    with small_batches(spark, _BATCH):
         pairs, pairs_path = write_table(_estimated(_star(buckets), sketches, percent), "neardup-pairs")
         star, star_path = write_table(_verify(pairs, texts, shingle, percent), "neardup-star")
     first, first_path = components(star)
     opened, opened_path = write_table(_open_rows(_labelled(buckets, first)), "neardup-open")
-    with _small_batches(spark, _BATCH):
+    with small_batches(spark, _BATCH):
         sets, sets_path = write_table(
             _whole_sets(opened.select("set").distinct(), texts, shingle), "neardup-sets")
-    with _small_batches(spark, _BLOCK_BATCH):
+    with small_batches(spark, _BLOCK_BATCH):
         rest, rest_path = write_table(_left_apart(opened, sets, percent), "neardup-rest")
     labels, _ = components(first.union(rest))
     for path in (buckets_path, sketches_path, texts_path, pairs_path, star_path, first_path, opened_path,

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiloom.llm import content, decontaminate, language, lines, mixing, neardup, quality, quotes, toxicity, urls
+from lexiloom.llm import (
+    content, decontaminate, language, lines, mixing, neardup, prefixjoin, quality, quotes, toxicity, urls)
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +26,7 @@ OPERATORS = {
     "toxicity": lambda s, d: toxicity.score_toxicity(d, toxicity.train(d, _toxic(s))),
     "lines": lambda s, d: lines.drop_duplicate_lines(d, removed="n_removed"),
     "near": lambda s, d: neardup.near_duplicates(d),
+    "grams": lambda s, d: prefixjoin.join_classes(d),
     "items": lambda s, d: decontaminate.find_items(d, _benchmark(s)),
     "content": lambda s, d: content.extract_content(d, "text"),
     "urls": lambda s, d: urls.judge_urls(d.withColumn("url", F.concat(F.lit("http://"), "source", F.lit("/"), "text")),

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lexiloom.llm import components, decontaminate, lines, neardup
+from lexiloom.llm import components, decontaminate, lines, neardup, prefixjoin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,6 +68,51 @@ def test_components(spark, k):
     assert sorted(r.doc_id for r in kept) == sorted(i for i in want if want[i] == i)
 
 
+@pytest.mark.parametrize("k, percent, block", [(3, 90, 20_000), (5, 80, 7)])
+def test_prefix_join(spark, monkeypatch, k, percent, block):
+    """Links of groups near the threshold that share a hot part, in one block and in many."""
+    monkeypatch.setattr(prefixjoin, "_BLOCK", block)
+    monkeypatch.setattr(prefixjoin, "_SHARED", block)
+    rng = random.Random(k)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for size, edits in ((70, (0, 4)), (40, (1, 3)), (20, (3, 6))):
+        texts += _group(rng, [rng.choice(vocabulary) for _ in range(90)], size, edits, vocabulary)
+    for _ in range(60):
+        texts.append(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12))))
+    texts += ["a b", "A B", "a b c", "b", "a\tb\x0bc d\ne", "", None] + texts[:30]
+    rows = list(enumerate(texts, 1000))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in prefixjoin.join_classes(df, k, percent).collect()}
+    sets = {i: _set(t, k) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+             and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    want = _roots(sets, links)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
+    assert len(links) > 100 and any(want[i] != i for i in want)
+
+
+def test_prefix_join_odd_rows(spark, odd_documents):
+    """Null ids and texts, empty texts, repeated rows, one id with two texts, each with its defined result."""
+    got = sorted(map(tuple, prefixjoin.join_classes(odd_documents, 3, 90).collect()), key=repr)
+    long = len({(f"word{i % 977}x{i % 31}", f"word{(i + 1) % 977}x{(i + 1) % 31}", f"word{(i + 2) % 977}x{(i + 2) % 31}")
+                for i in range(59_998)})
+    want = [(None, 0, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, long, 4), (5, long, 4), (5, long, 4), (None, 12, None),
+            (6, 1, 6), (6, 8, 6), (7, 1, 7), (8, 1, 8), (9, 1, 9)]
+    assert got == sorted(want, key=repr)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.sampled_from([50, 80, 90, 100]))
+def test_suffix_filter(x, y, percent):
+    """The lower bound never exceeds the true distance, and the verdict is that of the whole sets."""
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+    for limit in (0, 3, 100):
+        assert prefixjoin.suffix_distance(a, b, limit) <= len(x ^ y)
+    if x and y:
+        assert prefixjoin.similar(a, b, percent) == (100 * len(x & y) >= percent * len(x | y))
+
+
 def test_register_estimate():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
