@@ -26,6 +26,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,6 +43,8 @@ _MAX_CANDIDATES = 8192
 _MAX_RUNS = 50_000
 _WORDS_PER_TASK = 20_000
 _SHORT_WORD = 32
+#: Bits of a code point.
+_CODE_BITS = 21
 MIN_COUNT = 2
 
 
@@ -102,25 +105,71 @@ def _neighbours(symbols: str) -> str:
     return f"filter({pairs}, p -> length(p) = 2 and not contains(p, '{_UNKNOWN}'))"
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def merge_word(word: str, rules: dict[str, tuple[int, str]]) -> str:
     """One word after the rules (pair -> position, symbol), each applied once and in order."""
     return "".join(merge_neighbours(word, rules.get, in_order=True))
 
 
+@dataclass
+class _Batch:
+    """Words of an Arrow batch as one text with barriers between them, and the codes of all neighbours."""
+
+    words: list[str]
+    counts: np.ndarray
+    text: str
+    pairs: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> _Batch:
+        words = batch.column(0).to_pylist()
+        text = _UNKNOWN.join(words)
+        symbols = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = symbols[:-1] << _CODE_BITS | symbols[1:]
+        barrier = symbols == ord(_UNKNOWN)
+        pairs[barrier[:-1] | barrier[1:]] = -1
+        lengths = np.array([len(w) for w in words], np.int64)
+        return cls(words, batch.column(1).to_numpy(), text, pairs, np.cumsum(lengths + 1) - lengths - 1)
+
+    def word_at(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Whether each pair of neighbours is one of the sorted ``codes``."""
+        at = np.minimum(np.searchsorted(codes, self.pairs), len(codes) - 1)
+        return codes[at] == self.pairs
+
+
+def _codes(pairs: list[str]) -> np.ndarray:
+    return np.sort(np.array([ord(a) << _CODE_BITS | ord(b) for a, b in pairs], np.int64))
+
+
+def _text_of(code: int) -> str:
+    return chr(code >> _CODE_BITS) + chr(code & ((1 << _CODE_BITS) - 1))
+
+
 def merged_words(table: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """The table after a round: a narrow pass over Arrow batches."""
+    """``symbols, n, was`` after a round; ``was`` is a changed word before, null for the others.
+
+    A word can only hold a merged pair that it held at the start of the round, or one made of it, so those
+    pairs find all words that change, and only these are taken apart.
+    """
     shared = {pair: (i, symbol) for i, (pair, symbol) in enumerate(rules)}
+    made = {symbol for _, symbol in rules}
+    first = _codes([pair for pair, _ in rules if not made & set(pair)] or [pair for pair, _ in rules])
 
-    def batches(words: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in words:
-            yield pa.array([merge_word(w, shared) for w in batch.to_pylist()], pa.string())
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            read = _Batch.read(batch)
+            words, was = list(read.words), [None] * len(read.words)
+            for i in np.unique(read.word_at(np.flatnonzero(read.places(first)))).tolist():
+                words[i], was[i] = merge_word(read.words[i], shared), read.words[i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), batch.column(1), pa.array(was, pa.string())], ["symbols", "n", "was"])
 
-    batches.__annotations__ = {"words": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return table.select(F.arrow_udf(batches, "string")("symbols").alias("symbols"), "n")
+    return table.select("symbols", "n").mapInArrow(merge, "symbols string, n bigint, was string")
 
 
 def pair_counts(symbol_table: DataFrame) -> DataFrame:
@@ -128,6 +177,31 @@ def pair_counts(symbol_table: DataFrame) -> DataFrame:
     return exploded.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def changed_counts(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pair counts after a round: those before, and what the words that changed add and take away.
+
+    A pair's count only falls after the round that made it, so pairs too rare to merge are dropped.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            read = _Batch.read(batch)
+            codes, at = np.unique(read.pairs, return_inverse=True)
+            held = np.flatnonzero(read.pairs >= 0)
+            sums = np.zeros(len(codes), np.int64)
+            np.add.at(sums, at[held], read.counts[read.word_at(held)])
+            keep = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_text_of(c) for c in codes[keep].tolist()], pa.string()), pa.array(sums[keep])], ["pair", "n"])
+
+    changed = table.where("was is not null")
+    gone = changed.select(F.col("was").alias("symbols"), (-F.col("n")).alias("n"))
+    moves = changed.select("symbols", "n").union(gone).mapInArrow(count, "pair string, n bigint")
+    return pairs.union(moves).groupBy("pair").agg(F.sum("n").alias("n")).where(f"n >= {MIN_COUNT}")
+
+
 def _rank(pair: str, n: int) -> tuple:
     return -n, max(pair), pair[0], pair[1]
 
@@ -139,12 +213,30 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 def candidate_runs(symbol_table: DataFrame, candidates: list[str]) -> DataFrame:
     """Distinct stretches of words in which all neighbours are candidates, with their counts."""
-    listed = ", ".join(_text(pair) for pair in candidates)
-    parts = "split(symbols, '')"
-    cut = (f"zip_with({parts}, slice({parts}, 2, size({parts})), "
-           f"(a, b) -> if(concat(a, b) in ({listed}), a, concat(a, '{_UNKNOWN}')))")
-    runs = f"filter(split(array_join({cut}, ''), '{_UNKNOWN}'), r -> length(r) > 1)"
-    stretches = symbol_table.selectExpr(f"explode({runs}) as run", "n")
+    listed = _codes(candidates)
+
+    def flush(counts: Counter[str]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["run", "n"])
+        counts.clear()
+        return out
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            read = _Batch.read(batch)
+            edges = np.diff(read.places(listed).astype(np.int8), prepend=0, append=0)
+            starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            weights = read.counts[read.word_at(starts)].tolist()
+            for start, end, n in zip(starts.tolist(), ends.tolist(), weights):
+                counts[read.text[start:end + 1]] += n
+            if len(counts) > _MAX_RUNS:
+                yield flush(counts)
+        yield flush(counts)
+
+    stretches = symbol_table.select("symbols", "n").mapInArrow(cut, "run string, n bigint")
     return stretches.groupBy("run").agg(F.sum("n").alias("n"))
 
 
@@ -188,19 +280,25 @@ def merge_in_runs(runs: list[tuple[str, int]], bound: tuple, symbols: Symbols,
     return rules
 
 
+def _rows(df: DataFrame) -> list[tuple[str, int]]:
+    """Rows of a bounded frame of text and count."""
+    columns = df.toArrow()
+    return list(zip(columns[0].to_pylist(), columns[1].to_pylist()))
+
+
 def _round(table: DataFrame, pairs: DataFrame, symbols: Symbols, n_pieces: int,
            k: int) -> tuple[list[tuple[str, str]], int]:
     """Rules of one round, and the number of candidates to begin the next with."""
-    top = [(r.pair, r.n) for r in ranked(pairs.where(F.col("n") >= MIN_COUNT)).limit(k + 1).collect()]
+    top = _rows(ranked(pairs.where(F.col("n") >= MIN_COUNT)).limit(k + 1))
     while top:
         candidates = top[:k]
         if len(candidates) == 1:
             pair = candidates[0][0]
             return [(pair, symbols.add(pair))], 2
-        found = candidate_runs(table, [p for p, _ in candidates]).limit(_MAX_RUNS + 1).collect()
+        found = _rows(candidate_runs(table, [p for p, _ in candidates]).limit(_MAX_RUNS + 1))
         if len(found) <= _MAX_RUNS:
             bound = _rank(*top[k]) if len(top) > k else (0,)
-            rules = merge_in_runs([(r.run, r.n) for r in found], bound, symbols, n_pieces)
+            rules = merge_in_runs(found, bound, symbols, n_pieces)
             growth = 4 if len(found) < _MAX_RUNS // 20 else 2
             return rules, min(growth * k, _MAX_CANDIDATES)
         k = max(k // 4, 1)
@@ -213,8 +311,9 @@ def learn_merges(symbol_table: DataFrame, n_pieces: int, kept: Sequence[str] = (
     ``kept`` are the characters of the words, which no merged piece may stand for. There is room for
     850,000 merged pieces less those characters.
 
-    Words and pair counts are written anew after each round, so no round depends on the plan or the
-    cached blocks of another.
+    A round passes words without a merged pair on as they are and keeps pair counts by the differences of the
+    words that change. Both tables are written after each round, so no round depends on the plan or the cached
+    blocks of another.
     """
     spark = symbol_table.sparkSession
     symbols = Symbols(characters=frozenset(ord(c) for c in kept if ord(c) >= _FIRST_MERGED))
@@ -225,12 +324,16 @@ def learn_merges(symbol_table: DataFrame, n_pieces: int, kept: Sequence[str] = (
     pairs, pairs_path = write_table(pair_counts(table), "bpe-pairs")
     k = _FIRST_CANDIDATES
     while len(symbols.symbol_of) < n_pieces:
+        known = len(symbols.symbol_of)
         rules, k = _round(table, pairs, symbols, n_pieces, k)
         if not rules or len(symbols.symbol_of) >= n_pieces:
             break
         old_paths = table_path, pairs_path
         table, table_path = write_table(merged_words(table, rules), "bpe-words")
-        pairs, pairs_path = write_table(pair_counts(table), "bpe-pairs")
+        # A pair whose text was a symbol before adds places to old pairs: then all are counted anew.
+        again = len(symbols.symbol_of) < known + len(rules)
+        pairs, pairs_path = write_table(pair_counts(table) if again else changed_counts(pairs, table), "bpe-pairs")
+        table = table.select("symbols", "n")
         for path in old_paths:
             drop_table(spark, path)
     for path in (table_path, pairs_path):
