@@ -31,29 +31,87 @@ def _class_member(pattern: str) -> str | None:
     return None
 
 
+#: What Python takes for a word character and for white space, as members of a Java class.
+_WORD, _SPACE = r"\p{L}\p{N}_", r"\s\x1c-\x1f"
+_CLASSES = {"w": _WORD, "s": _SPACE, "d": r"\p{Nd}"}
+_AFTER, _BEFORE = f"(?<=[{_WORD}])", f"(?=[{_WORD}])"
+_NOT_AFTER, _NOT_BEFORE = f"(?<![{_WORD}])", f"(?![{_WORD}])"
+_BORDERS = {"b": f"(?:{_AFTER}{_NOT_BEFORE}|{_NOT_AFTER}{_BEFORE})",
+            "B": f"(?:{_AFTER}{_BEFORE}|{_NOT_AFTER}{_NOT_BEFORE})", "A": r"\A", "Z": r"\z", "z": r"\z"}
+_CODED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|(0[0-7]{0,2}|[1-3][0-7]{2}))")
+_COUNT = re.compile(r"\{(\d*)(,?)(\d*)\}")
+_GROUP = re.compile(r"\(\?(?:P<(\w+)>|P=(\w+)\)|#[^)]*\)|([a-zA-Z]*)(?:-([a-zA-Z]*))?[:)]|\()")
+
+
+def _escape(pattern: str, at: int, inside: bool) -> tuple[str, int]:
+    """The escape at a place in Java's dialect, and where it ends."""
+    coded = _CODED.match(pattern, at)
+    if coded:
+        digits, octal = coded[1] or coded[2] or coded[3], coded[4]
+        return f"\\x{{{int(octal, 8) if octal else int(digits, 16):x}}}", coded.end()
+    c = pattern[at + 1]
+    if c.lower() in _CLASSES:
+        members = _CLASSES[c.lower()]
+        return (members if inside and c.islower() else f"[{'^' if c.isupper() else ''}{members}]"), at + 2
+    if not inside and c in _BORDERS:
+        return _BORDERS[c], at + 2
+    if c == "N":
+        raise ValueError(f"characters by name are not supported: {pattern}")
+    return {"v": r"\x0B", "b": r"\x08"}.get(c, pattern[at:at + 2]), at + 2
+
+
+def _group(pattern: str, at: int, names: dict[str, str]) -> tuple[str, int]:
+    """The special group that begins at a place, and where its head ends."""
+    found = _GROUP.match(pattern, at)
+    if not found:
+        return "(?", at + 2
+    name, again, flags, off = found.groups()
+    if name:
+        return f"(?<{names.setdefault(name, f'g{len(names)}')}>", found.end()
+    if again:
+        return f"\\k<{names[again]}>", found.end()
+    if found[0].startswith("(?#"):
+        return "", found.end()
+    if found[0] == "(?(" or set((flags or "") + (off or "")) & set("axL"):
+        raise ValueError(f"neither conditions nor the flags a, x and L are supported: {pattern}")
+    return found[0].replace("u", ""), found.end()
+
+
 def java_pattern(pattern: str) -> str:
-    """A Python regex in Java's dialect: its classes know Unicode, and inside brackets ``[`` and ``&``
-    are characters like others."""
-    out, inside, i = [], False, 0
+    """A Python regex in Java's dialect, refused where it has no counterpart there.
+
+    Only a line feed ends a line; classes and word borders are Python's; names of groups, counts without a
+    first number, braces that count nothing and ``\Z`` are written as Java wants them; inside brackets
+    ``[`` and ``&`` are characters like others.
+    """
+    re.compile(pattern)
+    out, names, inside, i = [], {}, False, 0
     while i < len(pattern):
-        c = pattern[i]
+        c, after = pattern[i], i + 1
         if c == "\\":
-            out.append(pattern[i:i + 2])
-            i += 2
-            continue
-        if inside and c in "[&":
-            c = "\\" + c
-        elif inside and c == "]":
-            inside = False
-        elif not inside and c == "[":
+            c, after = _escape(pattern, i, inside)
+        elif inside:
+            inside = c != "]"
+            c = "\\" + c if c in "[&" else c
+        elif c == "[":
             inside = True
-            if pattern.startswith("^", i + 1):
-                c, i = "[^", i + 1
-            if pattern.startswith("]", i + 1):  # first in a class it is a character
-                c, i = c + "\\]", i + 1
+            if pattern.startswith("^", after):
+                c, after = "[^", after + 1
+            if pattern.startswith("]", after):  # first in a class it is a character
+                c, after = c + "\\]", after + 1
+        elif c == "{":
+            count = _COUNT.match(pattern, i)
+            if count and (count[1] or count[2]):
+                c, after = f"{{{count[1] or 0}{count[2]}{count[3]}}}", count.end()
+            else:
+                c = "\\{"
+        elif c == "}":
+            c = "\\}"
+        elif pattern.startswith("(?", i):
+            c, after = _group(pattern, i, names)
         out.append(c)
-        i += 1
-    return "(?U)" + "".join(out)
+        i = after
+    return "(?Ud)" + "".join(out)
 
 
 def clean_text(text: str | Column, patterns: Sequence[str] = OCR_PATTERNS) -> Column:

@@ -24,11 +24,10 @@ _MEMO_CHARS = 64
 _SPECIAL = re.compile("(" + "|".join(re.escape(s) for s in SPECIALS) + ")")
 _WORD = re.compile(f"[^{re.escape(WHITESPACE)}]+")
 # With spaces kept, every space begins a chunk, and so does every line break.
-_CHUNK = re.compile(f"{WORD_MARK}[^{WORD_MARK}\n]*|\n[^{WORD_MARK}\n]*")
+_CHUNK = re.compile(f"[{WORD_MARK}\n]?[^{WORD_MARK}\n]+|[{WORD_MARK}\n]")
 #: Pieces that stand for single bytes. Fixed form.
 BYTE_PIECES = tuple(f"<0x{b:02X}>" for b in range(256))
-# Stands before the two digits of a byte while ids become text again; a character no text should hold.
-_BYTE_MARK = "\uffff"
+_BYTE_SET = frozenset(BYTE_PIECES)
 
 
 def vocab_rows(vocab: DataFrame) -> list[tuple[int, str, float]]:
@@ -92,8 +91,14 @@ class WordEncoder:
             if literals and part in self.special:
                 out.append(self.special[part])
             elif keep_spaces:
-                for chunk in _CHUNK.findall(WORD_MARK + part.replace(" ", WORD_MARK)) if part else ():
-                    out.extend(self.word(chunk))
+                # A mark in the text itself is no space: it is written as its bytes, like an unknown character.
+                for i, stretch in enumerate(part.split(WORD_MARK) if part else ()):
+                    if i:
+                        out.extend([UNK_ID] if self.bytes is None else
+                                   [self.bytes[b] for b in WORD_MARK.encode()])
+                    marked = stretch.replace(" ", WORD_MARK)
+                    for chunk in _CHUNK.findall(marked if i else WORD_MARK + marked):
+                        out.extend(self.word(chunk))
             else:
                 for word in _WORD.findall(part):
                     out.extend(self.word(WORD_MARK + word))
@@ -157,10 +162,10 @@ def tokenize(df: DataFrame, vocab: DataFrame, ids: str = "input_ids",
 
     The vocabulary is one constant array, so a piece is a position lookup.
     """
-    return df.withColumn(out, F.transform(ids, _piece_lookup(vocab)))
+    return df.withColumn(out, F.transform(ids, _lookup(_piece_table(vocab))))
 
 
-def _piece_lookup(vocab: DataFrame, bytes_marked: bool = False):
+def _piece_table(vocab: DataFrame) -> list[str]:
     rows = vocab_rows(vocab)
     if rows and rows[-1][0] >= MAX_VOCAB:
         raise ValueError(f"ids must stay below {MAX_VOCAB}")
@@ -168,7 +173,11 @@ def _piece_lookup(vocab: DataFrame, bytes_marked: bool = False):
     for i, piece, _ in rows:
         if "\n" in piece:
             raise ValueError("pieces must not contain line breaks")
-        table[i] = f"{_BYTE_MARK}{piece[3:5]}" if bytes_marked and piece in BYTE_PIECES else piece
+        table[i] = piece
+    return table
+
+
+def _lookup(table: list[str]):
     pieces = F.split(F.lit("\n".join(table)), "\n")
     return lambda i: F.coalesce(F.get(pieces, i), F.raise_error(
         F.concat(F.lit("no piece has the id "), i.cast("string"))))
@@ -178,15 +187,17 @@ def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "input_ids",
                out: str = "text") -> DataFrame:
     """Ids back to text: pieces joined, word marks as spaces, no leading space.
 
-    An id without a piece is an error, never left out. Byte pieces become the characters they write.
+    An id without a piece is an error, never left out. With byte pieces in the vocabulary all pieces are put
+    together as bytes, so these become the characters they write and no character stands for anything else.
     """
-    joined = F.array_join(F.transform(ids, _piece_lookup(vocab, bytes_marked=True)), "")
-    run = f"(?:{_BYTE_MARK}[0-9A-F]{{2}})+"
-    parts = F.regexp_extract_all(joined, F.lit(f"{run}|[^{_BYTE_MARK}]+"), F.lit(0))
-    plain = F.array_join(F.transform(parts, lambda p: F.when(
-        p.startswith(_BYTE_MARK), F.unhex(F.replace(p, F.lit(_BYTE_MARK), F.lit(""))).cast("string")).otherwise(p)), "")
-    text = F.when(F.contains(joined, F.lit(_BYTE_MARK)), plain).otherwise(joined)
-    return df.withColumn(out, F.regexp_replace(F.translate(text, WORD_MARK, " "), "^ ", ""))
+    table = _piece_table(vocab)
+    if set(BYTE_PIECES) <= set(table):
+        coded = [piece[3:5] if piece in _BYTE_SET else piece.replace(WORD_MARK, " ").encode("utf-8").hex()
+                 for piece in table]
+        text = F.unhex(F.array_join(F.transform(ids, _lookup(coded)), "")).cast("string")
+    else:
+        text = F.translate(F.array_join(F.transform(ids, _lookup(table)), ""), WORD_MARK, " ")
+    return df.withColumn(out, F.regexp_replace(text, "^ ", ""))
 
 
 def peek(df: DataFrame, vocab: DataFrame, key: str, ids: str | None = None, text: str = "text"

@@ -45,6 +45,26 @@ _PATTERNS = st.one_of(
     st.sampled_from(["a", "-", "&", "z", r"\*", r"\-", "é", r"\d+", r"\w\b", "ab", "1|2", "[^a-z]", "b+"]))
 
 
+_DIALECT = [
+    "a.b", "x$", "^a", "end\\Z", r"\Aa", "(?P<q_1>a)b(?P=q_1)", "a{,2}b", "a{2,}", "a{,}", "a{1}", "a{", "{x}", "}", r"\w+",
+    r"\W", r"\s", r"\S+", r"[\s\d]", r"[^\w]", r"[\W]", r"\bab\b", r"a\B", r"\v", r"\x61", r"\u00e9", r"\0", "(?i)AB", "(?m)^b",
+    "(?s)a.b", "(?:a|b)c", "a(?=b)", "(?<!a)b", "a(?#note)b", "a++", "(?>a+)b", r"(a)\1", r"[\b]", "a|\\Z", "(?i:É)"]
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.sampled_from(_DIALECT), st.text("abcxé_ \r\n\x0b\x1c\x85\u2028\u203f{}0²", max_size=12)
+       | st.sampled_from(["a\rb", "a\x85b", "x\r", "x\u2028", "end\n", "end", "aab", "aba", "x\n"]))
+def test_dialect(spark, pattern, value):
+    """Dots, anchors, names, counts, classes and borders match what they match in Python."""
+    assert one(spark, text.clean_text(F.lit(value), (pattern,))) == re.sub(pattern, "", value)
+
+
+@pytest.mark.parametrize("pattern", ["(?x)a b", "(?a)a", "(a)?(?(1)b|c)"])
+def test_what_java_lacks_is_refused(pattern):
+    with pytest.raises(ValueError):
+        text.java_pattern(pattern)
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(_PATTERNS, max_size=4), st.text("abcxyz-&^[]_é019２ *\\", max_size=25))
 def test_any_list_deletes_what_python_deletes(spark, patterns, value):

@@ -297,3 +297,12 @@ def test_merged_comparison_trains_to_the_default_size(spark, sf_dir):
     got = queries.compare_vocabs_merged(spark, sf_dir)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert queries.trained(spark, sf_dir, "documents").count() == new.count() > queries.MERGED_DOCUMENTS + 500
+
+
+def test_any_text_comes_back(spark):
+    """Word marks, noncharacters and the names of byte pieces in a text are characters like others."""
+    texts = ["\u2581x a\u2581b", "a\uffff41 b", " \u2581 ", "<0x41>", "\n\u2581\n", "ab  cd\u2581", "\U0001f600\u2581\U0001f600", "", " "]
+    v = encode.with_byte_pieces(bpe.train_bpe(spark.createDataFrame([("ab cd ab cd a\uffffb a\uffffb",)], "text string")))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    ids = encode.encode(df.withColumnRenamed("text", "own"), v, "own", add_bos=False, parse_literals=False, keep_spaces=True)
+    assert all(r.text == r.own for r in encode.decode_ids(ids, v).collect())
