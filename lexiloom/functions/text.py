@@ -78,7 +78,7 @@ def _group(pattern: str, at: int, names: dict[str, str]) -> tuple[str, int]:
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python regex in Java's dialect, refused where it has no counterpart there.
+    r"""A Python regex in Java's dialect, refused where it has no counterpart there.
 
     Only a line feed ends a line; classes and word borders are Python's; names of groups, counts without a
     first number, braces that count nothing and ``\Z`` are written as Java wants them; inside brackets

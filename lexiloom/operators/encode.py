@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.fixed import BOS_ID, EOS_ID, SPECIALS, UNK_ID, WHITESPACE, WORD_MARK
-from ..functions.merging import merge_neighbours
+from ..functions.merging import merge_neighbours, merge_short
 from ..functions.text import col
 
 MAX_VOCAB = 2_000_000
 _MEMO_WORDS = 500_000
-_MEMO_CHARS = 64
+_MEMO_IDS = 8_000_000
+_SHORT_WORD = 48
 _SPECIAL = re.compile("(" + "|".join(re.escape(s) for s in SPECIALS) + ")")
 _WORD = re.compile(f"[^{re.escape(WHITESPACE)}]+")
 # With spaces kept, every space begins a chunk, and so does every line break.
@@ -51,77 +52,122 @@ def with_byte_pieces(vocab: DataFrame) -> DataFrame:
     return vocab.unionByName(vocab.sparkSession.createDataFrame(rows, vocab.schema))
 
 
-class WordEncoder:
-    """Ids of single words, remembering the ones seen in this task.
+class _Numbers(dict):
+    """Numbers of the words seen; a new one is segmented when it is first asked for."""
+
+    def __init__(self, encoder: BatchEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word) -> int:
+        number = self[word] = len(self)
+        self.encoder.add(word)
+        return number
+
+
+class BatchEncoder:
+    """Ids of the texts of a batch. Every distinct word is segmented once, and the ids of a batch are taken
+    from those of its words in one step.
 
     Where the vocabulary has all byte pieces, an unknown character is written as its bytes, else a run
-    of them as one unknown piece.
+    of them as one unknown piece. Literal special pieces and marks in a text stand among the words as tuples.
     """
 
-    def __init__(self, rows: list[tuple[int, str, float]]):
+    def __init__(self, rows: list[tuple[int, str, float]], literals: bool, keep_spaces: bool):
+        self.literals, self.keep_spaces = literals, keep_spaces
         self.ids = {}
         for i, piece, _ in rows:
             self.ids.setdefault(piece, i)
         self.rules = merge_rules(rows)
-        self.special = {p: self.ids.get(p, i) for i, p in enumerate(SPECIALS)}
-        self.memo: dict[str, list[int]] = {}
+        self.ranks = {piece: rank for piece, (rank, _) in self.rules.items()}
+        self.special = {(p,): self.ids.get(p, i) for i, p in enumerate(SPECIALS)}
         codes = [self.ids.get(p) for p in BYTE_PIECES]
         self.bytes = None if None in codes else codes
-
-    def word(self, word: str) -> list[int]:
-        """Ids of a word with its mark."""
-        found = self.memo.get(word)
-        if found is None:
-            found = []
-            for piece in merge_neighbours(word, self.rules.get):
-                i = self.ids.get(piece, UNK_ID)
-                if i == UNK_ID and self.bytes is not None:
-                    found += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-                elif i != UNK_ID or not found or found[-1] != UNK_ID:
-                    found.append(i)
-            if len(word) <= _MEMO_CHARS:
-                if len(self.memo) >= _MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[word] = found
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.pool, self.ends = _Numbers(self), array("i"), array("q", [0])
+
+    def add(self, word: str | tuple[str]) -> None:
+        self.pool.extend(self.segment(word))
+        self.ends.append(len(self.pool))
+
+    def segment(self, word: str | tuple[str]) -> list[int]:
+        if isinstance(word, tuple):
+            if word in self.special:
+                return [self.special[word]]
+            # A mark in the text itself.
+            return [UNK_ID] if self.bytes is None else [self.bytes[b] for b in WORD_MARK.encode()]
+        word = word if self.keep_spaces else WORD_MARK + word
+        pieces = merge_short(word, self.ranks) if len(word) <= _SHORT_WORD else merge_neighbours(
+            word, self.rules.get)
+        found = [*map(self.ids.get, pieces)]
+        if None not in found and UNK_ID not in found:
+            return found
+        found = []
+        for piece in pieces:
+            i = self.ids.get(piece, UNK_ID)
+            if i == UNK_ID and self.bytes is not None:
+                found += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            elif i != UNK_ID or not found or found[-1] != UNK_ID:
+                found.append(i)
         return found
 
-    def text(self, text: str, out: array, literals: bool, keep_spaces: bool = False) -> None:
-        parts = _SPECIAL.split(text) if literals else (text,)
-        for part in parts:
-            if literals and part in self.special:
-                out.append(self.special[part])
-            elif keep_spaces:
-                # A mark in the text itself is no space: it is written as its bytes, like an unknown character.
-                for i, stretch in enumerate(part.split(WORD_MARK) if part else ()):
-                    if i:
-                        out.extend([UNK_ID] if self.bytes is None else
-                                   [self.bytes[b] for b in WORD_MARK.encode()])
-                    marked = stretch.replace(" ", WORD_MARK)
-                    for chunk in _CHUNK.findall(marked if i else WORD_MARK + marked):
-                        out.extend(self.word(chunk))
+    def words(self, text: str) -> list:
+        if not self.literals or not _SPECIAL.search(text):
+            return self.plain(text)
+        out: list = []
+        for part in _SPECIAL.split(text):
+            if (part,) in self.special:
+                out.append((part,))
             else:
-                for word in _WORD.findall(part):
-                    out.extend(self.word(WORD_MARK + word))
+                out += self.plain(part)
+        return out
+
+    def plain(self, text: str) -> list:
+        if not self.keep_spaces:
+            return _WORD.findall(text)
+        out: list = []
+        for i, stretch in enumerate(text.split(WORD_MARK) if text else ()):
+            if i:
+                out.append((WORD_MARK,))
+            marked = stretch.replace(" ", WORD_MARK)
+            out += _CHUNK.findall(marked if i else WORD_MARK + marked)
+        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text ends."""
+        if len(self.numbers) > _MEMO_WORDS or len(self.pool) > _MEMO_IDS:
+            self.clear()
+        words: list = []
+        upto = [0]
+        for text in texts:
+            if text:
+                words += self.words(text)
+            upto.append(len(words))
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        ends, pool = np.array(self.ends), np.array(self.pool, np.int32)
+        lengths = np.diff(ends)[at]
+        after = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.arange(after[-1]) + np.repeat(ends[at] - after[:-1], lengths)
+        return pool[places], after[upto]
 
 
 def token_ids(spark, vocab: DataFrame, text: str | Column, parse_literals: bool = True,
               keep_spaces: bool = False) -> Column:
     """Ids of a text column, without begin and end marks."""
-    shared = spark.sparkContext.broadcast(vocab_rows(vocab))
+    shared = spark.sparkContext.broadcast({"rows": vocab_rows(vocab)})
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(shared.value)
+        # A worker keeps its copy of the broadcast, and with it the words of its earlier tasks.
+        held = shared.value
+        if "encoder" not in held:
+            held["encoder"] = BatchEncoder(held["rows"], parse_literals, keep_spaces)
         for batch in texts:
-            ids, ends = array("i"), [0]
-            for text in batch.to_pylist():
-                if text is not None:
-                    encoder.text(text, ids, parse_literals, keep_spaces)
-                ends.append(len(ids))
-            values = pa.array(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32))
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), values,
+            ids, ends = held["encoder"].encode(batch.to_pylist())
+            yield pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(ids),
                 mask=batch.is_null() if batch.null_count else None)
-            yield lists
 
     # The annotations pick the iterator form; they must be real classes here.
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from .queries import (CUSTOM_PATTERNS, MERGED_DOCUMENTS, PACK_BLOCK, PACK_ROWS,
+from .queries import (CUSTOM_PATTERNS, FIRST_MERGES, PACK_BLOCK, PACK_ROWS,
                       TUNE_LENGTH, TUNE_ROWS, WORD_BLOCK, WORD_ROWS)
 
 _FIRST_SYMBOL = 983040
@@ -178,10 +178,10 @@ def _with(*ctes) -> str:
     return "with recursive " + ",\n".join(flat) + "\n"
 
 
-_D = _bpe("d", "documents", MERGED_DOCUMENTS)
+_D = _bpe("d", "documents", FIRST_MERGES)
 _B = _bpe_to_end("b", "benchmark")
 _DOCS = _encode("b", None, "e", "select doc_id as key, text from documents")
-_NEW_DOCS = _encode("d", MERGED_DOCUMENTS, "ed", "select doc_id as key, text from documents")
+_NEW_DOCS = _encode("d", FIRST_MERGES, "ed", "select doc_id as key, text from documents")
 
 
 def _word_vocab(name: str, counts: str) -> str:
@@ -292,15 +292,18 @@ ORACLES = {
     "pair_counts": _with(_D[:5]) + "select pair, sum(n)::bigint as n from (select substr(s, i, 2) as pair, "
                    "n from (select s, n, unnest(range(1, length(s))) as i from dw0)) "
                    "where not contains(pair, ' ') group by pair",
-    "train_bpe": _with(_D) + "select id, piece, case when id < 3 then 0 else 3 - id end as score from dvocab",
+    "train_bpe_first_merges": _with(_D) + "select id, piece, case when id < 3 then 0 else 3 - id end as score from dvocab",
     "round_trip": "select doc_id, text from documents",
     "train_bpe_to_end": _with(_B) + "select id, piece from bvocab",
     "merge_vocab": _WORD_VOCABS + "select id, piece, origin, score from mv",
     "vocab_head": _WORD_VOCABS + "select id, piece from nv order by id limit 200",
-    "vocab_report": _with(_D, _B) + "select (select count(*) from bvocab) + a as n_pieces, "
-                    "(select count(*) from bvocab) + a as n_distinct, (select count(*) from bvocab) as "
-                    "n_before, a as n_added, '<unk>=0,<s>=1,</s>=2' as specials from (select count(*) as a "
-                    "from dvocab where piece not in (select piece from bvocab))",
+    "vocab_report_first_merges": _with(_D, _B) + "select count(*) as n_pieces, count(distinct piece) as n_distinct, "
+                                 "count(*) filter (where b) as n_before, count(*) filter (where not b) as n_added, "
+                                 "string_agg(piece || '=' || id, ',' order by id) filter (where piece in "
+                                 f"({', '.join(repr(s) for s in fixed.SPECIALS)})) as specials from (select id, piece, "
+                                 "true as b from bvocab union all select (select count(*) from bvocab) + row_number() "
+                                 "over (order by id) - 1, piece, false from dvocab where piece not in "
+                                 "(select piece from bvocab))",
     "vocab_growth": _WORD_VOCABS + "select greatest(count(*) - 1000, 0) as growth from mv",
     "concat_sets": "select 0 as source_no, doc_id as id, text from documents union all "
                    "select 1, item_id, text from benchmark",
@@ -314,7 +317,7 @@ ORACLES = {
                       "attention_mask from e",
     "decode": _with(_B, _DOCS) + "select key as doc_id, regexp_replace(replace("
               "array_to_string(pieces, ''), '▁', ' '), '^ ', '') as text from e",
-    "compare_vocabs": _with(_D, _B, _DOCS, _NEW_DOCS) +
+    "compare_vocabs_first_merges": _with(_D, _B, _DOCS, _NEW_DOCS) +
                       "select vocab, source, sum(len(ids))::bigint as n_tokens, sum(length(text))::bigint "
                       "as n_chars, round(sum(len(ids)) / sum(length(text)), 6) as tokens_per_char, "
                       "round(sum(len(list_filter(ids, lambda x: x = 0))) / sum(len(ids)), 6) as "

@@ -14,9 +14,9 @@ from ..sources import books, cache, json_records, lines, sinks
 from ..storage import new_path, write_table
 from . import pretraining, tuning
 
-#: Merged pieces from ``documents`` that SQL can follow one by one, for queries with a twin only; the others
-#: train to the default size.
-MERGED_DOCUMENTS = 200
+#: Merges of ``documents`` that SQL can follow one by one, for the queries named ``first_merges`` and
+#: their twins; all others train to the default size.
+FIRST_MERGES = 200
 CUSTOM_PATTERNS = ("th+", "[aeiou]", r"\d+")
 PACK_BLOCK, PACK_ROWS = 256, 200
 WORD_BLOCK, WORD_ROWS = 128, 100
@@ -299,12 +299,20 @@ def pair_counts(spark, sf_dir):
     return count_pairs(symbol_words(counts, usable_characters(vocab.alphabet(counts))[1]))
 
 
-def train_bpe(spark, sf_dir):
-    learnt = learn(documents(spark, sf_dir), n_merged=MERGED_DOCUMENTS)
+def _scored(learnt: DataFrame) -> DataFrame:
     return learnt.select(
         F.col("id").cast("bigint").alias("id"), "piece", F.col("score").cast("bigint").alias("score"))
 
 
+def train_bpe(spark, sf_dir):
+    """The default size, 32,000 pieces, or as many as the words give, with scores."""
+    return _scored(learn(documents(spark, sf_dir)))
+
+
+def train_bpe_first_merges(spark, sf_dir):
+    return _scored(learn(documents(spark, sf_dir), n_merged=FIRST_MERGES))
+
+
 def train_bpe_default(spark, sf_dir):
     """The default size, 32,000 pieces, or as many as the words give."""
     return learn(documents(spark, sf_dir)).select("id", "piece")
@@ -337,7 +345,11 @@ def merged_trained(spark, sf_dir, n_merged: int | None = None) -> DataFrame:
 
 
 def vocab_report(spark, sf_dir):
-    return vocab.vocab_report(merged_trained(spark, sf_dir, MERGED_DOCUMENTS))
+    return vocab.vocab_report(merged_trained(spark, sf_dir))
+
+
+def vocab_report_first_merges(spark, sf_dir):
+    return vocab.vocab_report(merged_trained(spark, sf_dir, FIRST_MERGES))
 
 
 def vocab_growth(spark, sf_dir):
@@ -396,13 +408,17 @@ def peek_first(spark, sf_dir):
     return encode.peek(table(spark, sf_dir, "documents"), trained(spark, sf_dir, "benchmark"), "doc_id")
 
 
-def compare_vocabs(spark, sf_dir):
+def compare_vocabs(spark, sf_dir, n_merged: int | None = None):
     return encode.compare_vocabs(documents(spark, sf_dir), {
         "base": trained(spark, sf_dir, "benchmark"),
-        "new": trained(spark, sf_dir, "documents", MERGED_DOCUMENTS),
+        "new": trained(spark, sf_dir, "documents", n_merged),
     })
 
 
+def compare_vocabs_first_merges(spark, sf_dir):
+    return compare_vocabs(spark, sf_dir, FIRST_MERGES)
+
+
 def compare_vocabs_merged(spark, sf_dir):
     return encode.compare_vocabs(documents(spark, sf_dir), {
         "base": trained(spark, sf_dir, "benchmark"),
@@ -555,11 +571,13 @@ QUERIES = {
     "alphabet": alphabet,
     "pair_counts": pair_counts,
     "train_bpe": train_bpe,
+    "train_bpe_first_merges": train_bpe_first_merges,
     "train_bpe_default": train_bpe_default,
     "train_bpe_to_end": train_bpe_to_end,
     "merge_vocab": merge_vocab,
     "vocab_head": vocab_head,
     "vocab_report": vocab_report,
+    "vocab_report_first_merges": vocab_report_first_merges,
     "vocab_growth": vocab_growth,
     "concat_sets": concat_sets,
     "encode": encode_query,
@@ -568,6 +586,7 @@ QUERIES = {
     "encode_wrapped": encode_wrapped,
     "decode": decode,
     "compare_vocabs": compare_vocabs,
+    "compare_vocabs_first_merges": compare_vocabs_first_merges,
     "compare_vocabs_merged": compare_vocabs_merged,
     "pack_words": pack_words,
     "pack_tokens": pack_tokens,

@@ -2,9 +2,11 @@ import random
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lexiloom.functions import fixed
+from lexiloom.functions import merging
 from lexiloom.functions.merging import merge_neighbours
 from lexiloom.operators import bpe, encode, vocab
 from lexiloom.plans import queries, vocabulary
@@ -296,7 +298,7 @@ def test_merged_comparison_trains_to_the_default_size(spark, sf_dir):
     want = encode.compare_vocabs(docs, {"base": base, "merged": vocab.merge_vocab(base, new), "new": new})
     got = queries.compare_vocabs_merged(spark, sf_dir)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert queries.trained(spark, sf_dir, "documents").count() == new.count() > queries.MERGED_DOCUMENTS + 500
+    assert queries.trained(spark, sf_dir, "documents").count() == new.count() > queries.FIRST_MERGES + 500
 
 
 def test_any_text_comes_back(spark):
@@ -306,3 +308,10 @@ def test_any_text_comes_back(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     ids = encode.encode(df.withColumnRenamed("text", "own"), v, "own", add_bos=False, parse_literals=False, keep_spaces=True)
     assert all(r.text == r.own for r in encode.decode_ids(ids, v).collect())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=14), st.dictionaries(st.text("abc", min_size=2, max_size=4), st.integers(0, 3)))
+def test_short_words_merge_as_long_ones(word, ranks):
+    rules = {piece: (rank, piece) for piece, rank in ranks.items()}
+    assert merging.merge_short(word, ranks) == merging.merge_neighbours(word, rules.get)
