@@ -242,13 +242,15 @@ ORACLES = {
                   "from documents) group by text",
     "read_any": "select md5(text) as text_md5, length(text) as n_chars from documents",
     "read_dialogues": f"with {_UTTERANCES} select {_CHAT} as text from u",
-    "read_dialogues_array": f"with {_UTTERANCES} select conv_id % 16 as part, row_number() over (partition by "
-                            f"conv_id % 16 order by conv_id) - 1 as conv_id, {_CHAT} as text from u",
+    "read_dialogues_array": f"with {_UTTERANCES} select conv_id // 1000 as part, row_number() over "
+                            f"(partition by conv_id // 1000 order by conv_id) - 1 as conv_id, {_CHAT} as text from u",
     "read_framed_json": "select case when ok then t end as original_text, case when ok then e end as "
                         "equation, case when ok then a end as ans, case when ok then 0 else 1 end as "
                         f"corrupt from (select *, o_orderkey % 10 <> 0 as ok from ({_MATHS}))",
     "list_json": f"with {_UTTERANCES} select {_INSTRUCTION} as instruction, us[1] as input, "
                  f"{_PYTHON_LIST} as output from u",
+    "list_json_array": f"with {_UTTERANCES} select {_INSTRUCTION} as instruction, us[1] as input, "
+                       f"{_PYTHON_LIST} as output from u",
     "load_or_build": f"select doc_id, {_SPLIT} as split from documents",
     "write_books": f"select {_BOOK} as rel_path, text from documents",
     "concat_corpus": "select row_number() over (order by source, doc_id::varchar, pos) - 1 as line, text "

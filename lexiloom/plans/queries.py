@@ -19,6 +19,7 @@ from . import pretraining, tuning
 FIRST_MERGES = 200
 CUSTOM_PATTERNS = ("th+", "[aeiou]", r"\d+")
 PACK_BLOCK, PACK_ROWS = 256, 200
+ARRAY_ROWS = 1000
 WORD_BLOCK, WORD_ROWS = 128, 100
 #: The longest example the original tunes on, and its rows per batch here.
 TUNE_LENGTH, TUNE_ROWS = 4096, 8
@@ -184,12 +185,19 @@ def read_dialogues(spark, sf_dir):
     return dialogue.render_chat(json_records.read_dialogues(spark, path, "lines").select("utterances"))
 
 
+def write_arrays(spark, values: DataFrame, label: str) -> str:
+    """Folders of files that are one JSON array each, of up to ``ARRAY_ROWS`` of the ids, by id."""
+    path = new_path(spark, label)
+    grouped = values.groupBy(F.floor(F.col("conv_id") / ARRAY_ROWS).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("conv_id", "value"))).alias("all"))
+    grouped.select("part", F.to_json("all.value", {"ignoreNullFields": "false"}).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
 def read_dialogues_array(spark, sf_dir):
     """Files that are one array of conversations each, numbered inside their file."""
-    path = new_path(spark, "dialogue-arrays")
-    grouped = dialogues(spark, sf_dir).groupBy((F.col("conv_id") % 16).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("conv_id", "utterances"))).alias("all"))
-    grouped.select("part", F.to_json("all.utterances").alias("value")).write.partitionBy("part").text(path)
+    path = write_arrays(spark, dialogues(spark, sf_dir).select("conv_id", F.col("utterances").alias("value")),
+                        "dialogue-arrays")
     rows = json_records.read_dialogues(spark, path, "array")
     part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part")
     chat = dialogue.render_chat(rows.select(part, "conv_id", "utterances"))
@@ -216,6 +224,15 @@ def list_json(spark, sf_dir):
     return records.withColumn("output", python_list_text("output"))
 
 
+def list_json_array(spark, sf_dir):
+    """The same records in files that are one array each."""
+    records = dialogue.dialogue_to_instruction(dialogues(spark, sf_dir))
+    fields = F.struct("instruction", "input", "output").alias("value")
+    path = write_arrays(spark, records.select("conv_id", fields), "instruction-arrays")
+    read = json_records.list_json(spark, path, json_records.instruction_schema(True), glob=None)
+    return read.withColumn("output", python_list_text("output"))
+
+
 def text_csv(spark, sf_dir):
     path = new_path(spark, "chat-csv")
     sinks.write_text_csv(render_chat(spark, sf_dir), path)
@@ -549,6 +566,7 @@ QUERIES = {
     "read_dialogues_array": read_dialogues_array,
     "read_framed_json": read_framed_json,
     "list_json": list_json,
+    "list_json_array": list_json_array,
     "load_or_build": load_or_build,
     "write_books": write_books,
     "concat_corpus": concat_corpus,

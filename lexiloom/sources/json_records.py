@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.index import with_row_index
-from .lines import broadcast_if_small, positioned_lines
+from .lines import positioned_lines
+from .structure import with_counts, with_structure
 
 MATHS_KEYS = ("original_text", "equation", "ans")
 
@@ -15,9 +16,9 @@ MATHS_KEYS = ("original_text", "equation", "ans")
 def read_dialogues(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """``file, conv_id, utterances``.
 
-    ``array``: a file is one JSON array of arrays (each file must fit a row). ``lines``: one
-    conversation per line, read in splits. Either way ``conv_id`` counts the conversations of a file
-    from 0, however the file is split.
+    ``array``: a file is one JSON array of arrays; values of other kinds are no conversations. ``lines``: one
+    conversation per line. Either way files are read in splits, and ``conv_id`` counts the conversations of a
+    file from 0, however the file is split.
     """
     if layout == "lines":
         lines = positioned_lines(spark, path)
@@ -26,28 +27,9 @@ def read_dialogues(spark: SparkSession, path: str, layout: str = "array") -> Dat
         return numbered.select("file", "conv_id", F.from_json("value", "array<string>").alias("utterances"))
     if layout != "array":
         raise ValueError(f"layout must be array or lines, not {layout}")
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.from_json("value", "array<array<string>>"))
-                        .alias("conv_id", "utterances"))
-
-
-def _framed(lines: DataFrame) -> DataFrame:
-    """Add ``frame``: how many lines of the file up to here begin with a brace.
-
-    Lines are counted per split; one row per split carries the counts on.
-    """
-    begins = F.col("value").rlike(r"(?U)^\s*\{").cast("bigint")
-    marked = lines.withColumn("_begins", begins)
-    within = Window.partitionBy("file", "block").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, 0)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = marked.groupBy("file", "block").agg(F.sum("_begins").alias("_n")).select(
-        "file", "block", F.sum("_n").over(before).alias("_before"))
-    local = marked.withColumn("_local", F.sum("_begins").over(within))
-    joined = local.join(broadcast_if_small(splits.where("_before > 0")), ["file", "block"], "left")
-    frame = F.col("_local") + F.coalesce("_before", F.lit(0))
-    return joined.select("file", "block", "pos", "value", frame.alias("frame"))
+    found = _elements(spark, path, "]")
+    return found.select("file", F.col("element").alias("conv_id"),
+                        F.from_json(_last(F.col("body"), "["), "array<string>").alias("utterances"))
 
 
 def _strings(parsed: Column, keys: Sequence[str]) -> tuple[Column, dict[str, Column]]:
@@ -65,29 +47,63 @@ def read_framed_json(spark: SparkSession, path: str | Sequence[str],
                      keys: Sequence[str] = MATHS_KEYS) -> DataFrame:
     """Objects written one after another over several lines: ``file, frame, <keys>, _corrupt``.
 
-    A line that begins with a brace opens a frame; a line that ends with one asks for all lines of
-    the frame so far to be parsed. What does not parse as one object with text under all keys comes
-    back in ``_corrupt``. Files are read in splits; only the lines of one record meet in a task.
+    A line that begins with a brace opens a frame; a line that ends with one closes a record of the frame
+    or fails to. Only the first close outside strings and brackets can end an object, so all lines up to it
+    are parsed, once. Any other close gives a row of its own with the lines since the close before in
+    ``_corrupt``, as does an object without text under all keys. Files are read in splits, and lines meet only
+    once the borders of their record are known.
     """
-    lines = _framed(positioned_lines(spark, path))
-    ends = r"(?U)\}\s*$"
-    nothing = [F.lit(None).cast("string").alias(k) for k in keys]
+    begins, closes = F.col("value").rlike(r"(?U)^\s*\{"), F.col("value").rlike(r"(?U)\}\s*$")
+    lines = with_structure(positioned_lines(spark, path), begins, F.col("value"))
     # Before the first opening line nothing can parse.
-    stray = lines.where((F.col("frame") == 0) & F.col("value").rlike(ends)).select(
-        "file", "frame", *nothing, F.col("value").alias("_corrupt"))
-    frames = lines.where(F.col("frame") > 0).groupBy("file", "frame").agg(
-        F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("ls"))
-    closes = F.filter(F.sequence(F.lit(1), F.size("ls")),
-                      lambda i: F.get(F.col("ls.value"), i - 1).rlike(ends))
-    tries = frames.select("file", "frame", "ls", F.explode(closes).alias("upto")).select(
-        "file", "frame", F.array_join(F.slice("ls.value", F.lit(1), F.col("upto")), "\n").alias("body"))
+    whole = ~F.col("in_string") & (F.col("depth") == 0) & (F.col("frame") > 0)
+    marked = with_counts(lines.select("*", closes.alias("close"), (closes & whole).alias("whole")), ["close", "whole"])
+    order = F.struct("block", "pos", "value")
+    # The lines up to the first whole close are a record. A frame has one only if such a close comes.
+    first = marked.where((F.col("frame") > 0) & F.col("whole") & (F.col("n_whole") == 0)).select(
+        "file", "frame", F.col("n_close").alias("last"))
+    record = marked.where("frame > 0 and n_whole = 0").join(first, ["file", "frame"], "left_semi").groupBy(
+        "file", "frame").agg(F.array_sort(F.collect_list(order)).alias("ls"))
     # Inside brackets the parser must reach the end of the text.
-    parsed = tries.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))))
+    bodies = record.select("file", "frame", F.array_join("ls.value", "\n").alias("body"))
+    parsed = bodies.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))))
     good, fields = _strings(F.col("_v"), keys)
-    records = parsed.select(
-        "file", "frame", *[F.when(good, v).alias(k) for k, v in fields.items()],
-        F.when(~good, F.col("body")).alias("_corrupt"))
-    return records.unionByName(stray)
+    records = parsed.select("file", "frame", *[F.when(good, v).alias(k) for k, v in fields.items()],
+                            F.when(~good, F.col("body")).alias("_corrupt"))
+    # Other closes, with the lines since the one before; lines that no close follows belong to none.
+    after = marked.join(first, ["file", "frame"], "left").where(F.col("last").isNull() | (F.col("n_close") != F.col("last")))
+    closing = marked.where("close").select("file", "frame", "n_close")
+    segments = after.join(closing, ["file", "frame", "n_close"], "left_semi").groupBy("file", "frame", "n_close").agg(
+        F.array_sort(F.collect_list(order)).alias("ls"))
+    nothing = [F.lit(None).cast("string").alias(k) for k in keys]
+    failed = segments.select("file", "frame", *nothing, F.array_join("ls.value", "\n").alias("_corrupt"))
+    return records.unionByName(failed)
+
+
+def _elements(spark: SparkSession, path: str | Sequence[str], close: str, glob: str | None = None) -> DataFrame:
+    """``file, element, body``: the values that end with ``close``, straight below the root, of files that are one
+    JSON array, or the root of files that are one object.
+
+    Files are read in splits cut at ``close``, whether it ends a value or stands in a string; ``element`` grows along
+    the file. Values of other kinds come at the front of the body of the next one. A file that is not whole is an error.
+    """
+    pieces = positioned_lines(spark, path, close, glob)
+    state = with_structure(pieces, F.lit(False), F.concat("value", F.lit(close)))
+    root = F.when(F.col("object_file"), 0).otherwise(1)
+    ended = with_counts(state.withColumn("end", ~F.col("in_string") & (F.col("depth") == root)), ["end"])
+    grouped = ended.groupBy("file", F.col("n_end").alias("element")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("ls"), F.max("end").alias("whole"),
+        F.max("broken").alias("broken"), F.max("object_file").alias("object_file")).where("whole or broken")
+    text = F.concat(F.array_join("ls.value", close), F.lit(close))
+    inner = F.when(F.col("object_file"), text).otherwise(F.regexp_replace(text, r"^﻿?\s*[\[,]\s*", ""))
+    error = F.raise_error(F.concat(F.lit("not whole JSON: "), "file"))
+    return grouped.select("file", "element", F.when(F.col("broken"), error).otherwise(inner).alias("body"))
+
+
+def _last(body: Column, opening: str) -> Column:
+    """The body itself, or its last value where others come before it."""
+    values = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")
+    return F.when(F.startswith(body, F.lit(opening)), body).otherwise(F.element_at(values, -1))
 
 
 def instruction_schema(list_output: bool) -> T.StructType:
@@ -97,7 +113,14 @@ def instruction_schema(list_output: bool) -> T.StructType:
 
 
 def list_json(spark: SparkSession, dirs: str | Sequence[str], schema: T.StructType,
-              layout: str = "array") -> DataFrame:
-    """Records of the ``*.json`` files directly inside the directories."""
-    reader = spark.read.schema(schema).option("pathGlobFilter", "*.json")
-    return reader.option("multiLine", layout == "array").json(dirs)
+              layout: str = "array", glob: str | None = "*.json") -> DataFrame:
+    """Records of the files directly inside the directories whose names fit ``glob``.
+
+    ``array``: a file is one array of objects, or one object, and is read in splits. ``lines``: one object a line.
+    """
+    if layout == "lines":
+        return spark.read.schema(schema).json(dirs, pathGlobFilter=glob)
+    if layout != "array":
+        raise ValueError(f"layout must be array or lines, not {layout}")
+    body = _last(F.col("body"), "{")
+    return _elements(spark, dirs, "}", glob).select(F.from_json(body, schema).alias("record")).select("record.*")

@@ -14,9 +14,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = _BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def positioned_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``file, block, pos, value``: lines of splittable files with their place in the file."""
-    lines = spark.read.text(paths, lineSep="\n")
+def positioned_lines(spark: SparkSession, paths: str | Sequence[str], end: str = "\n",
+                     glob: str | None = None) -> DataFrame:
+    """``file, block, file_size, pos, value``: lines, or what else ``end`` ends, of splittable files with their place."""
+    lines = spark.read.text(paths, lineSep=end, pathGlobFilter=glob)
     return lines.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
