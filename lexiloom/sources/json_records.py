@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.index import with_row_index
 from .lines import positioned_lines
@@ -54,29 +54,29 @@ def read_framed_json(spark: SparkSession, path: str | Sequence[str],
     once the borders of their record are known.
     """
     begins, closes = F.col("value").rlike(r"(?U)^\s*\{"), F.col("value").rlike(r"(?U)\}\s*$")
-    lines = with_structure(positioned_lines(spark, path), begins, F.col("value"))
+    lines = with_structure(positioned_lines(spark, path), begins, F.col("value"), closes)
     # Before the first opening line nothing can parse.
-    whole = ~F.col("in_string") & (F.col("depth") == 0) & (F.col("frame") > 0)
-    marked = with_counts(lines.select("*", closes.alias("close"), (closes & whole).alias("whole")), ["close", "whole"])
-    order = F.struct("block", "pos", "value")
-    # The lines up to the first whole close are a record. A frame has one only if such a close comes.
-    first = marked.where((F.col("frame") > 0) & F.col("whole") & (F.col("n_whole") == 0)).select(
-        "file", "frame", F.col("n_close").alias("last"))
-    record = marked.where("frame > 0 and n_whole = 0").join(first, ["file", "frame"], "left_semi").groupBy(
-        "file", "frame").agg(F.array_sort(F.collect_list(order)).alias("ls"))
+    whole = closes & ~F.col("in_string") & (F.col("depth") == 0) & (F.col("frame") > 0)
+    # Lines between two closes are a segment; what no close follows belongs to none.
+    segments = lines.groupBy("file_id", "frame", "n_flag").agg(
+        F.first("file").alias("file"), F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("ls"),
+        F.max(closes).alias("closed"), F.min("n_flag").alias("number"), F.max(whole).alias("whole")).where("closed")
+    segments = segments.select("file_id", "file", "frame", "number", F.array_join("ls.value", "\n").alias("body"), "whole")
+    # Most records are one segment. Others begin with segments whose closes have failed, and end with the first whole one.
+    same = Window.partitionBy("file_id", "frame")
+    rest = segments.where("not (whole and number = 0)").select(
+        "*", F.min("number").over(same).alias("least"), F.min(F.when(F.col("whole"), F.col("number"))).over(same).alias("end"))
+    longer = rest.where("least = 0 and number <= end").groupBy("file_id", "frame").agg(
+        F.first("file").alias("file"), F.array_join(F.array_sort(F.collect_list(F.struct("number", "body")))["body"], "\n")
+        .alias("body")).select("file", "frame", "body")
+    tried = segments.where("whole and number = 0").select("file", "frame", "body").unionByName(longer)
     # Inside brackets the parser must reach the end of the text.
-    bodies = record.select("file", "frame", F.array_join("ls.value", "\n").alias("body"))
-    parsed = bodies.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))))
+    parsed = tried.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))))
     good, fields = _strings(F.col("_v"), keys)
     records = parsed.select("file", "frame", *[F.when(good, v).alias(k) for k, v in fields.items()],
                             F.when(~good, F.col("body")).alias("_corrupt"))
-    # Other closes, with the lines since the one before; lines that no close follows belong to none.
-    after = marked.join(first, ["file", "frame"], "left").where(F.col("last").isNull() | (F.col("n_close") != F.col("last")))
-    closing = marked.where("close").select("file", "frame", "n_close")
-    segments = after.join(closing, ["file", "frame", "n_close"], "left_semi").groupBy("file", "frame", "n_close").agg(
-        F.array_sort(F.collect_list(order)).alias("ls"))
     nothing = [F.lit(None).cast("string").alias(k) for k in keys]
-    failed = segments.select("file", "frame", *nothing, F.array_join("ls.value", "\n").alias("_corrupt"))
+    failed = rest.where("not (least = 0 and number <=> end)").select("file", "frame", *nothing, F.col("body").alias("_corrupt"))
     return records.unionByName(failed)
 
 
@@ -91,8 +91,8 @@ def _elements(spark: SparkSession, path: str | Sequence[str], close: str, glob:
     state = with_structure(pieces, F.lit(False), F.concat("value", F.lit(close)))
     root = F.when(F.col("object_file"), 0).otherwise(1)
     ended = with_counts(state.withColumn("end", ~F.col("in_string") & (F.col("depth") == root)), ["end"])
-    grouped = ended.groupBy("file", F.col("n_end").alias("element")).agg(
-        F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("ls"), F.max("end").alias("whole"),
+    grouped = ended.groupBy("file_id", F.col("n_end").alias("element")).agg(
+        F.first("file").alias("file"), F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("ls"), F.max("end").alias("whole"),
         F.max("broken").alias("broken"), F.max("object_file").alias("object_file")).where("whole or broken")
     text = F.concat(F.array_join("ls.value", close), F.lit(close))
     inner = F.when(F.col("object_file"), text).otherwise(F.regexp_replace(text, r"^﻿?\s*[\[,]\s*", ""))

@@ -71,10 +71,10 @@ def test_frames_of_random_lines(spark, tmp_path, splits):
     rng = random.Random(3)
     parts = FRAMED.splitlines(keepends=True) + ['{"original_text": "a\\"}", "equation": "\\\\", "ans": "{"}\n', "}\n", " }\n", "\n",
                                                 '"open\n', '{"original_text": "a", "equation": [{\n', '}], "ans": "b"}\n']
-    for name in range(4):
-        (tmp_path / f"{name}.json").write_text("".join(rng.choice(parts) for _ in range(60)))
+    for name in range(2):
+        (tmp_path / f"{name}.json").write_text("".join(rng.choice(parts) for _ in range(25)))
     want_good, want_bad = [], 0
-    for name in range(4):
+    for name in range(2):
         good, bad = reference_frames((tmp_path / f"{name}.json").read_text())
         want_good, want_bad = want_good + good, want_bad + bad
     rows = json_records.read_framed_json(spark, str(tmp_path)).collect()
