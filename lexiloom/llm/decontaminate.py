@@ -2,11 +2,13 @@
 
 An item may occur with up to ``budget`` edits. Cut into ``budget + 1`` pieces, at least one of them
 stands unchanged in any such occurrence, so an automaton over all pieces finds every candidate in one
-pass over a text. Myers' bit-parallel distance then verifies the text around a hit.
+pass over a text. Myers' bit-parallel distance then verifies the text around a hit. Items too short for
+edits are looked up as they are, between word borders.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,14 +16,16 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .words import fresh
+from .words import UNSPACED, fresh
 
 #: Edits allowed per character of an item.
 EDIT_RATE = 0.06
-#: Items with fewer characters say nothing about a benchmark and are not searched.
-LEAST_CHARS = 24
+#: Items with fewer characters are found only unchanged and as whole words.
+EXACT_BELOW = 24
 #: Characters of the items that one automaton holds; more items go in blocks of about this size.
 BLOCK_CHARS = 1_000_000
+#: A character of a word; letters of scripts without spaces are words of their own.
+_IN_WORD = re.compile(rf"(?![{UNSPACED}])\w")
 
 
 def normalise(text: str | None) -> str:
@@ -78,7 +82,7 @@ def best_match(pattern: str, text: str) -> tuple[int, int, int]:
 
 def build(items: list[tuple[object, str]], rate: float) -> tuple[object, list[tuple[object, str, int]]]:
     """Automaton over the pieces of all items; its values say which item and where in it."""
-    known = [(i, t, int(len(t) * rate)) for i, t in items]
+    known = [(i, t, int(len(t) * rate) if len(t) >= EXACT_BELOW else 0) for i, t in items]
     places: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for number, (_, text, budget) in enumerate(known):
         for at, piece in pieces(text, budget):
@@ -90,13 +94,23 @@ def build(items: list[tuple[object, str]], rate: float) -> tuple[object, list[tu
     return automaton, known
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether neither end of the part lies inside a word."""
+    return not any(0 < at < len(text) and _IN_WORD.match(text[at - 1]) and _IN_WORD.match(text[at])
+                   for at in (start, end))
+
+
 def search(text: str, automaton, known) -> list[tuple[object, int, int, int]]:
     """Best occurrence of each item within its budget: (item, distance, start, length)."""
     starts: dict[int, list[int]] = defaultdict(list)
+    exact: dict[int, int] = {}
     for last, (size, where) in automaton.iter(text):
         for number, at in where:
-            starts[number].append(last + 1 - size - at)
-    out = []
+            if len(known[number][1]) >= EXACT_BELOW:
+                starts[number].append(last + 1 - size - at)
+            elif number not in exact and whole_words(text, last + 1 - size, last + 1):
+                exact[number] = last + 1 - size
+    out = [(known[number][0], 0, start, len(known[number][1])) for number, start in exact.items()]
     for number, found in starts.items():
         item, pattern, budget = known[number]
         windows: list[list[int]] = []
@@ -127,7 +141,7 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[object
     for block in range(n):
         rows = items.where(F.pmod(F.xxhash64(text), F.lit(n)) == block).collect()
         named = sorted(((r[0], normalise(r[1])) for r in rows), key=lambda x: (x[0] is None, x[0], x[1]))
-        out.append([(i, t) for i, t in named if len(t) >= LEAST_CHARS])
+        out.append([(i, t) for i, t in named if t])
     return out
 
 
@@ -136,9 +150,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """``docs`` with ``output``: an array of ``item, distance, start, length``.
 
     One entry per benchmark item whose text occurs with at most ``rate`` edits per character, at its
-    best and then first place in the normalised text. Null and empty texts have none; null items and
-    those under ``LEAST_CHARS`` are not searched; repeated items count once. Texts are searched whole,
-    whatever their length, and no row moves. A column named ``output`` is replaced.
+    best and then first place in the normalised text; items under ``EXACT_BELOW`` characters occur only
+    unchanged, between word borders. Null and empty texts have none; null and empty items are not
+    searched; repeated items count once. Texts are searched whole, whatever their length, and no row
+    moves. A column named ``output`` is replaced.
     """
     kind = benchmark.schema[item].dataType.simpleString()
     schema = f"array<struct<item:{kind},distance:int,start:int,length:int>>"

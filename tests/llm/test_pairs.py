@@ -233,7 +233,10 @@ def test_found_items(spark):
     for i, text in docs:
         for j, item in items:
             p, t = decontaminate.normalise(item), decontaminate.normalise(text)
-            if len(p) >= decontaminate.LEAST_CHARS and t:
+            if len(p) < decontaminate.EXACT_BELOW:
+                if p and re.search(rf"(?<!\w){re.escape(p)}(?!\w)", t):
+                    want[i, j] = 0
+            elif t:
                 least = min(_sellers(p, t))
                 if least <= int(len(p) * decontaminate.EDIT_RATE):
                     want[i, j] = least
@@ -241,6 +244,21 @@ def test_found_items(spark):
     assert got == want
 
 
+def test_short_items(spark):
+    """Items too short for edits occur as whole words, unchanged but for case and white space."""
+    items = [(1, "What is 2+2?"), (2, "the  Moon"), (3, "  "), (4, "四加四"), (5, "x"), (6, None)]
+    docs = [(1, "please tell me: what is 2+2? thanks", {1: (16, 12)}), (2, "the moonlight, bathe moon", {}),
+            (3, "THE\nMOON", {2: (0, 8)}), (4, "他问四加四是几", {4: (2, 3)}), (5, "what is 2+3? xx", {}),
+            (6, "somewhat is 2+2? the moons, the moon", {2: (28, 8)}), (7, "", {}), (8, None, {}),
+            (9, "ax x " + "xx " * 1000, {5: (3, 1)})]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id int, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {r.doc_id: {m.item: (m.start, m.length) for m in r.matches}
+           for r in decontaminate.find_items(df, bench).collect()}
+    assert got == {d[0]: d[2] for d in docs}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [2, 5, 7, 8]
+
+
 def test_item_blocks(spark, monkeypatch):
     """More items than one automaton holds give the same matches."""
     docs = spark.createDataFrame([(i, f"{'filler words ' * i}item number {i % 9} of a benchmark with a text") for i in range(40)],
