@@ -1,13 +1,16 @@
-"""Quality rules: word counts, repetition, and bands of zstandard ratios by length.
+"""Quality rules: word counts, repetition, and bands of zstandard ratios by length and script.
 
 A text that repeats itself compresses too well for its length, noise too badly. What is usual at a
 length is learned from the corpus: a histogram of ratios by quarter octaves of the length in bytes,
 with each distinct text once, gives a median and a spread per class. Neighbouring classes vote on both,
-so that a class filled by copies of one text cannot move its own band.
+so that a class filled by copies of one text cannot move its own band. Scripts with more bytes to a
+character compress better, so texts and chunks are judged among those of as many half bytes a character:
+a script is never measured by the band of another, however few its texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,8 @@ LEAST_WIDTH = 0.08
 CLASS_ROWS = 100
 _SPREAD = 1.4826
 _BIN = 0.002
-_CHUNKS = -1
+#: Length classes of texts of one width begin at this multiple of it; chunks have minus the width.
+_STRIDE = 1000
 _SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
            "n_repeat_words bigint, base_failed boolean, ratio double, chunk_low double, "
            "chunk_high double, kept boolean")
@@ -44,17 +48,24 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3)
 
 
-def _ratios(compressor: zstandard.ZstdCompressor, data: bytes) -> tuple[float, list[float]]:
-    """Of the whole text and of its chunks; a text shorter than a chunk has none."""
+def _width(data: bytes) -> int:
+    """Half bytes to a character, from 2 for Latin over 4 for Cyrillic to 6 for Han, 8 at most."""
+    going_on = int(((np.frombuffer(data, np.uint8) & 0xC0) == 0x80).sum())
+    return min(8, round(2 * len(data) / max(1, len(data) - going_on)))
+
+
+def _ratios(compressor: zstandard.ZstdCompressor, data: bytes) -> tuple[float, list[tuple[int, float]]]:
+    """Of the whole text, and of its chunks with their classes; a text shorter than a chunk has none."""
     whole = _ratio(compressor, data) if data else float("nan")
     starts = list(range(0, len(data) - CHUNK + 1, CHUNK))
     if starts and len(data) % CHUNK:
         starts.append(len(data) - CHUNK)
-    return whole, [_ratio(compressor, data[i:i + CHUNK]) for i in starts]
+    parts = [data[i:i + CHUNK] for i in starts]
+    return whole, [(-_width(part), _ratio(compressor, part)) for part in parts]
 
 
-def _length_class(n: int) -> int:
-    return int(4 * np.log2(n)) if n else 0
+def _text_class(data: bytes) -> int:
+    return _STRIDE * _width(data) + int(4 * np.log2(len(data))) if data else 0
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
@@ -90,7 +101,7 @@ def _counts(data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _histogram(docs: DataFrame, text: str) -> DataFrame:
-    """Distinct texts by class and ratio; class -1 holds the chunks."""
+    """Distinct texts by class and ratio; classes below zero hold the chunks."""
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compressor = _compressor()
@@ -101,10 +112,9 @@ def _histogram(docs: DataFrame, text: str) -> DataFrame:
                 if not data:
                     continue
                 whole, chunks = _ratios(compressor, data)
-                out.append((key, _length_class(len(data)), int(whole / _BIN), 1))
-                if chunks:
-                    b, n = np.unique((np.array(chunks) / _BIN).astype(int), return_counts=True)
-                    out += [(key, _CHUNKS, int(x), int(y)) for x, y in zip(b, n)]
+                out.append((key, _text_class(data), int(whole / _BIN), 1))
+                n = Counter((c, int(ratio / _BIN)) for c, ratio in chunks)
+                out += [(key, *place, times) for place, times in n.items()]
             yield pd.DataFrame(out, columns=["key", "class", "bin", "n"])
 
     rows = docs.where(F.col(text).isNotNull()).select(
@@ -125,7 +135,10 @@ def _band(values: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
 
 
 def compression_limits(docs: DataFrame, text: str = "text") -> dict[int, tuple[float, float]]:
-    """Lowest and highest usual ratio by length class, class -1 for chunks; at most 260 classes."""
+    """Lowest and highest usual ratio by class: width and length of texts, minus the width of chunks.
+
+    There are at most 7 widths with 130 lengths each.
+    """
     rows = _histogram(docs, text).collect()  # at most classes x bins
     if not rows:
         return {}
@@ -133,14 +146,14 @@ def compression_limits(docs: DataFrame, text: str = "text") -> dict[int, tuple[f
     own: dict[int, tuple[float, float]] = {}
     for c in np.unique(table[:, 0]).astype(int):
         reach, part = 0, table[table[:, 0] == c]
-        while c != _CHUNKS and part[:, 2].sum() < CLASS_ROWS and reach < 8:
+        while c >= 0 and part[:, 2].sum() < CLASS_ROWS and reach < 8:
             reach += 1
             part = table[(np.abs(table[:, 0] - c) <= reach) & (table[:, 0] >= 0)]
         own[int(c)] = _band(part[:, 1], part[:, 2])
     limits = {}
     for c, (middle, spread) in own.items():
         width = CHUNK_WIDTH
-        if c != _CHUNKS:
+        if c >= 0:
             # The mean of the classes at equal distance below and above has no slope in it.
             pairs = [(own[c - j], own[c + j]) for j in range(1, 5) if c - j in own and c + j in own]
             middle = float(np.median([middle] + [(a[0] + b[0]) / 2 for a, b in pairs]))
@@ -165,14 +178,15 @@ def quality(docs: DataFrame, limits: dict[int, tuple[float, float]], text: str =
         counts = _counts(data)
         failed = counts[0] < min_words or 100 * counts[4] > max_repeat_percent * counts[0]
         whole, chunks = _ratios(compressor, data)
-        low, high = (min(chunks), max(chunks)) if chunks else (None, None)
+        ratios = [ratio for _, ratio in chunks]
+        low, high = (min(ratios), max(ratios)) if ratios else (None, None)
         kept = not failed
         if kept:
-            least, most = limits.get(_length_class(len(data)), (0.0, 9.0))
+            least, most = limits.get(_text_class(data), (0.0, 9.0))
             kept = least <= whole <= most
-        if kept and chunks:
-            least, most = limits.get(_CHUNKS, (0.0, 9.0))
-            kept = least <= low and high <= most
+        for c, ratio in chunks if kept else ():
+            least, most = limits.get(c, (0.0, 9.0))
+            kept = kept and least <= ratio <= most
         return (*counts, failed, whole if data else None, low, high, kept)
 
     @F.pandas_udf(_SCHEMA)
