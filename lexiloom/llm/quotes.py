@@ -62,7 +62,7 @@ def _marks(line: str, in_table: bool) -> tuple[str, bool]:
 class Passage:
     level: int
     lines: list[str] = field(default_factory=list)
-    #: Lines as they were, with the introduction, where a bar marks any of them; and the lines before them.
+    #: Lines as they were, with the introduction; whether a bar marks any; and how many own lines stand before.
     raw: list[str] = field(default_factory=list)
     bars: bool = False
     at: int = 0
@@ -101,23 +101,24 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def segments(own: list[str], passages: list[Passage]) -> list[dict] | None:
-    """The message in pieces, if bars mark any passage: ``at`` is its number, null what is no quote.
+    """The message in pieces, if it has passages: ``at`` is their number, null what is no quote.
 
-    A passage without text has the number -1, which links to nothing.
+    ``bars`` says whether bars mark a passage. One without text has the number -1; it goes if other marks
+    than bars stand for it, since nothing is lost with it.
     """
-    if not any(p.bars for p in passages):
+    if not passages:
         return None
     out, start, number = [], 0, 0
     for p in passages:
         if own[start:p.at]:
-            out.append({"at": None, "text": "\n".join(own[start:p.at])})
+            out.append({"at": None, "bars": False, "text": "\n".join(own[start:p.at])})
         start = p.at
         named = bool(normalise("\n".join(p.lines)))
-        if p.bars:
-            out.append({"at": number if named else -1, "text": "\n".join(p.raw)})
+        if named or p.bars:
+            out.append({"at": number if named else -1, "bars": p.bars, "text": "\n".join(p.raw)})
         number += named
     if own[start:]:
-        out.append({"at": None, "text": "\n".join(own[start:])})
+        out.append({"at": None, "bars": False, "text": "\n".join(own[start:])})
     return out
 
 
@@ -165,7 +166,7 @@ def parse_messages(messages: DataFrame, text: str = "text") -> DataFrame:
     ``_segments``."""
 
     @F.pandas_udf("own string, quotes array<struct<level:int,text:string,run:string>>, "
-                  "segments array<struct<at:int,text:string>>")
+                  "segments array<struct<at:int,bars:boolean,text:string>>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -283,9 +284,10 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 role: str = "role") -> DataFrame:
     """``<conv>, <turn>, <role>, text, n_quotes, n_linked, reply_to, branch, position`` of every message.
 
-    ``text`` is the message without quotes (null stays null); what bars mark is a quote only if it links,
-    else it stays, though later messages are not searched for in it. ``reply_to`` is the turn of the message
-    that holds its first linked passage of level 1, else of the message before, null for the
+    ``text`` is the message without the quotes that link (null stays null); a passage without a source stays
+    as it was, marks and introduction included, though later messages are not searched for in it.
+    ``n_quotes`` counts the passages, those that bars mark only if they link. ``reply_to`` is the turn of
+    the message that holds its first linked passage of level 1, else of the message before, null for the
     first. ``branch`` counts from 0 by the first message of a branch; ``position`` is the place in reply
     order, branch after branch, so that a message follows the one it replies to. Messages of equal turn
     are ordered by role and text; equal rows are messages of their own in any order. Null conversations
@@ -302,10 +304,10 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.col("conv").alias("c"), F.col("idx").alias("i"), "n_linked", "linked", "source")
     joined = indexed.join(direct, indexed["conv"].eqNullSafe(direct["c"]) & (indexed["idx"] == direct["i"]), "left")
     parent = F.coalesce("source", F.when(F.col("idx") > 0, F.col("idx") - 1))
-    # Passages that bars mark are quotes only if they link.
+    # What links to nothing may be code, a list or the words of somebody else: it stays.
     linked = F.coalesce("linked", F.array().cast("array<int>"))
     stay = F.filter("_segments", lambda p: p["at"].isNull() | ~F.array_contains(linked, p["at"]))
-    put_back = F.size(F.filter(stay, lambda p: p["at"] >= 0))
+    put_back = F.size(F.filter(stay, lambda p: (p["at"] >= 0) & p["bars"]))
     own = F.when(F.col("_segments").isNull(), F.col("_own")).otherwise(
         F.btrim(F.array_join(F.transform(stay, lambda p: p["text"]), "\n"), F.lit("\n")))
     n_quotes = F.size("_quotes") - F.when(F.col("_segments").isNull(), 0).otherwise(put_back)

@@ -74,14 +74,29 @@ def test_copies_move_no_band(spark, documents):
     assert all(abs(plain[c][0] - moved[c][0]) < 0.12 for c in plain)
 
 
+def test_rare_scripts_have_bands(spark, documents):
+    """Texts letter by letter in another script, one in twenty, are kept as the Latin ones are."""
+    texts = [r.text for r in documents.select("text").collect()]
+    passed = {r.doc_id for r in quality.score_quality(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id int, text string")).where("quality.kept").collect()}
+    turned = {c: chr(0x430 + i) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    turned |= {c.upper(): v.upper() for c, v in turned.items()}
+    other = [t.translate(str.maketrans(turned)) if i % 20 == 0 else t for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in quality.score_quality(spark.createDataFrame(
+        list(enumerate(other)), "doc_id int, text string")).where("quality.kept").collect()}
+    rare = {i for i in passed if i % 20 == 0}
+    assert len(rare) >= 5 and len(rare & kept) >= 0.9 * len(rare)
+    assert len(passed & kept) >= 0.95 * len(passed)
+
+
 def test_last_bytes_are_judged(spark, documents):
     """Noise and repetition behind the last full chunk are seen as anywhere else."""
     texts = [r.text for r in documents.select("text").collect()]
-    limits = {quality._CHUNKS: quality.compression_limits(documents)[quality._CHUNKS]}
+    limits = {-2: quality.compression_limits(documents)[-2]}  # chunks of Latin letters
     clean = ""
     for t in texts:  # as even as a text can be made of the corpus
         ok = quality._ratios(quality._compressor(), (clean + t).encode())[1]
-        if all(limits[-1][0] <= x <= limits[-1][1] for x in ok):
+        if all(limits[-2][0] <= x <= limits[-2][1] for c, x in ok if c == -2):
             clean += t + "\n"
     clean = clean.encode()[:8 * quality.CHUNK].decode(errors="ignore")
     clean += "." * (8 * quality.CHUNK - len(clean.encode()))
@@ -346,7 +361,7 @@ def test_tables_are_no_quotes(spark):
     table = "Prices:\n| name | price |\n| --- | --- |\n| tea | 3 |\n|  |  |\n| all |"
     talk = [("first of all\nsecond thing", "first of all\nsecond thing", 0, 0), (table, table, 0, 0),
             ("| second thing\nyes", "yes", 1, 1), ("On Monday she wrote:\n| nobody said this\nno", "On Monday she wrote:\n| nobody said this\nno", 0, 0),
-            ("a\n| unknown\nb\n| second thing\nc\n> lost\nd", "a\n| unknown\nb\nc\nd", 2, 1),
+            ("a\n| unknown\nb\n| second thing\nc\n> lost\nd", "a\n| unknown\nb\nc\n> lost\nd", 2, 1),
             ("> | tea | 3 |\nso", "so", 1, 1), ("| | second thing\ndeep", "deep", 1, 1)]
     df = spark.createDataFrame([(1, i, "user", t[0]) for i, t in enumerate(talk)],
                                "conv_id bigint, turn bigint, role string, text string")
@@ -388,3 +403,15 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) <= largest / 2 for s in names)
     again = mixing.mix_sources(df.repartition(7)).collect()
     assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in again)
+
+
+def test_unlinked_passages_stay(spark):
+    """What begins with quote marks and has no source is code, a list or somebody else's words."""
+    talk = ["first of all", "try\n>>> print(1)\n1\n> $ ls\n» note", "> 5 is larger\n>\n> first of all\nyes",
+            "On Monday she wrote:\n> lost words\nno", "> first of all", ">\nonly marks"]
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(talk)],
+                               "conv_id bigint, turn bigint, role string, text string")
+    out = quotes.link_quotes(df).orderBy("turn").collect()
+    assert [r.text for r in out] == [talk[0], talk[1], talk[2], talk[3], "", "only marks"]
+    assert [(r.n_quotes, r.n_linked, r.reply_to) for r in out] == [
+        (0, 0, None), (2, 0, 0), (1, 0, 1), (1, 0, 2), (1, 1, 0), (0, 0, 4)]
