@@ -238,6 +238,14 @@ ORACLES = {
                          "array_to_string(us[2:], chr(10)) || '</s>' as target from u",
     "scan_books": "select source, 'utf-8' as encoding, sum(length(text) + 1)::bigint as n_chars "
                   "from documents group by source",
+    "scan_books_paths": "select coalesce(source, 'none') as dir, coalesce(source, 'none') || '/' || doc_id || "
+                        "'.txt' as rel_path, doc_id || '.txt' as file_name, case when doc_id % 4 = 1 and "
+                        "length(text) > 0 then 'utf-16' when doc_id % 4 = 3 and regexp_matches(text, "
+                        "'[^\\x00-\\x7F]') then 'gb18030' else 'utf-8' end as encoding, md5(regexp_replace("
+                        "coalesce(text, ''), '\\r\\n?', chr(10), 'g')) as text_md5 from documents",
+    "write_books_files": "select coalesce(source, 'none') || '/' || doc_id || '.txt' as rel_path, "
+                         "strlen(coalesce(text, ''))::bigint as n_bytes, md5(coalesce(text, '')) as content_md5 "
+                         "from documents",
     "read_lines": "select text, count(*) as n from (select unnest(string_split(text, chr(10))) as text "
                   "from documents) group by text",
     "read_any": "select md5(text) as text_md5, length(text) as n_chars from documents",

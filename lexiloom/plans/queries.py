@@ -10,7 +10,7 @@ from ..functions.text import clean_text, python_list_text, split_semicolons, wor
 from ..operators import batch, dialogue, encode, index, pack, sampling, sets, stats, supervised, vocab
 from ..operators.bpe import pair_counts as count_pairs, symbol_words, train_bpe as learn, usable_characters
 from ..operators.layout import spread
-from ..sources import books, cache, json_records, lines, sinks
+from ..sources import books, cache, json_records, lines, sinks, tree
 from ..storage import new_path, write_table
 from . import pretraining, tuning
 
@@ -150,6 +150,40 @@ def scan_books(spark, sf_dir):
         F.sum(F.length("text")).alias("n_chars"))
 
 
+def scan_books_paths(spark, sf_dir):
+    """A file per document, in turn UTF-8, UTF-16, UTF-8 behind a mark, and GB18030."""
+    root = new_path(spark, "encoded")
+    docs = document_files(spark, sf_dir)
+    form = F.col("doc_id") % 4
+
+    @F.pandas_udf("binary")
+    def as_gb18030(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.encode("gb18030"))
+
+    utf8 = F.col("text").cast("binary")
+    content = F.when(form == 1, F.encode("text", "UTF-16")).when(
+        form == 2, F.concat(F.lit(b"\xef\xbb\xbf"), utf8)).when(
+        form == 3, as_gb18030(F.when(form == 3, F.col("text")))).otherwise(utf8)
+    tree.write_tree(docs.select("rel_path", content.alias("content")), root, "content")
+    read = books.decode_books(books.scan_books(spark, root))
+    return read.select("dir", "rel_path", "file_name", "encoding", F.md5("text").alias("text_md5"))
+
+
+def document_files(spark, sf_dir) -> DataFrame:
+    source = F.coalesce("source", F.lit("none"))
+    path = F.concat(source, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("rel_path"),
+                                                    F.coalesce("text", F.lit("")).alias("text"))
+
+
+def write_books_files(spark, sf_dir):
+    root = new_path(spark, "mirrored-files")
+    books.write_books(document_files(spark, sf_dir), root, as_files=True)
+    files = books.scan_books(spark, root)
+    return files.select("rel_path", F.length("content").cast("bigint").alias("n_bytes"),
+                        F.md5("content").alias("content_md5"))
+
+
 def write_books(spark, sf_dir):
     root = new_path(spark, "mirrored")
     suffix = F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")
@@ -560,6 +594,7 @@ QUERIES = {
     "build_prompt": build_prompt,
     "build_prompt_join": build_prompt_join,
     "scan_books": scan_books,
+    "scan_books_paths": scan_books_paths,
     "read_lines": read_lines,
     "read_any": read_any,
     "read_dialogues": read_dialogues,
@@ -569,6 +604,7 @@ QUERIES = {
     "list_json_array": list_json_array,
     "load_or_build": load_or_build,
     "write_books": write_books,
+    "write_books_files": write_books_files,
     "concat_corpus": concat_corpus,
     "text_csv": text_csv,
     "metrics": metrics,

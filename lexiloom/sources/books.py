@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .tree import list_tree, local_root, read_contents, write_tree
+
 ENCODINGS = ("utf-8", "gb18030")
 
 
@@ -28,12 +30,18 @@ def scan_books(spark: SparkSession, root: str, suffix: str = ".txt",
                keep_empty: bool = True) -> DataFrame:
     """Files below ``root`` whose names end in ``suffix`` (case-sensitive), with relative paths.
 
-    Names that begin with a dot or an underscore are hidden to Spark's file listing. Empty files are
-    added from that listing unless ``keep_empty`` is off.
+    A tree on a mount is listed and read by tasks. In other stores Spark lists the files on the driver;
+    there names that begin with a dot or an underscore are hidden, and empty files are added from that
+    listing. ``keep_empty`` leaves empty files out if off.
     """
     root = root.rstrip("/")
     if "/" not in root[:1] and ":" not in root:
         raise ValueError("give the root as an absolute path or URI")
+    mount = local_root(spark, root)
+    if mount is not None:
+        listed = list_tree(spark, mount, suffix)
+        read = read_contents(listed if keep_empty else listed.where("length > 0"), mount)
+        return _named(read.withColumn("path", F.concat(F.lit(f"file:{mount}/"), "rel_path")))
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{suffix}").load(root).select("path", "content")
@@ -41,7 +49,10 @@ def scan_books(spark: SparkSession, root: str, suffix: str = ".txt",
     if keep_empty:
         files = files.unionByName(_empty_files(files))
     start = F.locate(f"{root}/", F.col("path")) + len(root) + 1
-    rel = files.withColumn("rel_path", F.substring("path", start, F.length("path")))
+    return _named(files.withColumn("rel_path", F.substring("path", start, F.length("path"))))
+
+
+def _named(rel: DataFrame) -> DataFrame:
     return rel.select(
         "path", F.regexp_replace("rel_path", "/?[^/]*$", "").alias("dir"), "rel_path",
         F.substring_index("rel_path", "/", -1).alias("file_name"), "content")
@@ -117,13 +128,15 @@ def write_corpus(df: DataFrame, path: str, single_file: bool = False) -> None:
     (texts.coalesce(1) if single_file else texts).write.text(path, lineSep="\n")
 
 
-def write_books(df: DataFrame, root: str, by_dir: bool = False) -> None:
-    """Cleaned books keyed by relative path, or as text below one folder per directory.
+def write_books(df: DataFrame, root: str, by_dir: bool = False, as_files: bool = False) -> None:
+    """Cleaned books keyed by relative path, as text below one folder per directory, or as one file each.
 
-    The input is never deleted. Ranges of directory and path keep small directories in one file and
+    ``as_files`` mirrors the tree: every book is a UTF-8 file under its relative path. The input is never deleted. Ranges of directory and path keep small directories in one file and
     spread a huge one over many.
     """
-    if by_dir:
+    if as_files:
+        write_tree(df, root)
+    elif by_dir:
         ranged = df.repartitionByRange("dir", "rel_path").select("dir", "text")
         ranged.write.partitionBy("dir").text(root, lineSep="\n")
     else:
