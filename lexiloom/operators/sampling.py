@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import REPLICAS, TEST_SHARE
 from ..functions.text import col, hash_key, java_pattern
-from .index import with_row_index, with_shuffled_index
+from .index import running_sum, with_bucket_index, with_row_index, with_shuffled_index
 
-_PREFIX_BITS = 16
+_DIGIT_BITS = 16
+#: Keys of one hash value that are looked through on the driver; further ones are summed in buckets.
+_FIRST_KEYS = 1_000
 
 
 def sample_one_per_dir(df: DataFrame, directory: str, path: str, seed: int = 42,
@@ -47,17 +49,38 @@ def rename_by_regex(df: DataFrame, pattern: str, replacement: str = "",
 
 
 def _exact_threshold(df: DataFrame, key: str, seed: int, test_size: float):
-    """The (hash, key) pair of the last test row, found through a histogram of hash prefixes."""
-    hashed = df.select(hash_key(key, seed).alias("h"), F.col(key).alias("k"))
-    prefix = F.shiftright("h", 32 - _PREFIX_BITS).cast("int")
-    histogram = sorted(tuple(r) for r in hashed.groupBy(prefix.alias("p")).count().collect())
-    wanted = math.ceil(test_size * sum(n for _, n in histogram))
-    for p, n in histogram:
-        if wanted <= n:
-            last = hashed.where(prefix == p).orderBy("h", "k").limit(wanted)
-            return last.agg(F.max(F.struct("h", "k")).alias("t")).first()["t"]
-        wanted -= n
-    return None
+    """The (hash, key) pair of the last test row: digit by digit of the hash, then among its keys.
+
+    A histogram has at most 65,536 rows whatever the input, and no row is sorted to find a digit.
+    """
+    rows = df.select(hash_key(key, seed).alias("h"), F.col(key).alias("k"))
+    wanted, prefix = None, 0
+    for shift in (_DIGIT_BITS, 0):
+        digit = F.shiftright("h", shift)
+        histogram = sorted(tuple(r) for r in rows.groupBy(digit.alias("p")).count().collect())
+        if wanted is None:
+            wanted = math.ceil(test_size * sum(n for _, n in histogram))
+            if not wanted:
+                return None
+        for p, n in histogram:
+            if wanted <= n:
+                break
+            wanted -= n
+        rows, prefix = rows.where(digit == p), p
+    return prefix, _key_at(rows, wanted)
+
+
+def _key_at(rows: DataFrame, wanted: int):
+    """The key ``k`` of the row at the place ``wanted``, counted from 1. Equal keys are one row here."""
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    before = 0
+    for k, n in keys.orderBy("k").limit(_FIRST_KEYS).collect():
+        before += n
+        if wanted <= before:
+            return k
+    indexed = with_bucket_index(keys.withColumn("all", F.lit(0)), ["k"], within=["all"])
+    summed = running_sum(indexed, F.col("n"), "all", "idx", "before")
+    return summed.where((F.col("before") < wanted) & (F.col("before") + F.col("n") >= wanted)).first()["k"]
 
 
 def split_train_test(df: DataFrame, key: str, test_size: float = TEST_SHARE, seed: int = 42,
@@ -73,7 +96,9 @@ def split_train_test(df: DataFrame, key: str, test_size: float = TEST_SHARE, see
         border = _exact_threshold(df, key, seed, test_size)
         if border is None:
             return df.withColumn("split", F.lit("train"))
-        is_test = (hashed < border["h"]) | ((hashed == border["h"]) & (F.col(key) <= border["k"]))
+        last_hash, last_key = border
+        first_keys = F.col(key).isNull() if last_key is None else F.col(key).isNull() | (F.col(key) <= last_key)
+        is_test = (hashed < last_hash) | ((hashed == last_hash) & first_keys)
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 

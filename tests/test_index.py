@@ -84,6 +84,22 @@ def test_split_is_disjoint_and_complete(spark):
     assert abs(hashed.where("split = 'test'").count() - 500) < 100
 
 
+@pytest.mark.parametrize("first", [0, 3, 1000])
+def test_exact_border_among_equal_hashes(spark, monkeypatch, first):
+    """Keys of one hash, repeated and null ones too, are split in their order, on the driver or in buckets."""
+    monkeypatch.setattr(sampling, "_FIRST_KEYS", first)
+    monkeypatch.setattr(sampling, "hash_key", lambda key, seed=42: F.when(F.col(key) > 50, 7 << 16).otherwise(
+        F.lit(9)).cast("bigint"))
+    keys = [None, None] + [i % 53 for i in range(200)] + [30] * 70
+    df = spark.createDataFrame([(k,) for k in keys], "id int")
+    order = sorted(keys, key=lambda k: (9 if k is None or k <= 50 else 7 << 16, k is not None, k or 0))
+    for share in (0.003, 0.2, 0.45, 0.6, 0.99, 1.0):
+        border = order[math.ceil(share * len(order)) - 1]
+        place = max(i for i, k in enumerate(order) if k == border)  # equal keys share their fate
+        test = [r.id for r in sampling.split_train_test(df, "id", share, exact=True).where("split = 'test'").collect()]
+        assert sorted(test, key=str) == sorted(order[:place + 1], key=str)
+
+
 @pytest.mark.parametrize("n", [1, 10, 30, 997])
 def test_exact_split_takes_the_lowest_hashes(spark, n):
     df = spark.range(n)
