@@ -259,11 +259,16 @@ ORACLES = {
                  f"{_PYTHON_LIST} as output from u",
     "list_json_array": f"with {_UTTERANCES} select {_INSTRUCTION} as instruction, us[1] as input, "
                        f"{_PYTHON_LIST} as output from u",
+    "instruction_array_file": f"with {_UTTERANCES} select {_INSTRUCTION} as instruction, us[1] as input, "
+                              f"{_PYTHON_LIST} as output from u",
     "load_or_build": f"select doc_id, {_SPLIT} as split from documents",
     "write_books": f"select {_BOOK} as rel_path, text from documents",
     "concat_corpus": "select row_number() over (order by source, doc_id::varchar, pos) - 1 as line, text "
                      "from (select source, doc_id, unnest(string_split(text, chr(10))) as text, "
                      "generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)",
+    "corpus_file": "select row_number() over (order by source, doc_id::varchar, pos) - 1 as line, text "
+                   "from (select source, doc_id, unnest(string_split(text, chr(10))) as text, "
+                   "generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)",
     "text_csv": f"with {_UTTERANCES} select {_CHAT} as text from u",
     "metrics": f"select count(*) filter (where s = 'train') as train_samples, count(*) filter "
                f"(where s = 'test') as eval_samples from (select {_SPLIT} as s from documents)",

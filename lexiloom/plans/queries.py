@@ -267,6 +267,26 @@ def list_json_array(spark, sf_dir):
     return read.withColumn("output", python_list_text("output"))
 
 
+def instruction_array_file(spark, sf_dir):
+    """The same records as one file that is one array."""
+    folder = new_path(spark, "instruction-file")
+    records = dialogue.dialogue_to_instruction(dialogues(spark, sf_dir))
+    sinks.write_instruction_array(records, f"{folder}/records.json", ["conv_id"])
+    read = json_records.list_json(spark, folder, json_records.instruction_schema(True), glob=None)
+    return read.withColumn("output", python_list_text("output"))
+
+
+def corpus_file(spark, sf_dir):
+    """The joined corpus as one file: the line numbers come from places in it."""
+    folder = new_path(spark, "corpus-file")
+    named = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("dir"), F.col("doc_id").cast("string").alias("file_name"), "text")
+    books.write_corpus(named, folder, single_file=True)
+    placed = lines.positioned_lines(spark, folder).select("file", "block", "pos", "value")
+    return index.with_row_index(placed, ["file", "block", "pos"], "line").select(
+        "line", F.col("value").alias("text"))
+
+
 def text_csv(spark, sf_dir):
     path = new_path(spark, "chat-csv")
     sinks.write_text_csv(render_chat(spark, sf_dir), path)
@@ -602,10 +622,12 @@ QUERIES = {
     "read_framed_json": read_framed_json,
     "list_json": list_json,
     "list_json_array": list_json_array,
+    "instruction_array_file": instruction_array_file,
     "load_or_build": load_or_build,
     "write_books": write_books,
     "write_books_files": write_books_files,
     "concat_corpus": concat_corpus,
+    "corpus_file": corpus_file,
     "text_csv": text_csv,
     "metrics": metrics,
     "sample_one_per_dir": sample_one_per_dir,

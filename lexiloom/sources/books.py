@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .tree import list_tree, local_root, read_contents, write_tree
+from .tree import list_tree, local_root, read_contents, write_one_file, write_tree
 
 ENCODINGS = ("utf-8", "gb18030")
 
@@ -120,12 +120,17 @@ def concat_corpus(df: DataFrame) -> DataFrame:
 
 
 def write_corpus(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write the joined corpus; its part files follow the order. One file only on request.
+    """Write the joined corpus; its part files follow the order. One file, ``corpus.txt``, only on request.
 
-    The sink itself ends every book with the line break.
+    The sink itself ends every book with the line break. On a mount many tasks write the one file; in
+    other stores, which take a file from one writer only, one task does.
     """
     texts = _in_order(df).select("text")
-    (texts.coalesce(1) if single_file else texts).write.text(path, lineSep="\n")
+    mount = local_root(df.sparkSession, path)
+    if single_file and mount is not None:
+        write_one_file(texts, f"{mount}/corpus.txt")
+    else:
+        (texts.coalesce(1) if single_file else texts).write.text(path, lineSep="\n")
 
 
 def write_books(df: DataFrame, root: str, by_dir: bool = False, as_files: bool = False) -> None:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .tree import write_one_file
 
 
 def write_instruction_json(df: DataFrame, path: str) -> None:
@@ -10,6 +14,12 @@ def write_instruction_json(df: DataFrame, path: str) -> None:
     df.select("instruction", "input", "output").write.json(path, ignoreNullFields=False)
 
 
+def write_instruction_array(df: DataFrame, path: str, order_by: Sequence[str | Column]) -> None:
+    """One file on a mount that is one JSON array of the records in order; many tasks write it."""
+    record = F.to_json(F.struct("instruction", "input", "output"), {"ignoreNullFields": "false"})
+    write_one_file(df.orderBy(*order_by).select(record), path, ",\n", "[\n", "\n]\n")
+
+
 def write_text_csv(df: DataFrame, path: str) -> None:
     """One ``text`` column with header; line breaks, quotes and empty texts survive."""
     df.select("text").write.csv(path, header=True, escape='"', emptyValue='""', nullValue="\\N")

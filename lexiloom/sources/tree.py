@@ -9,6 +9,7 @@ failed leaves nothing there.
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
 import zlib
@@ -230,3 +231,60 @@ def write_tree(df: DataFrame, root: str, content: str = "text", overwrite: bool
     spark.dataSource.register(TreeSource)
     rows = df.select("rel_path", F.col(content).cast("binary").alias("content")).repartition("rel_path")
     rows.write.format(TreeSource.name()).mode("overwrite" if overwrite else "append").save(path)
+
+
+def write_one_file(lines: DataFrame, target: str, separator: str = "\n", begin: str = "", end: str | None = None) -> None:
+    """The one text column of sorted rows as one file: tasks write parts and copy them to their places in it.
+
+    Every row is followed by the separator; with ``end`` the last one is followed by that instead. The file
+    appears whole or not at all. ``target`` is a path on a mount that all executors have; a file that is
+    there already is an error.
+    """
+    spark = lines.sparkSession
+    path = local_root(spark, target)
+    if path is None:
+        raise ValueError(f"not on a mount: {target}")
+    if os.path.lexists(path):
+        raise FileExistsError(f"there already: {path}")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    staging = os.path.join(os.path.dirname(path), _STAGING + uuid.uuid4().hex)
+    try:
+        lines.write.text(f"file:{staging}/parts", lineSep=separator)
+        _join_parts(spark, f"{staging}/parts", f"{staging}/whole", begin.encode(), separator.encode(), end)
+        os.replace(f"{staging}/whole", path)
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
+
+
+def _join_parts(spark: SparkSession, folder: str, target: str, begin: bytes, separator: bytes, end: str | None) -> None:
+    numbers = {name: re.match(r"part-(\d+)", name) for name in os.listdir(folder)}
+    names = sorted((name for name, found in numbers.items() if found), key=lambda name: int(numbers[name][1]))
+    sizes = [os.path.getsize(os.path.join(folder, name)) for name in names]
+    whole = len(begin) + sum(sizes) - (len(separator) if end is not None and any(sizes) else 0)
+    places, at = [], len(begin)
+    for name, size in zip(names, sizes):
+        if size:
+            places.append((name, at, min(size, whole - at)))
+        at += size
+    with open(target, "wb") as file:
+        file.write(begin)
+        file.truncate(whole)
+        file.seek(whole)
+        file.write((end or "").encode())
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at, size in zip(*(column.to_pylist() for column in batch.columns)):
+                with open(os.path.join(folder, name), "rb") as source, open(target, "r+b") as file:
+                    file.seek(at)
+                    for start in range(0, size, BATCH_BYTES):
+                        file.write(source.read(min(BATCH_BYTES, size - start)))
+                    file.flush()
+                    os.fsync(file.fileno())
+            yield pa.RecordBatch.from_arrays([batch.column(2)], ["size"])
+
+    if places:
+        dealt = spark.createDataFrame(places, "name string, at bigint, size bigint").repartition(len(places))
+        copied = dealt.mapInArrow(copy, "size bigint").agg(F.sum("size")).first()[0]
+        if copied != whole - len(begin):
+            raise OSError(f"copied {copied} of {whole - len(begin)} bytes")

@@ -1,11 +1,12 @@
 """Trees listed, read and written by tasks."""
 
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.sources import books, tree
+from lexiloom.sources import books, sinks, tree
 
 
 def put(root, names):
@@ -88,3 +89,24 @@ def test_attempts_that_failed(tmp_path):
     assert not (tmp_path / "x").exists()
     writer.commit([writer.write(iter([batch])), writer.write(iter([]))])
     assert files(tmp_path) == {"x/1.txt": b"one"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 2000])
+def test_one_file_from_many_tasks(spark, tmp_path, monkeypatch, n):
+    """Parts of any size, empty ones too, meet at their seams."""
+    monkeypatch.setattr(tree, "BATCH_BYTES", 7)
+    rows = [(i, f"q{i} é", None if i % 3 else "", "b,\n]" * (i % 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, instruction string, input string, output string").repartition(7)
+    path = str(tmp_path / "out" / "all.json")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_instruction_array(df, path, ["id"])
+        tree.write_one_file(df.orderBy("id").select("instruction"), str(tmp_path / "out" / "all.txt"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with open(path, encoding="utf-8") as file:
+        assert [(r["instruction"], r["input"], r["output"]) for r in json.load(file)] == [r[1:] for r in rows]
+    assert (tmp_path / "out" / "all.txt").read_text() == "".join(r[1] + "\n" for r in rows)
+    assert sorted(os.listdir(tmp_path / "out")) == ["all.json", "all.txt"]
+    with pytest.raises(FileExistsError):
+        sinks.write_instruction_array(df, path, ["id"])
