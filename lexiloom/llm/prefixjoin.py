@@ -195,7 +195,8 @@ class _Join:
 
     def with_first(self, places: DataFrame) -> DataFrame:
         """For every class ``b`` one of those that stand first for its n-grams, past the filters: the ``a`` that does so
-        for most of them. One partner joins near copies to their group, and what it leaves apart meets later."""
+        for most of them. One partner joins near copies to their group. What it leaves apart meets later, also where an n-gram has two classes
+        only and the second chose another partner."""
         met = places.where("a != node").where(_may_link(self.percent)).groupBy("node", "a").agg(F.count("*").alias("c"))
         best = met.groupBy("node").agg(F.max(F.struct("c", "a")).alias("best"))
         return best.select("best.a", F.col("node").alias("b"))
@@ -217,7 +218,7 @@ class _Join:
             F.sum(F.when(outside, F.col("c"))).alias("others"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
             F.max("reach").alias("reach"), F.min(F.when(outside, F.col("lo"))).alias("o_lo"),
             F.max(F.when(outside, F.col("hi"))).alias("o_hi"), F.max(F.when(outside, F.col("reach"))).alias("o_reach"),
-            F.count("*").alias("labels")).where("labels > 1 and all > 2")
+            F.count("*").alias("labels")).where("labels > 1")
         rows = labelled.join(opened, "token").where(
             f"if(label = top, {_may_meet('o_lo', 'o_hi', 'o_reach', self.percent)}, "
             f"{_may_meet('lo', 'hi', 'reach', self.percent)})")

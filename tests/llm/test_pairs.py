@@ -102,6 +102,23 @@ def test_prefix_join_odd_rows(spark, odd_documents):
     assert got == sorted(want, key=repr)
 
 
+def test_prefix_join_other_partner(spark):
+    """Two sets that only share n-grams nobody else has, while each shares more of its prefix with a third set."""
+    rows = []
+    for k in range(12):
+        def names(kind, n):
+            return [f"{kind}{k}x{i}" for i in range(n)]
+
+        common, left, right = names("c", 89), names("l", 95), names("r", 95)
+        shared, own, other = names("s", 6), names("a", 5), names("b", 5)
+        sets = [common + shared + own, common + shared + other, own + left, other + right]
+        # These make the words of the last lists frequent, and with their own words they meet nothing.
+        sets += [common + left + right + names(f"f{i}x", 100) for i in range(4)]
+        rows += [(8 * k + i, " ".join(words)) for i, words in enumerate(sets)]
+    got = prefixjoin.join_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - (i % 8 == 1) for i, _ in rows}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.sampled_from([50, 80, 90, 100]))
 def test_suffix_filter(x, y, percent):
