@@ -1,17 +1,20 @@
 """Text to token ids and back with a vocabulary table.
 
 Encoding is one narrow pass: the vocabulary (bounded, checked) is broadcast and each Arrow batch is
-segmented by itself, so no token is ever shuffled and a frequent word costs one lookup.
+segmented by itself, so no token is ever shuffled and a frequent word costs one lookup. A worker takes a
+batch apart slice by slice, so what it holds depends neither on the batch nor on the length of a text.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.fixed import BOS_ID, EOS_ID, SPECIALS, UNK_ID, WHITESPACE, WORD_MARK
@@ -21,6 +24,8 @@ from ..functions.text import col
 MAX_VOCAB = 2_000_000
 _MEMO_WORDS = 500_000
 _MEMO_IDS = 8_000_000
+#: Bytes of texts and number of words taken at a time: words in Python take ten times the memory of their text.
+_SLICE_BYTES, _STRETCH = 1 << 19, 1 << 16
 _SHORT_WORD = 48
 _SPECIAL = re.compile("(" + "|".join(re.escape(s) for s in SPECIALS) + ")")
 _WORD = re.compile(f"[^{re.escape(WHITESPACE)}]+")
@@ -66,8 +71,8 @@ class _Numbers(dict):
 
 
 class BatchEncoder:
-    """Ids of the texts of a batch. Every distinct word is segmented once, and the ids of a batch are taken
-    from those of its words in one step.
+    """Ids of texts. Every distinct word is segmented once, and the ids of a stretch of words are taken from those
+    of its distinct ones in one step. A memo that has grown too large is begun anew between two stretches.
 
     Where the vocabulary has all byte pieces, an unknown character is written as its bytes, else a run
     of them as one unknown piece. Literal special pieces and marks in a text stand among the words as tuples.
@@ -113,65 +118,155 @@ class BatchEncoder:
                 found.append(i)
         return found
 
-    def words(self, text: str) -> list:
+    def words(self, text: str) -> Iterable:
         if not self.literals or not _SPECIAL.search(text):
             return self.plain(text)
-        out: list = []
+        return self.parsed(text)
+
+    def parsed(self, text: str) -> Iterator:
         for part in _SPECIAL.split(text):
             if (part,) in self.special:
-                out.append((part,))
+                yield (part,)
             else:
-                out += self.plain(part)
-        return out
+                yield from self.plain(part)
+
+    def plain(self, text: str) -> Iterable:
+        return self.spaced(text) if self.keep_spaces else _found(_WORD, text)
 
-    def plain(self, text: str) -> list:
-        if not self.keep_spaces:
-            return _WORD.findall(text)
-        out: list = []
+    def spaced(self, text: str) -> Iterator:
         for i, stretch in enumerate(text.split(WORD_MARK) if text else ()):
             if i:
-                out.append((WORD_MARK,))
+                yield (WORD_MARK,)
             marked = stretch.replace(" ", WORD_MARK)
-            out += _CHUNK.findall(marked if i else WORD_MARK + marked)
-        return out
+            yield from _found(_CHUNK, marked if i else WORD_MARK + marked)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each text ends."""
+    def numbered(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """The numbers of all words in stretches, each with the places in it where a text ends."""
+        at, ended = array("i"), []
+        for text in texts:
+            words, more = iter(self.words(text) if text else ()), True
+            while more:
+                before = len(at)
+                at.extend(map(self.numbers.__getitem__, islice(words, _STRETCH)))
+                more = len(at) == before + _STRETCH
+                if not more:
+                    ended.append(len(at))
+                if len(at) >= _STRETCH:
+                    yield np.asarray(at), ended
+                    at, ended = array("i"), []
+                    if len(self.numbers) > _MEMO_WORDS or len(self.pool) > _MEMO_IDS:
+                        self.clear()
+        yield np.asarray(at), ended
         if len(self.numbers) > _MEMO_WORDS or len(self.pool) > _MEMO_IDS:
             self.clear()
-        words: list = []
-        upto = [0]
-        for text in texts:
-            if text:
-                words += self.words(text)
-            upto.append(len(words))
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        ends, pool = np.array(self.ends), np.array(self.pool, np.int32)
-        lengths = np.diff(ends)[at]
+
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered words one after another, and where each word ends."""
+        # Views: an array cannot grow while one is left.
+        ends, pool = np.asarray(self.ends), np.asarray(self.pool)
+        starts = ends[at]
+        lengths = ends[at + 1] - starts
         after = np.concatenate([[0], np.cumsum(lengths)])
-        places = np.arange(after[-1]) + np.repeat(ends[at] - after[:-1], lengths)
-        return pool[places], after[upto]
+        places = np.arange(after[-1]) + np.repeat(starts - after[:-1], lengths)
+        return pool[places], after
 
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text ends."""
+        parts, upto, total = [], [np.zeros(1, np.int64)], 0
+        for at, ended in self.numbered(texts):
+            ids, after = self.taken(at)
+            parts.append(ids)
+            upto.append(total + after[ended])
+            total += len(ids)
+        return np.concatenate(parts), np.concatenate(upto)
 
-def token_ids(spark, vocab: DataFrame, text: str | Column, parse_literals: bool = True,
-              keep_spaces: bool = False) -> Column:
-    """Ids of a text column, without begin and end marks."""
-    shared = spark.sparkContext.broadcast({"rows": vocab_rows(vocab)})
+
+class BatchCounter(BatchEncoder):
+    """Numbers of tokens and of unknowns of texts in several vocabularies at once. Words are the same in all of
+    them, so a text is taken apart once, and of a distinct word only its numbers are kept."""
+
+    def __init__(self, vocabs: list[list[tuple[int, str, float]]], literals: bool = True, keep_spaces: bool = False):
+        self.encoders = [BatchEncoder(rows, literals, keep_spaces) for rows in vocabs]
+        super().__init__(vocabs[0], literals, keep_spaces)
+
+    def add(self, word: str | tuple[str]) -> None:
+        for encoder in self.encoders:
+            ids = encoder.segment(word)
+            self.pool.extend((len(ids), ids.count(UNK_ID)))
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """A row per text: tokens and unknowns in the first vocabulary, in the second, and so on."""
+        width = 2 * len(self.encoders)
+        total, upto = np.zeros((1, width), np.int64), [np.zeros((1, width), np.int64)]
+        for at, ended in self.numbered(texts):
+            sums = np.asarray(self.pool).reshape(-1, width)[at].cumsum(axis=0, dtype=np.int64)
+            sums = np.concatenate([total, total + sums])
+            upto.append(sums[ended])
+            total = sums[-1:]
+        return np.diff(np.concatenate(upto), axis=0)
+
+
+def _found(pattern: re.Pattern, text: str) -> Iterable[str]:
+    """All matches, those of a long text one at a time."""
+    if len(text) <= _SLICE_BYTES:
+        return pattern.findall(text)
+    return map(re.Match.group, pattern.finditer(text))
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts of a batch in slices of at most ``_SLICE_BYTES``, longer texts alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + _SLICE_BYTES, "right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
+def _by_slices(shared, make, result, kind: T.DataType):
+    """An Arrow function of texts: ``result`` of every slice, by what ``make`` makes of the broadcast value."""
 
     def batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # A worker keeps its copy of the broadcast, and with it the words of its earlier tasks.
         held = shared.value
         if "encoder" not in held:
-            held["encoder"] = BatchEncoder(held["rows"], parse_literals, keep_spaces)
+            held["encoder"] = make(held["rows"])
         for batch in texts:
-            ids, ends = held["encoder"].encode(batch.to_pylist())
-            yield pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(ids),
-                mask=batch.is_null() if batch.null_count else None)
+            for part in _slices(batch):
+                yield result(held["encoder"], part)
 
     # The annotations pick the iterator form; they must be real classes here.
     batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(batches, T.ArrayType(T.IntegerType()))(col(text))
+    return F.arrow_udf(batches, kind)
+
+
+def token_ids(spark, vocab: DataFrame, text: str | Column, parse_literals: bool = True,
+              keep_spaces: bool = False) -> Column:
+    """Ids of a text column, without begin and end marks."""
+    shared = spark.sparkContext.broadcast({"rows": vocab_rows(vocab)})
+
+    def ids_of(encoder: BatchEncoder, texts: pa.Array) -> pa.Array:
+        ids, ends = encoder.encode(texts.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids),
+                                        mask=texts.is_null() if texts.null_count else None)
+
+    encoded = _by_slices(shared, lambda rows: BatchEncoder(rows, parse_literals, keep_spaces), ids_of,
+                         T.ArrayType(T.IntegerType()))
+    return encoded(col(text))
+
+
+def token_counts(spark, vocabs: list[DataFrame], text: str | Column) -> Column:
+    """Tokens and unknowns of a text column in each vocabulary, as one array; null for null."""
+    shared = spark.sparkContext.broadcast({"rows": [vocab_rows(vocab) for vocab in vocabs]})
+
+    def counts_of(counter: BatchCounter, texts: pa.Array) -> pa.Array:
+        counts = counter.count(texts.to_pylist())
+        ends = np.arange(len(texts) + 1) * counts.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts.ravel()),
+                                        mask=texts.is_null() if texts.null_count else None)
+
+    return _by_slices(shared, BatchCounter, counts_of, T.ArrayType(T.LongType()))(col(text))
 
 
 def special_tokens(ids: Column, add_bos: bool, add_eos: bool) -> Column:
@@ -259,17 +354,14 @@ def compare_vocabs(df: DataFrame, vocabs: dict[str, DataFrame], by: list[str] =
                    text: str = "text") -> DataFrame:
     """Tokens, characters, tokens per character and share of unknowns, per vocabulary and group.
 
-    All vocabularies read the text in one scan; only sums leave a task.
+    All vocabularies take their counts from one pass over the words of a text; no ids leave a worker.
     """
-    spark = df.sparkSession
-    ids = {name: token_ids(spark, vocab, text) for name, vocab in vocabs.items()}
-    encoded = df.select(*by, F.length(text).alias("_chars"),
-                        *[c.alias(f"_ids_{name}") for name, c in ids.items()])
-    unknown = {n: F.size(F.filter(f"_ids_{n}", lambda i: i == UNK_ID)) for n in vocabs}
-    per_vocab = encoded.select(*by, "_chars", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("vocab"), F.size(f"_ids_{n}").alias("tokens"),
-                 unknown[n].alias("unknown"))
-        for n in vocabs])).alias("v")).select(*by, "_chars", "v.*")
+    counted = df.select(*by, F.length(text).alias("_chars"),
+                        token_counts(df.sparkSession, list(vocabs.values()), text).alias("_counts"))
+    per_vocab = counted.select(*by, "_chars", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("vocab"), F.get("_counts", F.lit(2 * i)).alias("tokens"),
+                 F.get("_counts", F.lit(2 * i + 1)).alias("unknown"))
+        for i, n in enumerate(vocabs)])).alias("v")).select(*by, "_chars", "v.*")
     summed = per_vocab.groupBy("vocab", *by).agg(
         F.sum("tokens").alias("n_tokens"), F.sum("_chars").alias("n_chars"),
         F.sum("unknown").alias("n_unknown"))

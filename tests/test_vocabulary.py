@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -315,3 +316,25 @@ def test_any_text_comes_back(spark):
 def test_short_words_merge_as_long_ones(word, ranks):
     rules = {piece: (rank, piece) for piece, rank in ranks.items()}
     assert merging.merge_short(word, ranks) == merging.merge_neighbours(word, rules.get)
+
+
+def test_slices_and_stretches(monkeypatch):
+    """What is taken at a time is bounded, and the same ids come out however texts are cut."""
+    pieces = [(i, p, 0.0 if i < 3 else -float(i)) for i, p in enumerate(["<unk>", "<s>", "</s>", "▁", "a", "b", "▁a", "ab", "▁ab"])]
+    texts = ["ab a  b", None, "", "x" * 50, " ".join(f"a{i % 7}b" for i in range(400)), "<s>ab</s> b\nab ▁a"] * 3
+    whole = {spaces: encode.BatchEncoder(pieces, True, spaces).encode(texts) for spaces in (False, True)}
+    monkeypatch.setattr(encode, "_SLICE_BYTES", 64)
+    monkeypatch.setattr(encode, "_STRETCH", 5)
+    monkeypatch.setattr(encode, "_MEMO_WORDS", 3)
+    for spaces, (ids, ends) in whole.items():
+        encoder = encode.BatchEncoder(pieces, True, spaces)
+        stretches = [len(at) for at, _ in encoder.numbered(texts)]
+        assert max(stretches) < 2 * 5 and len(encoder.numbers) <= 3 + 2 * 5
+        got, upto = encoder.encode(texts)
+        assert got.tolist() == ids.tolist() and upto.tolist() == ends.tolist()
+        counts = encode.BatchCounter([pieces, pieces[:-1]], True, spaces).count(texts)
+        rows = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+        assert counts[:, :2].tolist() == [[len(r), r.count(0)] for r in rows]
+    parts = list(encode._slices(pa.array(texts)))
+    assert [t for part in parts for t in part.to_pylist()] == texts
+    assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part.to_pylist()) <= 64 for part in parts)
