@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lexiloom.sources import json_records
+from lexiloom.sources import json_records, structure
 from test_sources import FRAMED, reference_frames
 
 ODD = ["", "]", "[[", '"', '\\"]', "a,b", "{}", "}\n{", "\\", "文；𠀀", "] , [", "\t", '"]"']
@@ -87,3 +87,28 @@ def test_a_file_of_closes_stays_linear(spark, tmp_path):
     rows = json_records.read_framed_json(spark, str(tmp_path))
     n, size = rows.select(F.count("*"), F.sum(F.length("_corrupt"))).first()
     assert n == 20_000 and size < 100_000
+
+
+def test_stretches_of_a_split(spark, tmp_path, monkeypatch):
+    """A split of many rows is no unit of its own: strings and depth are carried from stretch to stretch."""
+    monkeypatch.setattr(structure, "_STRETCH_BITS", 2)
+    good = "".join(f'{{"original_text": "{i} }}\n{{",\n"ans": "{i}"}}\n' for i in range(20))
+    (tmp_path / "a.json").write_text(good)
+    lines = json_records.positioned_lines(spark, str(tmp_path))
+    state = structure.with_structure(lines, F.col("value").rlike(r"^\{"), F.col("value"), F.col("value").rlike(r"\}$"))
+    sizes = state.groupBy(*structure._SPLIT).count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) <= 4
+    arrays = tmp_path / "arrays"
+    arrays.mkdir()
+    want = write_arrays(arrays, lambda r: [r.choice(ODD) for _ in range(r.randrange(4))], True)
+    got = {}
+    for r in json_records.read_dialogues(spark, str(arrays)).collect():
+        got.setdefault(r.file.rsplit("/", 1)[-1], []).append((r.conv_id, r.utterances))
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v)) for k, v in want.items() if v}
+    frames = tmp_path / "frames"
+    frames.mkdir()
+    (frames / "f.json").write_text(FRAMED * 5)
+    want_good, want_bad = reference_frames(FRAMED * 5)
+    rows = json_records.read_framed_json(spark, str(frames)).collect()
+    assert sorted((r.original_text, r.equation, r.ans) for r in rows if r._corrupt is None) == sorted(want_good)
+    assert sum(r._corrupt is not None for r in rows) == want_bad
