@@ -22,13 +22,15 @@ If there are too many distinct runs, fewer candidates are taken; a single one ne
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import CHARACTER_COVERAGE, SPECIALS, VOCAB_SIZE, WORD_MARK
 from ..functions.merging import merge_neighbours
@@ -40,9 +42,11 @@ _LAST_MERGED = 0x10FFFD
 _UNKNOWN = " "
 _FIRST_CANDIDATES = 64
 _MAX_CANDIDATES = 8192
-_MAX_RUNS = 50_000
+_MAX_RUNS = 100_000
 _WORDS_PER_TASK = 20_000
 _SHORT_WORD = 32
+#: Words of an Arrow batch, and neighbours whose codes are counted in one step.
+_BATCH_WORDS, _COUNTED_AT_ONCE = 20_000, 1 << 21
 #: Bits of a code point.
 _CODE_BITS = 21
 MIN_COUNT = 2
@@ -80,6 +84,18 @@ class Symbols:
         return self.symbol_of[joined]
 
 
+@contextmanager
+def wide_batches(spark: SparkSession) -> Iterator[None]:
+    """Words are short, and what a batch costs besides them should not count."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(_BATCH_WORDS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def usable_characters(chars: DataFrame) -> tuple[list[str], str]:
     """Kept characters, the most frequent first, and all others; at most the size of Unicode."""
     rows = sorted(chars.collect(), key=lambda r: (-r.n, r.ch))
@@ -112,32 +128,43 @@ def merge_word(word: str, rules: dict[str, tuple[int, str]]) -> str:
 
 @dataclass
 class _Batch:
-    """Words of an Arrow batch as one text with barriers between them, and the codes of all neighbours."""
+    """Words of an Arrow batch as one text, and the codes of all neighbours, -1 at a barrier or after a word."""
 
-    words: list[str]
     counts: np.ndarray
+    lengths: np.ndarray
     text: str
     pairs: np.ndarray
-    starts: np.ndarray
 
     @classmethod
-    def read(cls, batch: pa.RecordBatch) -> _Batch:
-        words = batch.column(0).to_pylist()
-        text = _UNKNOWN.join(words)
+    def read(cls, words: pa.Array, counts: pa.Array) -> _Batch:
+        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_py()
         symbols = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        pairs = symbols[:-1] << _CODE_BITS | symbols[1:]
+        pairs = np.full(len(symbols), -1, np.int64)
+        pairs[:-1] = symbols[:-1] << _CODE_BITS | symbols[1:]
         barrier = symbols == ord(_UNKNOWN)
-        pairs[barrier[:-1] | barrier[1:]] = -1
-        lengths = np.array([len(w) for w in words], np.int64)
-        return cls(words, batch.column(1).to_numpy(), text, pairs, np.cumsum(lengths + 1) - lengths - 1)
+        pairs[barrier] = -1
+        pairs[:-1][barrier[1:]] = -1
+        pairs[np.cumsum(lengths)[lengths > 0] - 1] = -1
+        return cls(counts.to_numpy(zero_copy_only=False), lengths, text, pairs)
 
     def word_at(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, places, "right") - 1
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)[places]
 
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        """Whether each pair of neighbours is one of the sorted ``codes``."""
+    def runs(self, codes: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """Where stretches begin in which all neighbours are among the sorted ``codes``, and their texts."""
         at = np.minimum(np.searchsorted(codes, self.pairs), len(codes) - 1)
-        return codes[at] == self.pairs
+        edges = np.diff((codes[at] == self.pairs).astype(np.int8), prepend=0, append=0)
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) + 1
+        return starts, [self.text[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+
+
+def _cut(text: str, lengths: np.ndarray) -> pa.Array:
+    """A text taken apart into words of these lengths."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    offsets = begins[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def _codes(pairs: list[str]) -> np.ndarray:
@@ -148,26 +175,39 @@ def _text_of(code: int) -> str:
     return chr(code >> _CODE_BITS) + chr(code & ((1 << _CODE_BITS) - 1))
 
 
-def merged_words(table: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def merged_words(table: DataFrame, candidates: list[str], merged: Callable[[str], str | None]) -> DataFrame:
     """``symbols, n, was`` after a round; ``was`` is a changed word before, null for the others.
 
-    A word can only hold a merged pair that it held at the start of the round, or one made of it, so those
-    pairs find all words that change, and only these are taken apart.
+    All that merges in a round lies inside the runs of its candidates, so a word changes by what became of its
+    runs on the driver: ``merged`` gives the text of a run afterwards, None if it stays as it was.
     """
-    shared = {pair: (i, symbol) for i, (pair, symbol) in enumerate(rules)}
-    made = {symbol for _, symbol in rules}
-    first = _codes([pair for pair, _ in rules if not made & set(pair)] or [pair for pair, _ in rules])
+    listed = _codes(candidates)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            read = _Batch.read(batch)
-            words, was = list(read.words), [None] * len(read.words)
-            for i in np.unique(read.word_at(np.flatnonzero(read.places(first)))).tolist():
-                words[i], was[i] = merge_word(read.words[i], shared), read.words[i]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), batch.column(1), pa.array(was, pa.string())], ["symbols", "n", "was"])
+            words, counts = batch.columns
+            read = _Batch.read(words, counts)
+            parts, last, places, shorter = [], 0, [], []
+            starts, runs = read.runs(listed)
+            for start, run in zip(starts.tolist(), runs):
+                after = merged(run)
+                if after is not None:
+                    parts += (read.text[last:start], after)
+                    last = start + len(run)
+                    places.append(start)
+                    shorter.append(len(run) - len(after))
+            was = pa.nulls(len(words), pa.string())
+            if places:
+                at = read.word_at(np.array(places, np.int64))
+                lengths = read.lengths.copy()
+                np.subtract.at(lengths, at, np.array(shorter, np.int64))
+                changed = np.zeros(len(words), bool)
+                changed[at] = True
+                was = pc.if_else(pa.array(changed), words, was)
+                words = _cut("".join(parts) + read.text[last:], lengths)
+            yield pa.RecordBatch.from_arrays([words, counts, was], ["symbols", "n", "was"])
 
     return table.select("symbols", "n").mapInArrow(merge, "symbols string, n bigint, was string")
 
@@ -177,28 +217,44 @@ def pair_counts(symbol_table: DataFrame) -> DataFrame:
     return exploded.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def changed_counts(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Pair counts after a round: those before, and what the words that changed add and take away.
-
-    A pair's count only falls after the round that made it, so pairs too rare to merge are dropped.
-    """
+def coded_counts(table: DataFrame) -> DataFrame:
+    """``pair, n``: how often each pair of neighbours is in ``symbols``, less how often it is in ``was`` where that
+    column is there. A pair is the number its two code points make."""
+    columns = [c for c in ("symbols", "was") if c in table.columns]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            sums = np.zeros(len(codes), np.int64)
+            np.add.at(sums, at, np.concatenate([n for _, n in held]))
+            held.clear()
+            keep = np.flatnonzero(sums)
+            return pa.RecordBatch.from_arrays([pa.array(codes[keep]), pa.array(sums[keep])], ["pair", "n"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            read = _Batch.read(batch)
-            codes, at = np.unique(read.pairs, return_inverse=True)
-            held = np.flatnonzero(read.pairs >= 0)
-            sums = np.zeros(len(codes), np.int64)
-            np.add.at(sums, at[held], read.counts[read.word_at(held)])
-            keep = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_text_of(c) for c in codes[keep].tolist()], pa.string()), pa.array(sums[keep])], ["pair", "n"])
+            for sign, words in zip((1, -1), batch.columns[1:]):
+                read = _Batch.read(words, batch.column(0))
+                places = np.flatnonzero(read.pairs >= 0)
+                held.append((read.pairs[places], sign * read.counts[read.word_at(places)]))
+            if sum(len(codes) for codes, _ in held) > _COUNTED_AT_ONCE:
+                yield flush()
+        if held:
+            yield flush()
 
-    changed = table.where("was is not null")
-    gone = changed.select(F.col("was").alias("symbols"), (-F.col("n")).alias("n"))
-    moves = changed.select("symbols", "n").union(gone).mapInArrow(count, "pair string, n bigint")
+    found = table.select("n", *columns).mapInArrow(count, "pair bigint, n bigint")
+    return found.groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def changed_counts(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pair counts after a round: those before, and what the words that changed add and take away.
+
+    A pair's count only falls after the round that made it, so pairs too rare to merge are dropped.
+    """
+    moves = coded_counts(table.where("was is not null"))
     return pairs.union(moves).groupBy("pair").agg(F.sum("n").alias("n")).where(f"n >= {MIN_COUNT}")
 
 
@@ -207,42 +263,42 @@ def _rank(pair: str, n: int) -> tuple:
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
-    left, right = F.substring("pair", 1, 1), F.substring("pair", 2, 1)
+    """Coded pairs, the best first."""
+    left, right = F.shiftright("pair", _CODE_BITS), F.col("pair").bitwiseAND((1 << _CODE_BITS) - 1)
     return pairs.orderBy(F.desc("n"), F.greatest(left, right), left, right)
 
 
 def candidate_runs(symbol_table: DataFrame, candidates: list[str]) -> DataFrame:
-    """Distinct stretches of words in which all neighbours are candidates, with their counts."""
-    listed = _codes(candidates)
+    """Distinct stretches of words in which all neighbours are candidates, with their counts.
 
-    def flush(counts: Counter[str]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["run", "n"])
-        counts.clear()
-        return out
+    A task that finds more than ``_MAX_RUNS`` of them stops: that many are no use, whatever the others find.
+    """
+    listed = _codes(candidates)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            read = _Batch.read(batch)
-            edges = np.diff(read.places(listed).astype(np.int8), prepend=0, append=0)
-            starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            weights = read.counts[read.word_at(starts)].tolist()
-            for start, end, n in zip(starts.tolist(), ends.tolist(), weights):
-                counts[read.text[start:end + 1]] += n
+            read = _Batch.read(*batch.columns)
+            starts, runs = read.runs(listed)
+            for run, n in zip(runs, read.counts[read.word_at(starts)].tolist()):
+                counts[run] += n
             if len(counts) > _MAX_RUNS:
-                yield flush(counts)
-        yield flush(counts)
+                break
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["run", "n"])
 
     stretches = symbol_table.select("symbols", "n").mapInArrow(cut, "run string, n bigint")
     return stretches.groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def merge_in_runs(runs: list[tuple[str, int]], bound: tuple, symbols: Symbols,
-                  n_pieces: int) -> list[tuple[str, str]]:
-    """Merge pair by pair while the best pair ranks above ``bound``; returns the rules made."""
+def merge_in_runs(runs: list[tuple[str, int]], bound: tuple, symbols: Symbols, n_pieces: int,
+                  merged: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """Merge pair by pair while the best pair ranks above ``bound``; returns the rules made.
+
+    ``merged`` takes the runs that change, with their texts afterwards.
+    """
     texts = [run for run, _ in runs]
     counts: Counter[str] = Counter()
     places: defaultdict[str, set[int]] = defaultdict(set)
@@ -269,6 +325,8 @@ def merge_in_runs(runs: list[tuple[str, int]], bound: tuple, symbols: Symbols,
         known = symbols.known(pair)
         rules.append((pair, symbols.add(pair)))
         if known:
+            for i in places[pair]:
+                texts[i] = texts[i].replace(*rules[-1])
             break
         changed = set()
         for i in places.pop(pair):
@@ -277,6 +335,8 @@ def merge_in_runs(runs: list[tuple[str, int]], bound: tuple, symbols: Symbols,
             changed |= count(i, 1)
         for p in changed:
             heappush(queue, _rank(p, counts[p]))
+    if merged is not None:
+        merged.update((run, text) for (run, _), text in zip(runs, texts) if run != text)
     return rules
 
 
@@ -287,22 +347,26 @@ def _rows(df: DataFrame) -> list[tuple[str, int]]:
 
 
 def _round(table: DataFrame, pairs: DataFrame, symbols: Symbols, n_pieces: int,
-           k: int) -> tuple[list[tuple[str, str]], int]:
-    """Rules of one round, and the number of candidates to begin the next with."""
-    top = _rows(ranked(pairs.where(F.col("n") >= MIN_COUNT)).limit(k + 1))
+           k: int) -> tuple[list[tuple[str, str]], list[str], Callable[[str], str | None], int]:
+    """Rules of one round, its candidates, what becomes of their runs, and the number of candidates to begin the
+    next with."""
+    best = _rows(ranked(pairs.where(F.col("n") >= MIN_COUNT)).limit(k + 1))
+    top = [(_text_of(code), n) for code, n in best]
     while top:
-        candidates = top[:k]
+        candidates = [p for p, _ in top[:k]]
         if len(candidates) == 1:
-            pair = candidates[0][0]
-            return [(pair, symbols.add(pair))], 2
-        found = _rows(candidate_runs(table, [p for p, _ in candidates]).limit(_MAX_RUNS + 1))
+            pair = candidates[0]
+            symbol = symbols.add(pair)
+            return [(pair, symbol)], candidates, lambda run: run.replace(pair, symbol), 2
+        found = _rows(candidate_runs(table, candidates).limit(_MAX_RUNS + 1))
         if len(found) <= _MAX_RUNS:
             bound = _rank(*top[k]) if len(top) > k else (0,)
-            rules = merge_in_runs(found, bound, symbols, n_pieces)
+            merged: dict[str, str] = {}
+            rules = merge_in_runs(found, bound, symbols, n_pieces, merged)
             growth = 4 if len(found) < _MAX_RUNS // 20 else 2
-            return rules, min(growth * k, _MAX_CANDIDATES)
-        k = max(k // 4, 1)
-    return [], k
+            return rules, candidates, merged.get, min(growth * k, _MAX_CANDIDATES)
+        k = max(k // 2, 1)
+    return [], [], {}.get, k
 
 
 def learn_merges(symbol_table: DataFrame, n_pieces: int, kept: Sequence[str] = ()) -> Symbols:
@@ -321,18 +385,25 @@ def learn_merges(symbol_table: DataFrame, n_pieces: int, kept: Sequence[str] = (
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(partitions, symbol_table.count() // _WORDS_PER_TASK))
     table, table_path = write_table(symbol_table.repartition(tasks), "bpe-words")
-    pairs, pairs_path = write_table(pair_counts(table), "bpe-pairs")
+    with wide_batches(spark):
+        return _learn(table, table_path, n_pieces, symbols)
+
+
+def _learn(table: DataFrame, table_path: str, n_pieces: int, symbols: Symbols) -> Symbols:
+    spark = table.sparkSession
+    pairs, pairs_path = write_table(coded_counts(table), "bpe-pairs")
     k = _FIRST_CANDIDATES
     while len(symbols.symbol_of) < n_pieces:
         known = len(symbols.symbol_of)
-        rules, k = _round(table, pairs, symbols, n_pieces, k)
+        rules, candidates, merged, k = _round(table, pairs, symbols, n_pieces, k)
         if not rules or len(symbols.symbol_of) >= n_pieces:
             break
         old_paths = table_path, pairs_path
-        table, table_path = write_table(merged_words(table, rules), "bpe-words")
+        table, table_path = write_table(merged_words(table, candidates, merged), "bpe-words")
         # A pair whose text was a symbol before adds places to old pairs: then all are counted anew.
         again = len(symbols.symbol_of) < known + len(rules)
-        pairs, pairs_path = write_table(pair_counts(table) if again else changed_counts(pairs, table), "bpe-pairs")
+        pairs, pairs_path = write_table(
+            coded_counts(table.select("symbols", "n")) if again else changed_counts(pairs, table), "bpe-pairs")
         table = table.select("symbols", "n")
         for path in old_paths:
             drop_table(spark, path)

@@ -338,3 +338,23 @@ def test_slices_and_stretches(monkeypatch):
     parts = list(encode._slices(pa.array(texts)))
     assert [t for part in parts for t in part.to_pylist()] == texts
     assert all(len(part) == 1 or sum(len((t or "").encode()) for t in part.to_pylist()) <= 64 for part in parts)
+
+
+def test_rounds_change_words_by_their_runs(spark):
+    rows = [("▁abcé", 2), ("▁xab c", 3), ("ab𝄞abc", 1), ("▁", 4), ("▁zz", 5)]
+    table = spark.createDataFrame(rows, "symbols string, n long").coalesce(1)
+    changed = bpe.merged_words(table, ["ab", "bc"], {"abc": "X", "ab": "YZ"}.get)
+    assert [tuple(r) for r in changed.collect()] == [
+        ("▁Xé", 2, "▁abcé"), ("▁xYZ c", 3, "▁xab c"), ("YZ𝄞X", 1, "ab𝄞abc"), ("▁", 4, None), ("▁zz", 5, None)]
+    text = {r.pair: r.n for r in bpe.pair_counts(table).collect()}
+    after = {r.pair: r.n for r in bpe.pair_counts(changed).collect()}
+    coded = {bpe._text_of(r.pair): r.n for r in bpe.coded_counts(table).collect()}
+    moves = {bpe._text_of(r.pair): r.n for r in bpe.coded_counts(changed.where("was is not null")).collect()}
+    assert coded == text
+    assert moves == {p: after.get(p, 0) - text.get(p, 0) for p in after | text if after.get(p, 0) != text.get(p, 0)}
+
+
+def test_too_many_runs_stop_a_task(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "_MAX_RUNS", 100)
+    table = spark.range(200_000, numPartitions=1).selectExpr("concat('▁', bin(id)) as symbols", "1L as n")
+    assert 100 < bpe.candidate_runs(table, ["▁1", "10", "11", "01", "00"]).count() < 100_000
