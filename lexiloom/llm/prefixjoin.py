@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import drop_table, write_table
@@ -35,7 +36,9 @@ _LEVEL_BITS = 6
 BROADCAST_ROWS = 200_000
 #: Pairs of one set that share a copy of it, and rows of a block where classes of a hot n-gram meet.
 _SHARED, _BLOCK = 256, 20_000
-_TEXT_BATCH, _SET_BATCH, _BLOCK_BATCH = 1000, 64, 4
+#: Pairs of a group up to which it goes with others in one step.
+_CROSS = 4096
+_TEXT_BATCH, _SET_BATCH, _BLOCK_BATCH = 1000, 64, 64
 _MASK = (1 << 64) - 1
 
 
@@ -137,6 +140,13 @@ def _may_meet(lo: str, hi: str, reach: str, percent: int) -> str:
             f"least({reach}, n - i) >= ceil({percent} * ({lo} + n) / {100 + percent}D)")
 
 
+def _unpack(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """``node, label, n, i`` of the members of all lists, and where each list begins and ends."""
+    members = lists.values
+    return np.array([members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "i")],
+                    np.int64), lists.offsets.to_numpy().astype(np.int64)
+
+
 def suffix_distance(x: np.ndarray, y: np.ndarray, limit: int, depth: int = 3) -> int:
     """A lower bound of how many members only one of two sorted sets has; exact once above ``limit`` or not split.
 
@@ -228,24 +238,31 @@ class _Join:
             number = F.pmod(F.xxhash64("node"), F.ceil(F.col(total) / _BLOCK)).alias("block")
             return part.groupBy("token", number).agg(F.collect_list(F.struct("node", "label", "n", "i")).alias(name))
 
-        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            def unpack(items):
-                return np.array([(r["node"], r["label"], r["n"], r["i"]) for r in items], np.int64).T
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def near(x: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+                ok = (x[1] != t[1]) & ~_apart(x[2], t[2], x[3], t[3], percent)
+                low, high = np.minimum(x[0], t[0])[ok], np.maximum(x[0], t[0])[ok]
+                return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
             for batch in batches:
-                for few, many in zip(batch["few"], batch["many"]):
-                    x, t = unpack(few), unpack(many)
+                if not batch.num_rows:
+                    continue
+                (few, at), (many, to) = _unpack(batch.column(0)), _unpack(batch.column(1))
+                # Groups of few members, which most are, pair in one step for the whole batch.
+                widths, pairs = np.diff(to), np.diff(at) * np.diff(to)
+                small = np.where(pairs <= _CROSS, pairs, 0)
+                group = np.repeat(np.arange(len(small)), small)
+                place = np.arange(len(group)) - np.repeat(np.cumsum(small) - small, small)
+                yield near(few[:, at[group] + place // widths[group]], many[:, to[group] + place % widths[group]])
+                for k in np.flatnonzero(pairs > _CROSS):
+                    t = many[:, to[k]:to[k + 1]]
                     t = t[:, np.argsort(t[2], kind="stable")]
-                    for node, label, n, i in x.T:
-                        lo, hi = np.searchsorted(t[2], [-(-percent * n // 100), 100 * n // percent + 1])
-                        other = t[:, lo:hi]
-                        ok = (other[1] != label) & ~_apart(n, other[2], i, other[3], percent)
-                        if ok.any():
-                            b = other[0][ok]
-                            yield pd.DataFrame({"a": np.minimum(node, b), "b": np.maximum(node, b)})
+                    for x in few[:, at[k]:at[k + 1]].T:
+                        lo, hi = np.searchsorted(t[2], [-(-percent * x[2] // 100), 100 * x[2] // percent + 1])
+                        yield near(x[:, None], t[:, lo:hi])
 
         few = blocks(rows.where("label != top"), "others", "few")
-        met = few.join(blocks(rows, "all", "many"), "token").select("few", "many").mapInPandas(
+        met = few.join(blocks(rows, "all", "many"), "token").select("few", "many").mapInArrow(
             meet, "a bigint, b bigint").distinct()
         with small_batches(self.spark, _BLOCK_BATCH):
             known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -102,6 +103,26 @@ def test_prefix_join_odd_rows(spark, odd_documents):
     assert got == sorted(want, key=repr)
 
 
+def test_prefix_join_blocks_as_arrays():
+    """Members of lists as arrays, those of a slice too: blocks meet without an object per member."""
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("node", "label", "n", "i")]))
+    lists = pa.array([[(9, 9, 9, 9)], [(1, 2, 3, 4), (5, 6, 7, 8)], [(2, 2, 2, 2)]], kind)
+    members, at = prefixjoin._unpack(lists.slice(1))
+    assert [members[:, i:j].T.tolist() for i, j in zip(at, at[1:])] == [[[1, 2, 3, 4], [5, 6, 7, 8]], [[2, 2, 2, 2]]]
+
+
+@pytest.mark.parametrize("cross", [0, 50])
+def test_prefix_join_groups_in_one_step_or_by_member(spark, monkeypatch, cross):
+    def found():
+        rows = [(i, " ".join(f"w{j}" for j in range(20 + i % 9)) + f" e{i}") for i in range(40)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        return sorted(map(tuple, prefixjoin.join_classes(df, 1, 95).collect()))
+
+    want = found()
+    monkeypatch.setattr(prefixjoin, "_CROSS", cross)
+    assert found() == want
+
+
 def test_prefix_join_other_partner(spark):
     """Two sets that only share n-grams nobody else has, while each shares more of its prefix with a third set."""
     rows = []
