@@ -133,10 +133,17 @@ def wrap_document(text: str | Column) -> Column:
     return F.concat(F.lit(BOS), col(text), F.lit(EOS))
 
 
+def plain_spaces(text: str | Column) -> Column:
+    """All white space as spaces. ``replace`` looks at bytes, ``translate`` makes a string of every character."""
+    flat = col(text)
+    for space in WHITESPACE[1:]:
+        flat = F.replace(flat, F.lit(space), F.lit(" "))
+    return flat
+
+
 def _split_at_spaces(text: str | Column) -> Column:
     """A plain-character split avoids the regex engine; it leaves empty strings between spaces."""
-    flat = F.translate(col(text), WHITESPACE[1:], " " * (len(WHITESPACE) - 1))
-    return F.split(flat, " ")
+    return F.split(plain_spaces(text), " ")
 
 
 def words(text: str | Column) -> Column:

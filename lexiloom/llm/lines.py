@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import plain_spaces
 from ..storage import drop_table, write_table
 from .words import UNSPACED, fresh
 
@@ -21,7 +22,6 @@ NEAR_WORDS = 10
 #: Tables of up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 200_000
 _UNSPACED_LETTER = rf"[{UNSPACED}]\p{{M}}*"
-_OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: Two primes under 2^31 with bases: word sequences are polynomials modulo each. Fixed values.
 _FIELDS = ((2147483629, 1000003), (2147483587, 998244))
 _POWER_BITS = 24
@@ -43,8 +43,7 @@ def plain_words(line: Column) -> Column:
     """
     wide = (F.octet_length(line) > F.char_length(line) + 1) & F.rlike(line, F.lit(f"[{UNSPACED}]"))
     apart = F.when(wide, F.regexp_replace(line, _UNSPACED_LETTER, " $0 ")).otherwise(line)
-    flat = F.translate(F.lower(apart), _OTHER_SPACES, " " * len(_OTHER_SPACES))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(plain_spaces(F.lower(apart)), " "), "")
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -191,6 +191,14 @@ def _apart(a, b):
     return 1 if any(long[:i] + long[i + 1:] == short for i in range(len(long))) else 2
 
 
+def test_line_words_without_a_string_per_character(spark):
+    """White space is replaced by bytes; ``translate`` would look up every character."""
+    df = spark.createDataFrame([("A\tb\x0bC \x0cd\re\nÉ  f",), (None,), ("",)], "line string")
+    words = df.select(lines.plain_words(F.col("line")).alias("w"))
+    assert [r.w for r in words.collect()] == [["a", "b", "c", "d", "e", "é", "f"], None, []]
+    assert "translate" not in words._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_removed_lines(spark):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(30)]
