@@ -199,6 +199,45 @@ def test_line_words_without_a_string_per_character(spark):
     assert "translate" not in words._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_are_hashed_without_words(spark):
+    """Equal hashes, halves and counts as by word arrays, which are not made."""
+    odd = ["", " ", "\t", "a", " a", "A  ", "a b", "a\tB", "ab", "\u00e9\u00c9 f", "\u4f60\u597d ok", "\u4f60 \u597d  OK", "\u201ca b\u201d",
+           "\x7f a", "\x85 a", " ".join("abcdefghij"), "  ".join("ABCDEFGHIJ"), "\x0c".join("abcdefghijk") + "\r",
+           "x b c d e f g h i j k", "a b c d e f g h i j"]
+    df = spark.createDataFrame([(1, "\n".join(odd)), (2, None), (3, "")], "doc_id bigint, text string")
+    hashed = lines._hashed_lines(df, "doc_id", "text")
+    assert "array_remove" not in hashed._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.id, r.pos): r for r in hashed.collect()}
+    assert found.keys() == {(1, i) for i in range(len(odd))} | {(3, 0)}
+    plain = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "pos int, line string").select(
+        "pos", lines.plain_words(F.col("line")).alias("w"))
+    words = {r.pos: tuple(r.w) for r in plain.collect()}
+    rows = [(w, found[1, i]) for i, w in words.items()]
+    assert all(r.n == len(w) for w, r in rows)
+    assert all((v == w) == (q.h == r.h) for v, q in rows for w, r in rows)
+    ends = {"a b c d e f g h i j": 2, "a b c d e f g h i j k": 4, "x b c d e f g h i j k": 4}
+    assert all(len(r.halves) == ends.get(" ".join(w), 0) for w, r in rows)
+    ten, eleven, other = ({x for w, r in rows if " ".join(w) == k for x in r.halves} for k in ends)
+    assert len(ten & eleven) == 1 and len(eleven & other) == 2
+
+
+def test_only_shifted_lines_get_keys_by_order(spark, monkeypatch):
+    """Words are ordered by a window only for lines that may have one more word than another."""
+    base = [f"w{i}" for i in range(12)]
+    inserted = base[:5] + ["w3"] + base[5:]
+    swapped = inserted[::-1][:6] + inserted[:7]
+    texts = [base, base[:4] + ["x"] + base[5:], inserted, swapped, ["z"] * 12, ["z"] * 11,
+             [f"v{i}" for i in range(12)], [f"v{i}" for i in range(11)] + ["y"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    made, variants = [], lines._variants
+    monkeypatch.setattr(lines, "_variants", lambda chosen: made.append(
+        {" ".join(r.words) for r in chosen.collect()}) or variants(chosen))
+    got = {r.id: r.keeper.id for r in lines.removed_lines(df).collect()}
+    assert got == {1: 0, 2: 0, 5: 4, 7: 6}
+    assert {" ".join(texts[i]) for i in (0, 2, 4, 5)} <= made[0]
+    assert not made[0] & {" ".join(texts[i]) for i in (1, 6, 7)}
+
+
 def test_removed_lines(spark):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(30)]
