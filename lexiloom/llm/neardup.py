@@ -369,7 +369,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k
 
     Rows that are equal in key and text are one document, of which one row stays.
     """
-    found = _classified(docs, shingle, percent, key, text)
+    # A row of four numbers per document, read three times: written, so that its joins run once.
+    found, _ = write_table(_classified(docs, shingle, percent, key, text), "neardup-found")
     id_, hash_ = fresh(docs, "_id"), fresh(docs, "_hash")
     named = docs.withColumn(hash_, F.xxhash64(text))
     out = _checked(found.where("id != component").select(F.col("id").alias(id_), F.col("hash").alias(hash_))

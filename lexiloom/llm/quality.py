@@ -18,6 +18,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .neardup import small_batches
 from .words import SPACES, fresh, utf8
 
 #: Chunks, in bytes; where a rest is left behind the last full one, the last bytes of the text are one more.
@@ -31,6 +32,8 @@ LEAST_WIDTH = 0.08
 CLASS_ROWS = 100
 _SPREAD = 1.4826
 _BIN = 0.002
+#: Texts that Python gets at once where this module runs the work itself.
+_TEXT_BATCH = 1000
 #: Length classes of texts of one width begin at this multiple of it; chunks have minus the width.
 _STRIDE = 1000
 _SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -139,7 +142,8 @@ def compression_limits(docs: DataFrame, text: str = "text") -> dict[int, tuple[f
 
     There are at most 7 widths with 130 lengths each.
     """
-    rows = _histogram(docs, text).collect()  # at most classes x bins
+    with small_batches(docs.sparkSession, _TEXT_BATCH):
+        rows = _histogram(docs, text).collect()  # at most classes x bins
     if not rows:
         return {}
     table = np.array([(r["class"], (r["bin"] + 0.5) * _BIN, r["n"]) for r in rows])

@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) <= n:
-        size = max(2 * _SEGMENT, n + 1)
+        size = 1 << max(16, n.bit_length())  # most workers never see a text as long as a segment
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, np.uint64)

@@ -55,6 +55,20 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id: r.taken for r in whole.collect()} == {i: r.taken for i, r in mixed.items()}
 
 
+def test_stages_hold_few_texts(spark, sf_dir):
+    """Stages whose frame the caller runs lower larger Arrow batches, and leave smaller ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    try:
+        for stage in (corpus_pipeline.quality_rules, corpus_pipeline.benchmark_decontamination):
+            for given, held in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+                spark.conf.set(name, given)
+                stage(spark, docs, sf_dir)
+                assert spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_native_lines(spark, sf_dir, capsys):
     """No Python runs inside the plan of the native operator."""
     queries()["op3_deletion_neighbours"](spark, sf_dir).explain()

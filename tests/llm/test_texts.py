@@ -40,6 +40,30 @@ def test_base_counts(text):
     assert quality._counts(words.utf8(text)) == _base(text)[:5]
 
 
+def test_histogram_takes_few_texts_at_once(spark, monkeypatch):
+    """Whatever batches the session has, and they stay the session's."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    histogram = quality._histogram
+    monkeypatch.setattr(quality, "_histogram", lambda *a: seen.append(spark.conf.get(name)) or histogram(*a))
+    spark.conf.set(name, "10000")
+    try:
+        assert quality.compression_limits(spark.createDataFrame([("a text of some words " * 9,)], "text string"))
+        assert seen == ["1000"] and spark.conf.get(name) == "10000"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_hash_tables_grow_with_texts(monkeypatch):
+    """A worker that sees short texts holds no tables for long ones; hashes do not depend on them."""
+    monkeypatch.setattr(words, "_powers", {})
+    short = words.word_hashes(b"some words of a text")
+    assert sum(t.nbytes for t in words._powers.values()) <= 1 << 20
+    long = words.word_hashes(b"some words of a text " + b"x" * 200_000)
+    assert len(words._powers["up"]) > 200_000
+    assert (long[:5] == short).all() and (words.word_hashes(b"some words of a text") == short).all()
+
+
 def test_quality(spark, documents):
     rng = random.Random(1)
     clean = [r.text for r in documents.select("text").collect()]
