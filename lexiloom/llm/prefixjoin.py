@@ -3,8 +3,9 @@
 All sets are sorted by one order of n-grams, the rare ones first. Two sets that are similar enough must then
 share an n-gram of their prefixes, the first ``n - ceil(percent * n / 100) + 1`` members. Sets that share one
 are candidates if their sizes allow it (length filter) and enough members follow the shared place in
-both (positional filter). A pair is verified once: first by halving what follows around a common member
-(suffix filter), then by the whole sets.
+both (positional filter). A pair is verified once: first by a bit per bucket of its sets' hashes, the parity of
+the members in it (bitmap filter), then, with the texts read again, by halving what follows around a common member
+(suffix filter) and by the whole sets.
 
 * Rarity is the count, over all documents, of the bucket an n-gram's hash falls into, in steps of half an octave;
   within a step the hash decides. Any order gives the same links, so buckets cost nothing but
@@ -94,8 +95,33 @@ def _fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return int(one), int(two)
 
 
+def parities(hashes: np.ndarray, percent: int) -> bytes:
+    """A bit per bucket of the hashes' low bits: whether an odd number of a set's members falls into it.
+
+    A member that only one of two sets has flips one bit, so sets differ by at least as many members as bits. There are four
+    buckets or more for every member by which similar sets of this size may differ: of unlike sets about
+    half the bits differ.
+    """
+    wanted = -(-8 * len(hashes) * (100 - percent) // (100 + percent))
+    buckets = 1 << max(6, (wanted - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of how many members only one of two sets has, by their parities. The longer are folded to
+    the length of the shorter, which adds up the buckets that meet."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _signed(docs: DataFrame, width: int, percent: int, key: str, text: str, shared) -> DataFrame:
-    """``id, place, hash, s1, s2, n, prefix`` of every row. ``place`` and ``hash`` find its text again."""
+    """``id, place, hash, s1, s2, n, bits, prefix`` of every row. ``place`` and ``hash`` find its text again."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = shared.value
@@ -104,13 +130,13 @@ def _signed(docs: DataFrame, width: int, percent: int, key: str, text: str, shar
             for value in batch["text"]:
                 hashes, codes = ordered_set(value, width, levels)
                 prefix = codes[:prefix_length(len(codes), percent)] if len(codes) else codes
-                rows.append((*_fingerprint(hashes), len(hashes), prefix.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["s1", "s2", "n", "prefix"])
+                rows.append((*_fingerprint(hashes), len(hashes), parities(hashes, percent), prefix.view(np.int64)))
+            out = pd.DataFrame(rows, columns=["s1", "s2", "n", "bits", "prefix"])
             yield pd.concat([batch[["id", "place", "hash"]].reset_index(drop=True), out], axis=1)
 
     kind = docs.schema[key].dataType.simpleString()
     return _texts(docs, key, text).mapInPandas(
-        sign, f"id {kind}, place bigint, hash bigint, s1 bigint, s2 bigint, n bigint, prefix array<bigint>")
+        sign, f"id {kind}, place bigint, hash bigint, s1 bigint, s2 bigint, n bigint, bits binary, prefix array<bigint>")
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -215,11 +241,13 @@ class _Join:
         """Pairs of different components that share a prefix n-gram, past the filters and not tried yet."""
         labelled = places.select("token", "node", "n", "i").join(labels.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left") \
             .withColumn("label", F.coalesce("label", "node"))
-        labelled = labelled.repartition("token")  # the one exchange of all that follows
+        # The one exchange of all that follows, as long as each part takes the same columns and filters from it: members are
+        # counted by their node, which is never null, and those of the top left out by a comparison that infers no filter.
+        labelled = labelled.repartition("token")
         # What a token's largest component could meet outside it, and the others anywhere.
         reach = F.max(F.col("n") - F.col("i")).alias("reach")
         sizes = labelled.groupBy("token", "label").agg(
-            F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), reach)
+            F.count("node").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), reach)
         place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("c"), "label"))
         ranked = sizes.withColumn("place", place)
         outside = F.col("place") > 1
@@ -261,16 +289,42 @@ class _Join:
                         lo, hi = np.searchsorted(t[2], [-(-percent * x[2] // 100), 100 * x[2] // percent + 1])
                         yield near(x[:, None], t[:, lo:hi])
 
-        few = blocks(rows.where("label != top"), "others", "few")
+        few = blocks(rows.where("not (label <=> top)"), "others", "few")
         met = few.join(blocks(rows, "all", "many"), "token").select("few", "many").mapInArrow(
             meet, "a bigint, b bigint").distinct()
         with small_batches(self.spark, _BLOCK_BATCH):
             known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             return self.table(met.join(known, ["a", "b"], "left_anti"), "across")
 
+    def sides(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``node, a, part, b`` of every class that ``pairs`` need: as ``b`` once a pair, as ``a``, with -1 for ``b``, once per
+        ``_SHARED`` pairs."""
+        counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / _SHARED).alias("parts"))
+        second = pairs.join(counts, "a").select(
+            F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+        first = counts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                              F.lit(-1).cast("bigint").alias("b"))
+        return second, first
+
+    def likely(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs that the parities of their sets do not rule out. Only for these whole sets are sent."""
+        percent = self.percent
+
+        def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                n, m = batch["n"], batch["m"]
+                apart = [parity_distance(x, y) for x, y in zip(batch["bits"], batch["own"])]
+                yield batch.loc[apart <= n + m - 2 * least_overlap(n, m, percent), ["a", "b"]]
+
+        second, first = self.sides(pairs)
+        bits = classes.select("node", "n", "bits")
+        own = first.join(bits, "node").select("a", "part", F.col("n").alias("m"), F.col("bits").alias("own"))
+        met = second.join(bits, "node").join(own, ["a", "part"]).select("a", "b", "n", "m", "bits", "own")
+        with small_batches(self.spark, _TEXT_BATCH):
+            return self.table(met.mapInPandas(close, "a bigint, b bigint"), "likely")
+
     def verified(self, pairs: DataFrame, classes: DataFrame, shared) -> DataFrame:
-        """Links among ``pairs`` by their whole sets. A set goes from its text straight to the pairs it is needed
-        for: as ``b`` once a pair, as ``a`` once per ``_SHARED`` pairs."""
+        """Links among ``pairs`` by their whole sets. A set goes from its text straight to the sides it is needed for."""
         width, percent = self.width, self.percent
 
         def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,11 +353,7 @@ class _Join:
                         out.append((a, b))
                 yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-        counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / _SHARED).alias("parts"))
-        second = pairs.join(counts, "a").select(
-            F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
-        first = counts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                              F.lit(-1).cast("bigint").alias("b"))
+        second, first = self.sides(self.likely(pairs, classes))
         wanted = _checked(self.table(second.union(first).join(classes.select("node", "place", "hash"), "node"), "wanted"))
         found = _texts(self.docs, self.key, self.text).where("text is not null").join(wanted, ["place", "hash"])
         sets = found.select("node", "a", "part", "b", "text").mapInPandas(
@@ -331,8 +381,8 @@ def join_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     usable = F.expr("n > 0 and id is not null")
     classes = signed.where(usable).groupBy("s1", "s2").agg(
         F.min(F.struct("id", "place", "hash")).alias("first"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"))
-    classes = join.table(classes.select("s1", "s2", "n", "prefix", "first.*").withColumn(
+        F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    classes = join.table(classes.select("s1", "s2", "n", "bits", "prefix", "first.*").withColumn(
         "node", F.monotonically_increasing_id()), "classes")
     places = join.shared_places(classes)
     tried = join.table(join.with_first(places), "tried")

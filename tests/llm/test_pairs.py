@@ -140,6 +140,60 @@ def test_prefix_join_other_partner(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - (i % 8 == 1) for i, _ in rows}
 
 
+def _written(monkeypatch, labels, look):
+    """What ``look`` makes of the tables of a prefix join before they are written."""
+    seen, write = {label: [] for label in labels}, prefixjoin.write_table
+
+    def looked(df, label):
+        if label in seen:
+            seen[label].append(look(df))
+        return write(df, label)
+
+    monkeypatch.setattr(prefixjoin, "write_table", looked)
+    return seen
+
+
+def test_prefix_join_reads_texts_of_likely_pairs_only(spark, monkeypatch):
+    """Sets that share a rare n-gram and little else are told apart by their parities; similar ones are still linked."""
+    rng = random.Random(5)
+    sets = [[f"w{i}" for i in rng.sample(range(400), 60)] + [f"s{k}", f"s{k + 1}"] for k in range(40)]
+    sets.append(sets[7][:-2] + ["other", "words"])
+    rows = [(i, " ".join(words)) for i, words in enumerate(sets)]
+    seen = _written(monkeypatch, ["join-tried", "join-across", "join-wanted"], lambda df: df.where("b >= 0").count())
+    got = prefixjoin.join_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 7 if i == 40 else i for i in range(41)}
+    assert sum(seen["join-tried"]) + sum(seen["join-across"]) > 30
+    assert sum(seen["join-wanted"]) == 1
+
+
+def test_prefix_join_exchanges_shared_places_once(spark, monkeypatch, capsys):
+    def exchanges(df):
+        capsys.readouterr()
+        df.explain()
+        return sum("REPARTITION_BY_COL" in line and "Reused" not in line for line in capsys.readouterr().out.splitlines())
+
+    rows = [(i, " ".join(f"w{j}" for j in range(20 + i % 9)) + f" e{i}") for i in range(40)]
+    seen = _written(monkeypatch, ["join-across"], exchanges)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans show reuse only once they have run
+    try:
+        prefixjoin.join_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 95).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert seen["join-across"] == [1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 3000)), st.sets(st.integers(0, 3000)), st.sampled_from([50, 80, 90, 100]))
+def test_parity_filter(x, y, percent):
+    """The lower bound never exceeds the true distance, also of sets with other numbers of buckets."""
+    x |= set(range(len(y) * 20))
+    a, b = (prefixjoin.mix(np.array(sorted(s), np.uint64)) for s in (x, y))
+    one, two = prefixjoin.parities(a, percent), prefixjoin.parities(b, percent)
+    assert prefixjoin.parity_distance(one, two) == prefixjoin.parity_distance(two, one) <= len(x ^ y)
+    assert prefixjoin.parity_distance(one, one) == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.sampled_from([50, 80, 90, 100]))
 def test_suffix_filter(x, y, percent):
